@@ -84,11 +84,13 @@ def _cell_of(x: Column, a: Column, b: Column, n: int) -> Column:
 def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
           member_keys: Sequence[str], lap_keys: Sequence[str] = SAMPLE_KEYS,
           channels: Sequence[str] = DEFAULT_COMPARISON_CHANNELS, points: int = DEFAULT_GRID_POINTS,
-          axis: str = "Distance") -> DataFrame:
+          axis: str = "Distance", lap_dom: DataFrame | None = None) -> DataFrame:
     """Interpolate every member lap of every group onto the group's common grid.
 
     ``samples``: cleaned samples (unique axis value per lap, as ``clean_samples`` leaves them).
     ``members``: one row per (group, member) naming the lap it plays (``lap_keys``).
+    ``members`` may already carry each lap's ``lo`` / ``hi`` axis range; otherwise it is
+    joined to ``lap_dom`` (default: ``lap_domain(samples)``).
     Returns (group keys, member keys, grid_index, axis, one column per channel present).
     """
     G, M, L = list(group_keys), list(member_keys), list(lap_keys)
@@ -98,10 +100,16 @@ def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
     chans = [c for c in dict.fromkeys(channels) if c in samples.columns and c != axis]
     x = F.col(axis)
 
-    mem = members.select(*_uniq(G, M, L)).join(lap_domain(samples, lap_keys=L, axis=axis), L)
-    dom = (mem.groupBy(*G).agg(F.max("lo").alias("_a"), F.min("hi").alias("_b"))
-           .filter(F.col("_b") > F.col("_a")))
-    mem_dom = mem.join(dom, G).select(*_uniq(G, M, L), "_a", "_b")
+    if "lo" in members.columns and "hi" in members.columns:
+        mem = members.select(*_uniq(G, M, L), "lo", "hi")
+    else:
+        if lap_dom is None:
+            lap_dom = lap_domain(samples, lap_keys=L, axis=axis)
+        mem = members.select(*_uniq(G, M, L)).join(lap_dom, L)
+    # group domain as a window over the members: no self-join, one exchange on G
+    wg = Window.partitionBy(*G)
+    mem_dom = (mem.withColumn("_a", F.max("lo").over(wg)).withColumn("_b", F.min("hi").over(wg))
+               .filter(F.col("_b") > F.col("_a")).select(*_uniq(G, M, L), "_a", "_b"))
     a, b = F.col("_a"), F.col("_b")
 
     # 3. fold samples into grid cells (partial aggregation before the shuffle)
@@ -167,24 +175,51 @@ def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
 def align_many(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
                member_keys: Sequence[str] = ("driver",), lap_keys: Sequence[str] = SAMPLE_KEYS,
                channels: Sequence[str] = DEFAULT_COMPARISON_CHANNELS,
-               points: int = DEFAULT_GRID_POINTS) -> DataFrame:
+               points: int = DEFAULT_GRID_POINTS, lap_dom: DataFrame | None = None) -> DataFrame:
     """AL5: align any number of laps per group (no delta). Long in members, wide in channels."""
     return align(samples, members, group_keys=group_keys, member_keys=member_keys,
-                 lap_keys=lap_keys, channels=channels, points=points)
+                 lap_keys=lap_keys, channels=channels, points=points, lap_dom=lap_dom)
 
 
 def pair_members(pairs: DataFrame, *, pair_keys: Sequence[str] = PAIR_KEYS) -> DataFrame:
-    """(pair keys, role, driver) membership rows: role 'ref' plays ref_driver, 'cmp' cmp_driver."""
+    """(pair keys, role, driver[, lo, hi]) rows: role 'ref' plays ref_driver, 'cmp' cmp_driver.
+
+    When ``pairs`` carries ``ref_lo/ref_hi/cmp_lo/cmp_hi`` they become the members' lo/hi.
+    """
     keys = list(pair_keys)
-    ref = pairs.select(*keys, F.lit("ref").alias("role"), F.col("ref_driver").alias("driver"))
-    cmp = pairs.select(*keys, F.lit("cmp").alias("role"), F.col("cmp_driver").alias("driver"))
-    return ref.unionByName(cmp)
+    sides = []
+    for role in ("ref", "cmp"):
+        fields = [F.lit(role).alias("role"), F.col(f"{role}_driver").alias("driver")]
+        if f"{role}_lo" in pairs.columns:
+            fields += [F.col(f"{role}_lo").alias("lo"), F.col(f"{role}_hi").alias("hi")]
+        sides.append(F.struct(*fields))
+    return pairs.select(*keys, F.explode(F.array(*sides)).alias("_m")).select(*keys, "_m.*")
+
+
+def pairs_by_reference(lap_dom: DataFrame, *, lap_keys: Sequence[str] = SAMPLE_KEYS,
+                       session: str = "session_id", driver: str = "driver",
+                       lap: str = "lap_number") -> DataFrame:
+    """Reference = lowest numeric driver id of a session; comparison = every other driver on
+    the same lap number. One windowed pass over the lap domain (no self-join):
+    session_id, lap_number, ref_driver, cmp_driver, ref_lo, ref_hi, cmp_lo, cmp_hi."""
+    did = F.col(driver).cast("bigint")
+    by_session = Window.partitionBy(session)
+    by_lap = Window.partitionBy(session, lap)
+    is_ref = did == F.col("_ref")
+    d = (lap_dom.withColumn("_ref", F.min(did).over(by_session))
+         .withColumn("ref_driver", F.max(F.when(is_ref, F.col(driver))).over(by_lap))
+         .withColumn("ref_lo", F.max(F.when(is_ref, F.col("lo"))).over(by_lap))
+         .withColumn("ref_hi", F.max(F.when(is_ref, F.col("hi"))).over(by_lap)))
+    return (d.filter(F.col("ref_driver").isNotNull() & ~is_ref)
+            .select(session, lap, "ref_driver", F.col(driver).alias("cmp_driver"),
+                    "ref_lo", "ref_hi", F.col("lo").alias("cmp_lo"), F.col("hi").alias("cmp_hi")))
 
 
 def align_pairs(samples: DataFrame, pairs: DataFrame, *, pair_keys: Sequence[str] = PAIR_KEYS,
                 lap_keys: Sequence[str] = SAMPLE_KEYS,
                 channels: Sequence[str] = DEFAULT_COMPARISON_CHANNELS,
-                points: int = DEFAULT_GRID_POINTS, axis: str = "Distance") -> DataFrame:
+                points: int = DEFAULT_GRID_POINTS, axis: str = "Distance",
+                lap_dom: DataFrame | None = None) -> DataFrame:
     """AL4: align each (reference, comparison) lap pair; ``DeltaSeconds`` = cmp - ref time.
 
     ``pairs`` has the pair keys (default session_id, lap_number, ref_driver, cmp_driver);
@@ -193,7 +228,8 @@ def align_pairs(samples: DataFrame, pairs: DataFrame, *, pair_keys: Sequence[str
     """
     keys = list(pair_keys)
     long = align(samples, pair_members(pairs, pair_keys=keys), group_keys=keys,
-                 member_keys=["role"], lap_keys=lap_keys, channels=channels, points=points, axis=axis)
+                 member_keys=["role"], lap_keys=lap_keys, channels=channels, points=points, axis=axis,
+                 lap_dom=lap_dom)
     chans = [c for c in long.columns if c not in {*keys, "role", "grid_index", axis}]
     is_ref = F.col("role") == "ref"
     aggs = [F.max(axis).alias(axis)]

@@ -60,14 +60,22 @@ def dedupe_samples(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS,
             .withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))
 
 
-def clean_samples(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
-    """CL3: derive distance -> seconds columns -> numeric coercion -> binary channels -> dedupe."""
+def prepare_channels(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
+    """CL3 without the dedupe: derive distance -> seconds columns -> coercion -> binary channels.
+
+    Row-wise only (no shuffle); lap-level min/max of Distance can be taken from here since
+    the dedupe never changes them.
+    """
     out = derive_distance(samples, keys=keys) if "Distance" not in samples.columns else samples
     out = S.add_seconds_column(out, "Time", "TimeSeconds")
     out = S.add_seconds_column(out, "SessionTime", "SessionTimeSeconds")
     out = coerce_channels(out)
-    out = binary_channels(out)
-    return dedupe_samples(out, keys=keys)
+    return binary_channels(out)
+
+
+def clean_samples(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
+    """CL3: derive distance -> seconds columns -> numeric coercion -> binary channels -> dedupe."""
+    return dedupe_samples(prepare_channels(samples, keys=keys), keys=keys)
 
 
 def lap_table(laps: DataFrame, driver: str | None = None) -> DataFrame:

@@ -134,10 +134,10 @@ def lap_index(samples_df: DataFrame) -> DataFrame:
     return samples_df.select(*SAMPLE_KEYS).distinct()
 
 
-def pairs(samples_df: DataFrame) -> DataFrame:
+def pairs(laps_: DataFrame) -> DataFrame:
     """Reference = lowest numeric driver id of a session; comparison = every other driver,
-    same lap number. Columns: session_id, lap_number, ref_driver, cmp_driver."""
-    laps_ = lap_index(samples_df)
+    same lap number. ``laps_`` holds (session_id, driver, lap_number) rows, e.g. a lap
+    domain. Columns: session_id, lap_number, ref_driver, cmp_driver."""
     ref = (laps_.groupBy("session_id")
            .agg(F.min(F.col("driver").cast("bigint")).alias("ref_id")))
     ref_laps = (laps_.join(ref, "session_id")
