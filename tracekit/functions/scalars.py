@@ -64,12 +64,12 @@ def coerce_number(c: Column) -> Column:
 
 def binary_flag(c: Column) -> Column:
     """SC4: NULL -> 0, any non-zero -> 1."""
-    return (F.coalesce(c, F.lit(0.0)) != 0).cast("int")
+    return (F.coalesce(nan_to_null(c.try_cast("double")), F.lit(0.0)) != 0).cast("int")
 
 
 def drs_active(c: Column) -> Column:
     """SC5: DRS code >= 10 means the flap is open."""
-    return F.when(F.coalesce(c, F.lit(0.0)) >= 10, 1).otherwise(0)
+    return F.when(F.coalesce(nan_to_null(c.try_cast("double")), F.lit(0.0)) >= 10, 1).otherwise(0)
 
 
 def slug(c: Column) -> Column:

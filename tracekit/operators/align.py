@@ -69,53 +69,47 @@ def distance_grid(domain: DataFrame, *, group_keys: Sequence[str], points: int =
                     _grid_point(k, F.col("start"), F.col("end"), points).alias(axis)))
 
 
-def _cell_of(x: Column, a: Column, b: Column, n: int) -> Column:
+# Grid description carried per (group, member) row: _a first point, _n number of points,
+# _step spacing, _b last point when _last is true (linspace) - otherwise g(k) = _a + k * _step.
+def _gp(k: Column) -> Column:
+    return F.when(F.col("_last") & (k == F.col("_n") - 1), F.col("_b")).otherwise(
+        F.col("_a") + k.cast("double") * F.col("_step"))
+
+
+def _cell(x: Column) -> Column:
     """Grid cell k with g[k-1] < x <= g[k] (g[-1] = -inf, g[n] = +inf), exact."""
-    if n == 1:
-        return F.when(x <= a, F.lit(0)).otherwise(F.lit(1)).cast("int")
-    step = (b - a) / F.lit(float(n - 1))
-    t = F.least(F.greatest((x - a) / step, F.lit(-1.0)), F.lit(float(n + 1)))
-    k0 = F.least(F.greatest(F.ceil(t), F.lit(0)), F.lit(n)).cast("int")
-    below = (k0 >= 1) & (x <= _grid_point(k0 - 1, a, b, n))
-    above = (k0 <= n - 1) & (x > _grid_point(k0, a, b, n))
+    n, a, step = F.col("_n"), F.col("_a"), F.col("_step")
+    t = F.least(F.greatest((x - a) / step, F.lit(-1.0)), (n + 1).cast("double"))
+    k0 = F.when(step > 0, F.least(F.greatest(F.ceil(t), F.lit(0)), n)).otherwise(
+        F.when(x <= a, F.lit(0)).otherwise(F.lit(1))).cast("int")
+    below = (k0 >= 1) & (x <= _gp(k0 - 1))
+    above = (k0 <= n - 1) & (x > _gp(k0))
     return F.when(below, k0 - 1).when(above, k0 + 1).otherwise(k0)
 
 
-def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
-          member_keys: Sequence[str], lap_keys: Sequence[str] = SAMPLE_KEYS,
-          channels: Sequence[str] = DEFAULT_COMPARISON_CHANNELS, points: int = DEFAULT_GRID_POINTS,
-          axis: str = "Distance", lap_dom: DataFrame | None = None) -> DataFrame:
-    """Interpolate every member lap of every group onto the group's common grid.
+def linspace_grid(mem_dom: DataFrame, points: int) -> DataFrame:
+    """Grid columns for ``numpy.linspace(_a, _b, points)``."""
+    n = int(points)
+    step = (F.col("_b") - F.col("_a")) / F.lit(float(n - 1)) if n > 1 else F.lit(0.0)
+    return mem_dom.withColumn("_n", F.lit(n)).withColumn("_step", step).withColumn("_last", F.lit(n > 1))
 
-    ``samples``: cleaned samples (unique axis value per lap, as ``clean_samples`` leaves them).
-    ``members``: one row per (group, member) naming the lap it plays (``lap_keys``).
-    ``members`` may already carry each lap's ``lo`` / ``hi`` axis range; otherwise it is
-    joined to ``lap_dom`` (default: ``lap_domain(samples)``).
-    Returns (group keys, member keys, grid_index, axis, one column per channel present).
+
+def interpolate_on_grid(samples: DataFrame, grid: DataFrame, *, group_keys: Sequence[str],
+                        member_keys: Sequence[str], lap_keys: Sequence[str], channels: Sequence[str],
+                        axis: str) -> DataFrame:
+    """Interpolate channels of each member lap at its grid points (see module docstring).
+
+    ``grid``: one row per (group, member) with the lap keys and _a, _b, _n, _step, _last.
     """
     G, M, L = list(group_keys), list(member_keys), list(lap_keys)
-    n = int(points)
-    if n < 1:
-        raise ValueError("points must be >= 1")
     chans = [c for c in dict.fromkeys(channels) if c in samples.columns and c != axis]
     x = F.col(axis)
+    gcols = ["_a", "_b", "_n", "_step", "_last"]
+    grid = grid.select(*_uniq(G, M, L), *gcols)
 
-    if "lo" in members.columns and "hi" in members.columns:
-        mem = members.select(*_uniq(G, M, L), "lo", "hi")
-    else:
-        if lap_dom is None:
-            lap_dom = lap_domain(samples, lap_keys=L, axis=axis)
-        mem = members.select(*_uniq(G, M, L)).join(lap_dom, L)
-    # group domain as a window over the members: no self-join, one exchange on G
-    wg = Window.partitionBy(*G)
-    mem_dom = (mem.withColumn("_a", F.max("lo").over(wg)).withColumn("_b", F.min("hi").over(wg))
-               .filter(F.col("_b") > F.col("_a")).select(*_uniq(G, M, L), "_a", "_b"))
-    a, b = F.col("_a"), F.col("_b")
-
-    # 3. fold samples into grid cells (partial aggregation before the shuffle)
-    s = (samples.select(*L, axis, *chans).filter(x.isNotNull())
-         .join(mem_dom, L)
-         .withColumn("_k", _cell_of(x, a, b, n)))
+    # fold samples into grid cells (partial aggregation before the shuffle)
+    s = (samples.select(*L, axis, *chans).filter(x.isNotNull()).join(grid, L)
+         .withColumn("_k", _cell(x)))
     aggs = []
     for c in chans:
         y = F.col(c).cast("double")
@@ -128,20 +122,23 @@ def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
     def pt(px: str, py: str) -> Column:
         return F.when(F.col(px).isNotNull(), F.struct(F.col(px).alias("x"), F.col(py).alias("y")))
 
+    point = "struct<x:double,y:double>"
     cell_rows = cells.select(
         *G, *M, "_k", F.lit(0).alias("_kind"),
         F.lit(None).cast("double").alias("_a"), F.lit(None).cast("double").alias("_b"),
+        F.lit(None).cast("int").alias("_n"), F.lit(None).cast("double").alias("_step"),
+        F.lit(None).cast("boolean").alias("_last"),
         *[pt(f"_lox_{c}", f"_loy_{c}").alias(f"_lo_{c}") for c in chans],
         *[pt(f"_hix_{c}", f"_hiy_{c}").alias(f"_hi_{c}") for c in chans],
         *[F.col(f"_n_{c}") for c in chans])
-    grid_rows = mem_dom.select(
-        *G, *M, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"), F.lit(1).alias("_kind"),
-        "_a", "_b",
-        *[F.lit(None).cast("struct<x:double,y:double>").alias(f"_lo_{c}") for c in chans],
-        *[F.lit(None).cast("struct<x:double,y:double>").alias(f"_hi_{c}") for c in chans],
+    grid_rows = grid.select(
+        *G, *M, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"), F.lit(1).alias("_kind"),
+        *gcols,
+        *[F.lit(None).cast(point).alias(f"_lo_{c}") for c in chans],
+        *[F.lit(None).cast(point).alias(f"_hi_{c}") for c in chans],
         *[F.lit(None).cast("bigint").alias(f"_n_{c}") for c in chans])
 
-    # 4. one exchange on the group keys serves all windows and the pair pivot after them
+    # one exchange on the group keys serves all windows and any per-group step after them
     u = cell_rows.unionByName(grid_rows).repartition(*G)
     part = Window.partitionBy(*G, *M)
     desc = part.orderBy(F.col("_k").desc(), F.col("_kind").desc()).rowsBetween(
@@ -152,14 +149,14 @@ def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
                      F.struct(F.col(f"_hi_{c}.x").alias("hx"), F.col(f"_hi_{c}.y").alias("hy"),
                               F.col(f"_nx_{c}.x").alias("nx"), F.col(f"_nx_{c}.y").alias("ny")))
            for c in chans}
-    u = u.select(*G, *M, "_k", "_kind", "_a", "_b",
+    u = u.select(*G, *M, "_k", "_kind", *gcols,
                  *[F.last(seg[c], ignorenulls=True).over(asc).alias(f"_q_{c}") for c in chans],
                  *[F.min(f"_lo_{c}").over(part).getField("y").alias(f"_f_{c}") for c in chans],
                  *[F.sum(f"_n_{c}").over(part).alias(f"_c_{c}") for c in chans])
 
-    # 5. interpolate at the grid rows
+    # interpolate at the grid rows
     k = F.col("_k")
-    g = _grid_point(k, a, b, n)
+    g = _gp(k)
     out = [*G, *M, k.alias("grid_index"), g.alias(axis)]
     for c in chans:
         q = F.col(f"_q_{c}")
@@ -172,6 +169,51 @@ def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
     return u.filter(F.col("_kind") == 1).select(*out)
 
 
+def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
+          member_keys: Sequence[str], lap_keys: Sequence[str] = SAMPLE_KEYS,
+          channels: Sequence[str] = DEFAULT_COMPARISON_CHANNELS, points: int = DEFAULT_GRID_POINTS,
+          axis: str = "Distance", lap_dom: DataFrame | None = None) -> DataFrame:
+    """Interpolate every member lap of every group onto the group's common grid (AL1-AL3).
+
+    ``samples``: cleaned samples (unique axis value per lap, as ``clean_samples`` leaves them).
+    ``members``: one row per (group, member) naming the lap it plays (``lap_keys``).
+    ``members`` may already carry each lap's ``lo`` / ``hi`` axis range; otherwise it is
+    joined to ``lap_dom`` (default: ``lap_domain(samples)``).
+    Returns (group keys, member keys, grid_index, axis, one column per channel present).
+    """
+    G, M, L = list(group_keys), list(member_keys), list(lap_keys)
+    if int(points) < 1:
+        raise ValueError("points must be >= 1")
+    if "lo" in members.columns and "hi" in members.columns:
+        mem = members.select(*_uniq(G, M, L), "lo", "hi")
+    else:
+        if lap_dom is None:
+            lap_dom = lap_domain(samples, lap_keys=L, axis=axis)
+        mem = members.select(*_uniq(G, M, L)).join(lap_dom, L)
+    # group domain as a window over the members: no self-join, one exchange on G
+    wg = Window.partitionBy(*G)
+    mem_dom = (mem.withColumn("_a", F.max("lo").over(wg)).withColumn("_b", F.min("hi").over(wg))
+               .filter(F.col("_b") > F.col("_a")).select(*_uniq(G, M, L), "_a", "_b"))
+    return interpolate_on_grid(samples, linspace_grid(mem_dom, points), group_keys=G,
+                               member_keys=M, lap_keys=L, channels=channels, axis=axis)
+
+
+def resample_time(samples: DataFrame, *, frequency_hz: float = 10.0,
+                  lap_keys: Sequence[str] = SAMPLE_KEYS, axis: str = "TimeSeconds",
+                  channels: Sequence[str] = ("Distance", "Speed", "Throttle", "Brake", "RPM",
+                                             "nGear", "DRS")) -> DataFrame:
+    """CL4: resample each lap onto a regular time grid t0 + k / f, k = 0..floor((t1 - t0) * f),
+    by linear interpolation (clamped at the ends, like the distance alignment)."""
+    L = list(lap_keys)
+    f = float(frequency_hz)
+    dom = lap_domain(samples, lap_keys=L, axis=axis)
+    grid = (dom.withColumn("_a", F.col("lo")).withColumn("_b", F.col("hi"))
+            .withColumn("_n", (F.floor((F.col("hi") - F.col("lo")) * F.lit(f)) + 1).cast("int"))
+            .withColumn("_step", F.lit(1.0 / f)).withColumn("_last", F.lit(False)))
+    return interpolate_on_grid(samples, grid, group_keys=L, member_keys=[], lap_keys=L,
+                               channels=channels, axis=axis)
+
+
 def align_many(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
                member_keys: Sequence[str] = ("driver",), lap_keys: Sequence[str] = SAMPLE_KEYS,
                channels: Sequence[str] = DEFAULT_COMPARISON_CHANNELS,

@@ -249,3 +249,124 @@ def q_stint_degradation(spark, sf):
 @query("stint_degradation_driver", _stint_sql(f"and Driver = '{FILTER_DRIVER}'"))
 def q_stint_degradation_driver(spark, sf):
     return _round(PA.stint_degradation(laps_df(spark, sf), FILTER_DRIVER), {"MeanLap", "DegradationPerLap"})
+
+
+# ---------------------------------------------------------------- samples (CL1-CL4, SC3-SC5, WN, CO, AG4-AG8)
+
+from tracekit.operators import corners as CO  # noqa: E402
+from tracekit.operators import insights as IN  # noqa: E402
+from tracekit.operators import zones as ZN  # noqa: E402
+
+# --- fixed query parameters ---
+CORNER_WINDOW = 10.0
+ZONE_MIN_M = 20.0
+RESAMPLE_HZ = 1.0
+RESAMPLE_CHANNELS = ("Distance", "Speed", "Throttle")
+DERIVE_ROUND = 6
+# --- end of fixed query parameters ---
+
+SAMPLE_ID = "session_id, driver, lap_number"
+
+
+@query("derive_distance", O.with_blocks(["samples"], f"""
+select session_id, driver, lap_number, sample_id, TimeSeconds, Speed,
+  round(sum(step) over (partition by {SAMPLE_ID} order by TimeSeconds, sample_id
+                        rows between unbounded preceding and current row), {DERIVE_ROUND}) Distance
+from (select *, coalesce(Speed/3.6*(TimeSeconds - lag(TimeSeconds) over
+        (partition by {SAMPLE_ID} order by TimeSeconds, sample_id)), 0) step from samples)"""))
+def q_derive_distance(spark, sf):
+    raw = A.samples(spark, sf).drop("Distance")
+    d = CL.derive_distance(raw)
+    return d.select("session_id", "driver", "lap_number", "sample_id", "TimeSeconds", "Speed",
+                    F.round("Distance", DERIVE_ROUND).alias("Distance"))
+
+
+@query("dedupe_samples", O.with_blocks(["clean"], "select * from clean"))
+def q_dedupe_samples(spark, sf):
+    return CL.clean_samples(A.samples_with_duplicates(spark, sf))
+
+
+@query("coerce_channels", O.with_blocks(["samples"], """
+select sample_id, session_id, driver, lap_number, Distance, TimeSeconds, Speed, Throttle,
+  cast(Brake as double) Brake, RPM, nGear, DRS, X, Y,
+  try_cast(case when sample_id % 7 = 0 then 'n/a' else cast(Y as varchar) end as double) Z
+from samples"""))
+def q_coerce_channels(spark, sf):
+    raw = A.samples(spark, sf)
+    raw = raw.withColumn("Z", F.when(F.col("sample_id") % 7 == 0, F.lit("n/a"))
+                         .otherwise(F.col("Y").cast("string")))
+    return CL.coerce_channels(raw)
+
+
+@query("binary_channels", O.with_blocks(["samples"], """
+select sample_id, session_id, driver, lap_number,
+  case when coalesce(cast(Brake as double), 0) <> 0 then 1 else 0 end Brake, DRS,
+  case when coalesce(DRS, 0) >= 10 then 1 else 0 end DRSActive from samples"""))
+def q_binary_channels(spark, sf):
+    return CL.binary_channels(A.samples(spark, sf)).select(
+        "sample_id", "session_id", "driver", "lap_number", "Brake", "DRS", "DRSActive")
+
+
+@query("resample_time", O.resample_sql(frequency_hz=RESAMPLE_HZ, channels=RESAMPLE_CHANNELS))
+def q_resample_time(spark, sf):
+    return AL.resample_time(clean_samples(spark, sf), frequency_hz=RESAMPLE_HZ,
+                            channels=RESAMPLE_CHANNELS)
+
+
+ZONE_SQL = f"""
+zb AS (select *, case when coalesce(cast(Brake as double), 0) > 0.5 then 1 else 0 end br from clean),
+zc AS (select *, case when lag(br) over w is null or lag(br) over w <> br then 1 else 0 end chg from zb
+       window w as (partition by {SAMPLE_ID} order by Distance, sample_id)),
+zi AS (select *, sum(chg) over (partition by {SAMPLE_ID} order by Distance, sample_id
+                                 rows between unbounded preceding and current row) ZoneId from zc)"""
+
+
+@query("zone_ids", O.with_blocks(["clean"], f"""
+select session_id, driver, lap_number, sample_id, Distance, br Braking, ZoneId from zi""", [ZONE_SQL]))
+def q_zone_ids(spark, sf):
+    return ZN.zone_ids(clean_samples(spark, sf))
+
+
+@query("braking_zones", O.with_blocks(["clean"], f"""
+select session_id, driver Driver, lap_number Lap, ZoneId, StartDistance, EndDistance, LengthM, DurationS,
+  EntrySpeed, MinimumSpeed, EntrySpeed - MinimumSpeed SpeedDrop,
+  (EntrySpeed - MinimumSpeed) / LengthM SpeedDropPerMeter
+from (select session_id, driver, lap_number, ZoneId, min(Distance) StartDistance, max(Distance) EndDistance,
+        max(Distance) - min(Distance) LengthM, max(TimeSeconds) - min(TimeSeconds) DurationS,
+        first(Speed order by Distance) EntrySpeed, min(Speed) MinimumSpeed
+      from zi where br = 1 group by all)
+where LengthM >= {ZONE_MIN_M}""", [ZONE_SQL]))
+def q_braking_zones(spark, sf):
+    return ZN.braking_zones(clean_samples(spark, sf), minimum_distance_m=ZONE_MIN_M)
+
+
+@query("corner_window", O.with_blocks(["clean", "corners"], f"""
+select c.session_id, c.driver, c.lap_number, k.Number, k.Letter, k.Distance CornerDistance,
+  c.sample_id, c.Distance, c.Speed
+from clean c join corners k on c.Distance between k.Distance - {CORNER_WINDOW} and k.Distance + {CORNER_WINDOW}"""))
+def q_corner_window(spark, sf):
+    return CO.corner_window(clean_samples(spark, sf), A.corners(spark, sf), window_m=CORNER_WINDOW)
+
+
+@query("corner_speed", O.with_blocks(["clean", "corners"], f"""
+select c.session_id, c.driver Driver, c.lap_number Lap,
+  trim(cast(k.Number as varchar) || trim(coalesce(k.Letter, ''))) Corner, k.Distance,
+  first(c.Speed order by c.Distance) EntrySpeed, min(c.Speed) ApexMinimumSpeed,
+  last(c.Speed order by c.Distance) ExitSpeed
+from clean c join corners k on c.Distance between k.Distance - {CORNER_WINDOW} and k.Distance + {CORNER_WINDOW}
+group by c.session_id, c.driver, c.lap_number, k.Number, k.Letter, k.Distance"""))
+def q_corner_speed(spark, sf):
+    return CO.corner_speeds(clean_samples(spark, sf), A.corners(spark, sf), window_m=CORNER_WINDOW)
+
+
+@query("speed_extremes", O.with_blocks(["clean"], f"""
+select {SAMPLE_ID}, max(Speed) PeakSpeed, min(Speed) MinimumSpeed from clean group by all"""))
+def q_speed_extremes(spark, sf):
+    return IN.speed_extremes(clean_samples(spark, sf))
+
+
+@query("full_throttle_share", O.with_blocks(["clean"], f"""
+select {SAMPLE_ID}, avg(case when Throttle > 95 then 1.0::double else 0.0::double end) * 100 FullThrottlePct
+from clean group by all"""))
+def q_full_throttle_share(spark, sf):
+    return IN.full_throttle_share(clean_samples(spark, sf))

@@ -95,8 +95,9 @@ def with_blocks(names: Sequence[str], body: str, extra: Sequence[str] = ()) -> s
     return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
 
 
-def align_sql(*, mode: str, channels: Sequence[str], points: int) -> str:
-    """Oracle for ``align_pairs`` (mode 'pairs') or ``align_many`` per (session, lap) (mode 'many').
+def align_ctes(*, mode: str, channels: Sequence[str], points: int, name: str = "aligned") -> list[str]:
+    """CTEs ending in ``<name>`` for ``align_pairs`` (mode 'pairs') or ``align_many`` per
+    (session, lap) (mode 'many'); needs the ``pairs`` / ``lapidx`` block.
 
     ASOF LEFT JOIN of the grid on the channel's (x, y, next x, next y) segments.
     """
@@ -115,49 +116,84 @@ members AS (
         members = """
 members AS (select session_id, lap_number, driver from lapidx)"""
     gks = ", ".join(gk)
-    mkeys = gks + ", " + mk if mk not in gk else gks
-    on = " and ".join(f"g.{c} = s.{c}" for c in [*gk, mk, "ch"])
-    pts = "\n  union all\n  ".join(
-        f"select {', '.join('m.' + c for c in [*gk, mk])}, '{c}' ch, c.Distance x, cast(c.{c} as double) y "
-        f"from mem m join clean c on m.session_id = c.session_id and m.driver = c.driver "
-        f"and m.lap_number = c.lap_number where c.{c} is not null"
-        for c in channels)
-    chvals = ", ".join(f"('{c}')" for c in channels)
-    grid_x = "d.a" if n == 1 else f"case when t.i = {n - 1} then d.b else d.a + cast(t.i as double) * ((d.b - d.a)/{n - 1}.0) end"
-    extra = [members, f"""
+    grid_x = "d.a" if n == 1 else (f"case when t.i = {n - 1} then d.b "
+                                   f"else d.a + cast(t.i as double) * ((d.b - d.a)/{n - 1}.0) end")
+    ctes = [members, """
 lapdom AS (select session_id, driver, lap_number, min(Distance) lo, max(Distance) hi from clean group by all)""",
-             """
+            """
 mem AS (select m.*, l.lo, l.hi from members m join lapdom l using (session_id, driver, lap_number))""",
-             f"""
+            f"""
 dom AS (select {gks}, max(lo) a, min(hi) b from mem group by {gks} having min(hi) > max(lo))""",
-             f"""
-grid AS (select {', '.join('m.' + c for c in [*gk, mk])}, cast(t.i as int) grid_index, {grid_x} x
-  from mem m join dom d using ({gks}) cross join range(0, {n}) t(i))""",
-             f"""
-pts AS (
-  {pts})""",
-             f"""
-seg AS (select *, lead(x) over w x1, lead(y) over w y1 from pts
-        window w as (partition by {', '.join([*gk, mk, 'ch'])} order by x))""",
-             f"""
-stats AS (select {', '.join([*gk, mk, 'ch'])}, count(*) c, arg_min(y, x) fy from pts group by all)""",
-             f"""
-gridch AS (select * from grid cross join (values {chvals}) v(ch))""",
-             f"""
-j AS (select g.*, s.x sx, s.y sy, s.x1, s.y1 from gridch g asof left join seg s on {on} and g.x >= s.x)""",
-             f"""
-v AS (select j.*, case when st.c is null or st.c < 2 then null when j.sx is null then st.fy
-        when j.x1 is null or j.x = j.sx then j.sy
-        else (j.y1 - j.sy)/(j.x1 - j.sx)*(j.x - j.sx) + j.sy end val
-      from j left join stats st using ({', '.join([*gk, mk, 'ch'])}))"""]
+            f"""
+grid AS (select {', '.join('m.' + c for c in [*gk, mk])}, m.driver, m.lap_number lap_no,
+           cast(t.i as int) grid_index, {grid_x} x
+  from mem m join dom d using ({gks}) cross join range(0, {n}) t(i))"""]
+    ctes += interp_ctes(grid="grid", group=[*gk, mk], channels=channels, axis="Distance", prefix="a_")
     if mode == "pairs":
         cols = [f"max(case when role = '{r}' and ch = '{c}' then val end) {r}_{c}"
                 for r in ("ref", "cmp") for c in channels]
         if "TimeSeconds" in channels:
             cols.append("max(case when role = 'cmp' and ch = 'TimeSeconds' then val end) - "
                         "max(case when role = 'ref' and ch = 'TimeSeconds' then val end) DeltaSeconds")
-        body = f"select {gks}, grid_index, max(x) Distance, {', '.join(cols)} from v group by {gks}, grid_index"
+        body = (f"select {gks}, grid_index, max(x) Distance, {', '.join(cols)} from a_v "
+                f"group by {gks}, grid_index")
     else:
         cols = [f"max(case when ch = '{c}' then val end) {c}" for c in channels]
-        body = f"select {gks}, driver, grid_index, max(x) Distance, {', '.join(cols)} from v group by {gks}, driver, grid_index"
-    return with_blocks(["pairs" if mode == "pairs" else "lapidx"], body, extra)
+        body = (f"select {gks}, driver, grid_index, max(x) Distance, {', '.join(cols)} from a_v "
+                f"group by {gks}, driver, grid_index")
+    return ctes + [f"\n{name} AS ({body})"]
+
+
+def interp_ctes(*, grid: str, group: Sequence[str], channels: Sequence[str], axis: str,
+                prefix: str) -> list[str]:
+    """Interpolate ``channels`` of table ``clean`` at the points of ``grid``.
+
+    ``grid`` has the ``group`` columns, the lap it reads (driver, lap_no, session_id),
+    grid_index and x. Result CTE ``<prefix>v``: grid rows x channel with ``val``.
+    """
+    keys = ", ".join(group)
+    gsel = ", ".join(f"g.{c}" for c in group)
+    gdist = ", ".join(dict.fromkeys([*group, "session_id", "driver", "lap_no"]))
+    pts = "\n  union all\n  ".join(
+        f"select {gsel}, '{c}' ch, c.{axis} x, cast(c.{c} as double) y "
+        f"from (select distinct {gdist} from {grid}) g join clean c "
+        f"on g.session_id = c.session_id and g.driver = c.driver and g.lap_no = c.lap_number "
+        f"where c.{c} is not null and c.{axis} is not null"
+        for c in channels)
+    chvals = ", ".join(f"('{c}')" for c in channels)
+    on = " and ".join(f"g.{c} = s.{c}" for c in [*group, "ch"])
+    p = prefix
+    return [f"""
+{p}pts AS (
+  {pts})""", f"""
+{p}seg AS (select *, lead(x) over w x1, lead(y) over w y1 from {p}pts
+        window w as (partition by {keys}, ch order by x))""", f"""
+{p}stats AS (select {keys}, ch, count(*) c, arg_min(y, x) fy from {p}pts group by all)""", f"""
+{p}gridch AS (select * from {grid} cross join (values {chvals}) v(ch))""", f"""
+{p}j AS (select g.*, s.x sx, s.y sy, s.x1, s.y1 from {p}gridch g asof left join {p}seg s
+        on {on} and g.x >= s.x)""", f"""
+{p}v AS (select j.*, case when st.c is null or st.c < 2 then null when j.sx is null then st.fy
+        when j.x1 is null or j.x = j.sx then j.sy
+        else (j.y1 - j.sy)/(j.x1 - j.sx)*(j.x - j.sx) + j.sy end val
+      from {p}j j left join {p}stats st using ({keys}, ch))"""]
+
+
+def align_sql(*, mode: str, channels: Sequence[str], points: int) -> str:
+    return with_blocks(["pairs" if mode == "pairs" else "lapidx"], "select * from aligned",
+                       align_ctes(mode=mode, channels=channels, points=points))
+
+
+def resample_sql(*, frequency_hz: float, channels: Sequence[str]) -> str:
+    f = float(frequency_hz)
+    grid = f"""
+rgrid AS (select d.session_id, d.driver, d.lap_number, d.lap_number lap_no,
+            cast(t.i as int) grid_index, d.lo + cast(t.i as double) * {repr(1.0 / f)} x
+          from (select session_id, driver, lap_number, min(TimeSeconds) lo, max(TimeSeconds) hi
+                from clean where TimeSeconds is not null group by all) d,
+          range(0, cast(floor((d.hi - d.lo) * {repr(f)}) as bigint) + 1) t(i))"""
+    ctes = [grid] + interp_ctes(grid="rgrid", group=["session_id", "driver", "lap_number"],
+                                channels=channels, axis="TimeSeconds", prefix="r_")
+    cols = ", ".join(f"max(case when ch = '{c}' then val end) {c}" for c in channels)
+    body = (f"select session_id, driver, lap_number, grid_index, max(x) TimeSeconds, {cols} "
+            f"from r_v group by session_id, driver, lap_number, grid_index")
+    return with_blocks(["clean"], body, ctes)
