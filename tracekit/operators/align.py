@@ -42,10 +42,12 @@ def lap_domain(samples: DataFrame, *, lap_keys: Sequence[str] = SAMPLE_KEYS,
 
 
 def common_domain(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
-                  lap_keys: Sequence[str] = SAMPLE_KEYS, axis: str = "Distance") -> DataFrame:
+                  lap_keys: Sequence[str] = SAMPLE_KEYS, axis: str = "Distance",
+                  lap_dom: DataFrame | None = None) -> DataFrame:
     """AL1: per group [max of lap minima, min of lap maxima]; groups with end <= start drop out."""
-    mem = members.select(*_uniq(group_keys, lap_keys)).join(
-        lap_domain(samples, lap_keys=lap_keys, axis=axis), list(lap_keys))
+    if lap_dom is None:
+        lap_dom = lap_domain(samples, lap_keys=lap_keys, axis=axis)
+    mem = members.select(*_uniq(group_keys, lap_keys)).join(lap_dom, list(lap_keys))
     return (mem.groupBy(*group_keys)
             .agg(F.max("lo").alias("start"), F.min("hi").alias("end"))
             .filter(F.col("end") > F.col("start")))
@@ -224,14 +226,16 @@ def align_many(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[s
 
 
 def pair_members(pairs: DataFrame, *, pair_keys: Sequence[str] = PAIR_KEYS) -> DataFrame:
-    """(pair keys, role, driver[, lo, hi]) rows: role 'ref' plays ref_driver, 'cmp' cmp_driver.
-
-    When ``pairs`` carries ``ref_lo/ref_hi/cmp_lo/cmp_hi`` they become the members' lo/hi.
-    """
+    """(pair keys, role, driver[, lap_number][, lo, hi]) rows: role 'ref' plays ref_driver,
+    'cmp' plays cmp_driver. The lap is the shared ``lap_number`` pair key, or ``ref_lap`` /
+    ``cmp_lap`` when the two sides drive different laps. ``ref_lo/ref_hi/cmp_lo/cmp_hi``
+    (when present) become the members' lo/hi."""
     keys = list(pair_keys)
     sides = []
     for role in ("ref", "cmp"):
         fields = [F.lit(role).alias("role"), F.col(f"{role}_driver").alias("driver")]
+        if f"{role}_lap" in pairs.columns:
+            fields.append(F.col(f"{role}_lap").alias("lap_number"))
         if f"{role}_lo" in pairs.columns:
             fields += [F.col(f"{role}_lo").alias("lo"), F.col(f"{role}_hi").alias("hi")]
         sides.append(F.struct(*fields))

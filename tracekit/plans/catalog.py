@@ -370,3 +370,118 @@ select {SAMPLE_ID}, avg(case when Throttle > 95 then 1.0::double else 0.0::doubl
 from clean group by all"""))
 def q_full_throttle_share(spark, sf):
     return IN.full_throttle_share(clean_samples(spark, sf))
+
+
+# ---------------------------------------------------------------- comparisons (AL1-AL4, AL6, AG6-AG8)
+
+from tracekit.plans import compare as CP  # noqa: E402
+
+DELTA_CHANNELS = ("TimeSeconds",)
+PAIR_KEYS_SQL = "session_id, lap_number, ref_driver, cmp_driver"
+
+
+def sample_pairs(spark, sf):
+    s, dom = cleaned_with_domain(spark, sf)
+    return s, dom, AL.pairs_by_reference(dom)
+
+
+@query("common_domain", O.align_sql(mode="pairs", channels=DELTA_CHANNELS, points=GRID_POINTS,
+                                    body=f"select {PAIR_KEYS_SQL}, a start, b \"end\" from dom"))
+def q_common_domain(spark, sf):
+    s, dom, pairs = sample_pairs(spark, sf)
+    return AL.common_domain(s, AL.pair_members(pairs).drop("lo", "hi"), group_keys=AL.PAIR_KEYS,
+                            lap_dom=dom)
+
+
+@query("distance_grid", O.align_sql(mode="pairs", channels=DELTA_CHANNELS, points=GRID_POINTS,
+                                    body=f"select distinct {PAIR_KEYS_SQL}, grid_index, x Distance from grid"))
+def q_distance_grid(spark, sf):
+    s, dom, pairs = sample_pairs(spark, sf)
+    d = AL.common_domain(s, AL.pair_members(pairs).drop("lo", "hi"), group_keys=AL.PAIR_KEYS, lap_dom=dom)
+    return AL.distance_grid(d, group_keys=AL.PAIR_KEYS, points=GRID_POINTS)
+
+
+@query("interpolate_channel", O.align_sql(mode="self", channels=("Speed",), points=GRID_POINTS))
+def q_interpolate_channel(spark, sf):
+    s, dom = cleaned_with_domain(spark, sf)
+    return AL.align(s, dom, group_keys=["session_id", "driver", "lap_number"], member_keys=[],
+                    channels=("Speed",), points=GRID_POINTS)
+
+
+@query("delta_time", O.align_sql(mode="pairs", channels=DELTA_CHANNELS, points=GRID_POINTS,
+                                 body=f"select {PAIR_KEYS_SQL}, grid_index, Distance, DeltaSeconds from aligned"))
+def q_delta_time(spark, sf):
+    s, dom, pairs = sample_pairs(spark, sf)
+    return AL.delta_time(AL.align_pairs(s, pairs, channels=DELTA_CHANNELS, points=GRID_POINTS))
+
+
+CMP_SQL = [REQ_SQL, META_SQL, """
+meta2 AS (select * from meta where session_id in (select session_id from meta group by 1 having count(*) >= 2))""",
+           """
+lpairs AS (select m.session_id, r.driver ref_driver, r.lap_number ref_lap, m.driver cmp_driver, m.lap_number cmp_lap
+  from meta2 m join (select * from (select *, row_number() over (partition by session_id order by position) rn
+                                    from meta2) where rn = 1) r using (session_id)
+  where m.position <> r.position)"""]
+
+
+def _cmp_sql(body: str, extra: list[str] | None = None) -> str:
+    ctes = CMP_SQL + O.align_ctes(mode="lappairs", channels=DELTA_CHANNELS, points=GRID_POINTS) + (extra or [])
+    return O.with_blocks(["sel", "clean"], body, ctes)
+
+
+FINAL_DELTA_SQL = """
+fd AS (select session_id, ref_driver, cmp_driver, FinalDelta, abs(FinalDelta) AbsDelta,
+         case when FinalDelta > 0 then 'behind' else 'ahead' end Direction
+       from (select session_id, ref_driver, cmp_driver, arg_max(DeltaSeconds, grid_index) FinalDelta
+             from aligned where DeltaSeconds is not null group by all))"""
+
+GAP_SQL = """
+gap AS (select session_id, first(driver order by lap_time_seconds, position) Fastest,
+          first(driver order by lap_time_seconds desc, position) Slowest,
+          max(lap_time_seconds) - min(lap_time_seconds) GapSeconds
+        from meta2 where lap_time_seconds is not null group by 1)"""
+
+STATS_SQL = """
+st AS (select session_id, driver, lap_number, max(Speed) PeakSpeed, min(Speed) MinimumSpeed,
+         avg(case when Throttle > 95 then 1.0::double else 0.0::double end) * 100 FullThrottlePct
+       from clean join (select session_id, driver, lap_number from meta2) using (session_id, driver, lap_number)
+       group by all)"""
+
+
+def compare_df(spark, sf):
+    return CP.compare_fastest_laps(sel_df(spark, sf), clean_samples(spark, sf), requests_df(spark, sf),
+                                   channels=DELTA_CHANNELS, points=GRID_POINTS)
+
+
+@query("compare_fastest", _cmp_sql("select * from aligned"))
+def q_compare_fastest(spark, sf):
+    return compare_df(spark, sf)["pairs"]
+
+
+@query("best_lap_gap", _cmp_sql("select * from gap where Fastest <> Slowest", [GAP_SQL]))
+def q_best_lap_gap(spark, sf):
+    return IN.best_lap_gap(compare_df(spark, sf)["laps"], group_keys=["session_id"])
+
+
+@query("final_delta", _cmp_sql("select * from fd", [FINAL_DELTA_SQL]))
+def q_final_delta(spark, sf):
+    return IN.final_delta(compare_df(spark, sf)["pairs"], group_keys=list(CP.PAIR_BY_SESSION))
+
+
+@query("insights", _cmp_sql("""
+select session_id, cast(Item as int) Item, Kind, Driver, Other, Value1, Value2 from (
+  select *, row_number() over (partition by session_id order by o, s) Item from (
+    select session_id, 0 o, 0 s, 'best_lap_gap' Kind, Fastest Driver, Slowest Other, GapSeconds Value1,
+      cast(null as double) Value2 from gap where Fastest <> Slowest
+    union all
+    select m.session_id, 1, m.position * 2, 'speed', m.driver, null, st.PeakSpeed, st.MinimumSpeed
+      from meta2 m join st using (session_id, driver, lap_number)
+    union all
+    select m.session_id, 1, m.position * 2 + 1, 'full_throttle', m.driver, null, st.FullThrottlePct, null
+      from meta2 m join st using (session_id, driver, lap_number)
+    union all
+    select session_id, 2, 0, 'final_delta', null, Direction, AbsDelta, FinalDelta from fd
+      where session_id in (select session_id from meta2 group by 1 having count(*) = 2)))
+where Item <= 8""", [FINAL_DELTA_SQL, GAP_SQL, STATS_SQL]))
+def q_insights(spark, sf):
+    return compare_df(spark, sf)["insights"]

@@ -103,21 +103,35 @@ def align_ctes(*, mode: str, channels: Sequence[str], points: int, name: str = "
     """
     n = points
     if mode == "pairs":
-        gk = ["session_id", "lap_number", "ref_driver", "cmp_driver"]
-        mk = "role"
+        gk, mk = ["session_id", "lap_number", "ref_driver", "cmp_driver"], ["role"]
         members = """
 members AS (
   select session_id, lap_number, ref_driver, cmp_driver, 'ref' role, ref_driver driver from pairs
   union all
   select session_id, lap_number, ref_driver, cmp_driver, 'cmp' role, cmp_driver driver from pairs)"""
-    else:
-        gk = ["session_id", "lap_number"]
-        mk = "driver"
+    elif mode == "lappairs":
+        gk, mk = ["session_id", "ref_driver", "cmp_driver"], ["role"]
+        members = """
+members AS (
+  select session_id, ref_driver, cmp_driver, 'ref' role, ref_driver driver, ref_lap lap_number from lpairs
+  union all
+  select session_id, ref_driver, cmp_driver, 'cmp' role, cmp_driver driver, cmp_lap lap_number from lpairs)"""
+    elif mode == "many":
+        gk, mk = ["session_id", "lap_number"], ["driver"]
         members = """
 members AS (select session_id, lap_number, driver from lapidx)"""
+    elif mode == "manysel":
+        gk, mk = ["session_id"], ["driver"]
+        members = """
+members AS (select session_id, driver, lap_number from meta2)"""
+    else:  # "self": every lap on its own grid
+        gk, mk = ["session_id", "driver", "lap_number"], []
+        members = """
+members AS (select session_id, driver, lap_number from lapidx)"""
     gks = ", ".join(gk)
     grid_x = "d.a" if n == 1 else (f"case when t.i = {n - 1} then d.b "
                                    f"else d.a + cast(t.i as double) * ((d.b - d.a)/{n - 1}.0) end")
+    gsel = ", ".join(f"m.{c}" for c in dict.fromkeys([*gk, *mk, "driver"]))
     ctes = [members, """
 lapdom AS (select session_id, driver, lap_number, min(Distance) lo, max(Distance) hi from clean group by all)""",
             """
@@ -125,11 +139,11 @@ mem AS (select m.*, l.lo, l.hi from members m join lapdom l using (session_id, d
             f"""
 dom AS (select {gks}, max(lo) a, min(hi) b from mem group by {gks} having min(hi) > max(lo))""",
             f"""
-grid AS (select {', '.join('m.' + c for c in [*gk, mk])}, m.driver, m.lap_number lap_no,
-           cast(t.i as int) grid_index, {grid_x} x
+grid AS (select {gsel}, m.lap_number lap_no, cast(t.i as int) grid_index, {grid_x} x
   from mem m join dom d using ({gks}) cross join range(0, {n}) t(i))"""]
-    ctes += interp_ctes(grid="grid", group=[*gk, mk], channels=channels, axis="Distance", prefix="a_")
-    if mode == "pairs":
+    mk_ = mk
+    ctes += interp_ctes(grid="grid", group=[*gk, *mk_], channels=channels, axis="Distance", prefix="a_")
+    if mode in ("pairs", "lappairs"):
         cols = [f"max(case when role = '{r}' and ch = '{c}' then val end) {r}_{c}"
                 for r in ("ref", "cmp") for c in channels]
         if "TimeSeconds" in channels:
@@ -139,8 +153,9 @@ grid AS (select {', '.join('m.' + c for c in [*gk, mk])}, m.driver, m.lap_number
                 f"group by {gks}, grid_index")
     else:
         cols = [f"max(case when ch = '{c}' then val end) {c}" for c in channels]
-        body = (f"select {gks}, driver, grid_index, max(x) Distance, {', '.join(cols)} from a_v "
-                f"group by {gks}, driver, grid_index")
+        gm = ", ".join([*gk, *mk_])
+        body = (f"select {gm}, grid_index, max(x) Distance, {', '.join(cols)} from a_v "
+                f"group by {gm}, grid_index")
     return ctes + [f"\n{name} AS ({body})"]
 
 
@@ -178,8 +193,8 @@ def interp_ctes(*, grid: str, group: Sequence[str], channels: Sequence[str], axi
       from {p}j j left join {p}stats st using ({keys}, ch))"""]
 
 
-def align_sql(*, mode: str, channels: Sequence[str], points: int) -> str:
-    return with_blocks(["pairs" if mode == "pairs" else "lapidx"], "select * from aligned",
+def align_sql(*, mode: str, channels: Sequence[str], points: int, body: str = "select * from aligned") -> str:
+    return with_blocks(["pairs" if mode == "pairs" else "lapidx"], body,
                        align_ctes(mode=mode, channels=channels, points=points))
 
 
