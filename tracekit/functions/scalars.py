@@ -87,9 +87,19 @@ def session_label(year: Column, grand_prix: Column, session_type: Column) -> Col
     return F.concat_ws(" ", year.cast("string"), grand_prix, session_type)
 
 
+def millis_text(seconds: Column) -> Column:
+    """Seconds with three decimals via integer milliseconds (same digits in every engine)."""
+    ms = F.round(seconds * 1000).cast("bigint")
+    sign = F.when(ms < 0, F.lit("-")).otherwise(F.lit(""))
+    a = F.abs(ms)
+    return F.concat(sign, (a / 1000).cast("bigint").cast("string"), F.lit("."),
+                    F.lpad((a % 1000).cast("string"), 3, "0"))
+
+
 def lap_label(driver: Column, lap_number: Column, lap_time: Column) -> Column:
-    """SC9: ``'{driver} L{n} ({t:.3f}s)'``."""
-    return F.format_string("%s L%d (%.3fs)", driver, lap_number.cast("int"), lap_time)
+    """SC9: ``'{driver} L{n} ({t:.3f}s)'``; a missing lap time reads 'nan' as in Python."""
+    t = F.coalesce(millis_text(lap_time), F.lit("nan"))
+    return F.concat(driver, F.lit(" L"), lap_number.cast("int").cast("string"), F.lit(" ("), t, F.lit("s)"))
 
 
 def corner_label(number: Column, letter: Column) -> Column:

@@ -485,3 +485,115 @@ select session_id, cast(Item as int) Item, Kind, Driver, Other, Value1, Value2 f
 where Item <= 8""", [FINAL_DELTA_SQL, GAP_SQL, STATS_SQL]))
 def q_insights(spark, sf):
     return compare_df(spark, sf)["insights"]
+
+
+# ---------------------------------------------------------------- scalars (SC1, SC7, SC9) and feeds (CH1-CH7)
+
+from tracekit.functions import scalars as S  # noqa: E402
+from tracekit.operators import feeds as FD  # noqa: E402
+
+# --- fixed query parameters ---
+SESSION_TYPE = "Sprint  Shootout!"
+# --- end of fixed query parameters ---
+
+LABEL_SQL = """({d} || ' L' || cast({n} as varchar) || ' (' ||
+  coalesce(case when {t} is null then null else
+    (case when round({t} * 1000) < 0 then '-' else '' end)
+    || cast(cast(abs(round({t} * 1000)) as bigint) // 1000 as varchar) || '.'
+    || lpad(cast(cast(abs(round({t} * 1000)) as bigint) % 1000 as varchar), 3, '0') end, 'nan') || 's)')"""
+
+
+def label_sql(d, n, t):
+    return LABEL_SQL.format(d=d, n=n, t=t)
+
+
+@query("duration_seconds", """
+select l_orderkey, l_linenumber, epoch(l_shipdate - o_orderdate) ShipDelaySeconds
+from lineitem join orders on l_orderkey = o_orderkey""")
+def q_duration_seconds(spark, sf):
+    li = A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    o = A.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    return j.select("l_orderkey", "l_linenumber",
+                    S.interval_seconds(F.col("l_shipdate") - F.col("o_orderdate")).alias("ShipDelaySeconds"))
+
+
+@query("session_key", f"""
+select cast(2018 + n_regionkey as int) AS "year", n_name event_name,
+  concat_ws('_', cast(2018 + n_regionkey as varchar),
+            trim(regexp_replace(lower(n_name), '[^\\p{{L}}\\p{{N}}]', '_', 'g'), '_'),
+            trim(regexp_replace(lower('{SESSION_TYPE}'), '[^\\p{{L}}\\p{{N}}]', '_', 'g'), '_')) session_id,
+  concat_ws(' ', cast(2018 + n_regionkey as varchar), n_name, '{SESSION_TYPE}') label
+from nation""")
+def q_session_key(spark, sf):
+    n = A.table(spark, sf, "nation")
+    year = (2018 + F.col("n_regionkey")).cast("int")
+    return n.select(year.alias("year"), F.col("n_name").alias("event_name"),
+                    S.session_key(year, F.col("n_name"), F.lit(SESSION_TYPE)).alias("session_id"),
+                    S.session_label(year, F.col("n_name"), F.lit(SESSION_TYPE)).alias("label"))
+
+
+@query("lap_labels", O.with_blocks(["laps"], f"""
+select session_id, Driver, LapNumber, {label_sql('Driver', 'LapNumber', 'LapTimeSeconds')} Label from laps"""))
+def q_lap_labels(spark, sf):
+    l = laps_df(spark, sf)
+    return l.select("session_id", "Driver", "LapNumber",
+                    S.lap_label(F.col("Driver"), F.col("LapNumber"), F.col("LapTimeSeconds")).alias("Label"))
+
+
+LAP_SAMPLES_SQL = """
+ls AS (select c.*, m.lap_time_seconds from clean c join
+       (select session_id, Driver driver, LapNumber lap_number, LapTimeSeconds lap_time_seconds from sel) m
+       using (session_id, driver, lap_number))"""
+
+
+def lap_samples_df(spark, sf):
+    return SE.selected_lap_samples(clean_samples(spark, sf), sel_df(spark, sf))
+
+
+@query("feed_channel_overlay", O.with_blocks(["sel", "clean"], "\nunion all\n".join(
+    f"select session_id, driver, lap_number, {label_sql('driver', 'lap_number', 'lap_time_seconds')} Label, "
+    f"Distance, '{c}' Channel, cast({c} as double) Value from ls where {c} is not null"
+    for c in FD.OVERLAY_CHANNELS), [LAP_SAMPLES_SQL]))
+def q_feed_channel_overlay(spark, sf):
+    return FD.channel_overlay(lap_samples_df(spark, sf))
+
+
+@query("feed_track_speed", O.with_blocks(["sel", "clean"], """
+select session_id, driver, lap_number, X, Y, Speed from ls where X is not null and Y is not null""",
+                                          [LAP_SAMPLES_SQL]))
+def q_feed_track_speed(spark, sf):
+    return FD.track_speed_map(lap_samples_df(spark, sf))
+
+
+@query("feed_racing_line", O.with_blocks(["sel", "clean"], f"""
+select session_id, driver, lap_number, {label_sql('driver', 'lap_number', 'lap_time_seconds')} Label, X, Y
+from ls where X is not null and Y is not null""", [LAP_SAMPLES_SQL]))
+def q_feed_racing_line(spark, sf):
+    return FD.racing_line(lap_samples_df(spark, sf))
+
+
+@query("feed_sector_bars", O.with_blocks(["sel"], """
+select session_id, Driver, 'Sector1' Sector, Sector1 AS "Seconds" from st union all
+select session_id, Driver, 'Sector2', Sector2 from st union all
+select session_id, Driver, 'Sector3', Sector3 from st""", [REQ_SQL, META_SQL, """
+st AS (select m.session_id, m.driver Driver, s.Sector1TimeSeconds Sector1, s.Sector2TimeSeconds Sector2,
+         s.Sector3TimeSeconds Sector3
+       from meta m join sel s on s.session_id = m.session_id and s.Driver = m.driver and s.LapNumber = m.lap_number)"""]))
+def q_feed_sector_bars(spark, sf):
+    return FD.sector_bars(SE.sector_table(fastest_selected_df(spark, sf), sel_df(spark, sf)))
+
+
+@query("feed_lap_evolution", O.with_blocks(["laps"], """
+select session_id, LapNumber, LapTimeSeconds, Driver, Compound from laps where LapTimeSeconds is not null"""))
+def q_feed_lap_evolution(spark, sf):
+    return FD.lap_evolution(laps_df(spark, sf))
+
+
+@query("feed_degradation", O.with_blocks(["laps"], f"""
+select session_id, Driver, Compound, Stint,
+  round(case when var_pop(cast(LapNumber as double)) = 0 then null
+        else regr_slope(LapTimeSeconds, cast(LapNumber as double)) end, {ROUND}) DegradationPerLap
+from laps where LapTimeSeconds is not null group by session_id, Driver, Stint, Compound having count(*) >= 3"""))
+def q_feed_degradation(spark, sf):
+    return FD.degradation_feed(_round(PA.stint_degradation(laps_df(spark, sf)), {"DegradationPerLap"}))
