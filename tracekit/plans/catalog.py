@@ -597,3 +597,172 @@ select session_id, Driver, Compound, Stint,
 from laps where LapTimeSeconds is not null group by session_id, Driver, Stint, Compound having count(*) >= 3"""))
 def q_feed_degradation(spark, sf):
     return FD.degradation_feed(_round(PA.stint_degradation(laps_df(spark, sf)), {"DegradationPerLap"}))
+
+
+# ---------------------------------------------------------------- prepared store (IO1-IO15, AL7)
+
+import uuid  # noqa: E402
+
+from tracekit.schemas import LAPS  # noqa: E402
+from tracekit.session import shared_dir  # noqa: E402
+from tracekit.sources import store as ST  # noqa: E402
+
+STORE_SCHEDULE_SQL = """
+schedule AS (select cast(2018 + n_regionkey as int) AS "year", cast(n_nationkey as int) round, n_name event_name
+             from nation union all select 2018, 99, '  ' from nation where n_nationkey = 0),
+seasons AS (select cast(2018 + r_regionkey as int) AS "year" from region
+            union all select 2030 from region where r_regionkey = 0)"""
+
+
+def _scratch(spark, name):
+    return shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def prepared_store(spark, sf):
+    """Prepare a dataset from the fastest requested laps (the CLI's prepare-session step)."""
+    root = _scratch(spark, "prepared")
+    sel = sel_df(spark, sf)
+    fsel = fastest_selected_df(spark, sf)
+    meta = SE.lap_metadata(fsel)
+    idx = ST.lap_index_from_selection(meta, SE.sector_table(fsel, sel))
+    ST.save_prepared(root, laps=sel, samples=clean_samples(spark, sf), lap_index=idx,
+                     corners=A.corners(spark, sf), frequency_hz=10)
+    return root
+
+
+@query("read_laps", O.with_blocks(["laps"], f"select {LAP_COLS} from laps"))
+def q_read_laps(spark, sf):
+    root = _scratch(spark, "laps")
+    ST.save_prepared(root, laps=laps_df(spark, sf), samples=clean_samples(spark, sf).limit(0),
+                     lap_index=spark.createDataFrame([], ST.LAP_INDEX))
+    return ST.read_laps(spark, root)
+
+
+@query("corners_or_empty", O.with_blocks(["corners"], "select Number, Letter, Distance from corners"))
+def q_corners_or_empty(spark, sf):
+    root = _scratch(spark, "corners")
+    A.corners(spark, sf).write.parquet(f"{root}/corners")
+    have = ST.read_corners(spark, root).select("Number", "Letter", "Distance")
+    empty = ST.read_corners(spark, _scratch(spark, "missing")).select("Number", "Letter", "Distance")
+    return have.unionByName(empty)
+
+
+IDX_SQL = """
+idx AS (select m.session_id, m.position, m.driver, m.lap_number, m.lap_time_seconds, m.team, m.compound,
+          m.stint, s.Sector1TimeSeconds sector1, s.Sector2TimeSeconds sector2, s.Sector3TimeSeconds sector3
+        from meta m left join sel s on s.session_id = m.session_id and s.Driver = m.driver
+          and s.LapNumber = m.lap_number)"""
+
+
+@query("prepared_round_trip", O.with_blocks(["sel"], "select * from idx", [REQ_SQL, META_SQL, IDX_SQL]))
+def q_prepared_round_trip(spark, sf):
+    return ST.read_lap_index(spark, prepared_store(spark, sf))
+
+
+@query("read_lap_samples", O.with_blocks(["sel", "clean"], """
+select c.* from clean c where exists (select 1 from meta m where m.session_id = c.session_id
+  and m.driver = c.driver and m.lap_number = c.lap_number)""", [REQ_SQL, META_SQL]))
+def q_read_lap_samples(spark, sf):
+    root = prepared_store(spark, sf)
+    s = ST.read_lap_samples(spark, root)
+    cols = clean_samples(spark, sf).columns
+    return s.select(*cols)
+
+
+@query("prepared_drivers", O.with_blocks(["sel"], "select session_id, position, driver from meta",
+                                         [REQ_SQL, META_SQL]))
+def q_prepared_drivers(spark, sf):
+    return ST.prepared_drivers(ST.read_lap_index(spark, prepared_store(spark, sf)))
+
+
+@query("missing_drivers", O.with_blocks(["sel"], """
+select r.session_id, r.Driver from req r where not exists
+  (select 1 from meta m where m.session_id = r.session_id and m.driver = r.Driver)""", [REQ_SQL, META_SQL]))
+def q_missing_drivers(spark, sf):
+    return ST.missing_drivers(ST.read_lap_index(spark, prepared_store(spark, sf)), requests_df(spark, sf))
+
+
+@query("contains_drivers", O.with_blocks(["sel"], """
+select r.session_id, (r.session_id in (select session_id from meta)) and coalesce(x.n, 0) = 0 AS "contains"
+from (select distinct session_id from req) r left join
+  (select session_id, count(*) n from req q where not exists (select 1 from meta m
+     where m.session_id = q.session_id and m.driver = q.Driver) group by 1) x using (session_id)""",
+                                         [REQ_SQL, META_SQL]))
+def q_contains_drivers(spark, sf):
+    return ST.contains_drivers(ST.read_lap_index(spark, prepared_store(spark, sf)), requests_df(spark, sf))
+
+
+@query("validate_sessions", O.with_blocks(["laps", "samples"], """
+select r.session_id, coalesce(l.n, 0) lap_count, coalesce(s.n, 0) sample_count,
+  coalesce(l.n, 0) > 0 and coalesce(s.n, 0) > 0 is_valid,
+  case when coalesce(l.n, 0) = 0 then 'no laps' when coalesce(s.n, 0) = 0 then 'no telemetry' end reason
+from (select distinct cast(n_nationkey as varchar) session_id from nation) r
+left join (select session_id, count(*) n from laps group by 1) l using (session_id)
+left join (select session_id, count(*) n from samples group by 1) s using (session_id)"""))
+def q_validate_sessions(spark, sf):
+    req = A.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("session_id"))
+    return ST.validate_sessions(req, laps_df(spark, sf), A.samples(spark, sf))
+
+
+@query("session_summary", O.with_blocks(["laps"], """
+select l.session_id, coalesce(n.n_name, l.session_id) event_name, coalesce(null, l.session_id) session_name,
+  'unknown' AS "date", coalesce(r.r_name, 'unknown') circuit_name, l.driver_count, l.lap_count
+from (select session_id, cast(count(distinct Driver) as int) driver_count, cast(count(*) as int) lap_count
+      from laps group by 1) l
+left join nation n on cast(n.n_nationkey as varchar) = l.session_id
+left join region r on r.r_regionkey = n.n_regionkey"""))
+def q_session_summary(spark, sf):
+    n = A.table(spark, sf, "nation")
+    r = A.table(spark, sf, "region")
+    events = n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
+        F.col("n_nationkey").cast("string").alias("session_id"), F.col("n_name").alias("event_name"),
+        F.lit(None).cast("string").alias("session_name"), F.lit(None).cast("string").alias("date"),
+        F.col("r_name").alias("circuit_name"))
+    return ST.session_summary(laps_df(spark, sf), events)
+
+
+@query("season_events", "WITH " + STORE_SCHEDULE_SQL.strip() + ",\n" + """
+fb AS (select * from (values """ + ", ".join(
+    f"({i + 1}, '{n}')" for i, n in enumerate(ST.COMMON_GRAND_PRIX_NAMES)) + """) v(position, event_name))
+select "year", cast(row_number() over (partition by "year" order by round) as int) position, event_name
+from schedule where event_name is not null and trim(event_name) <> ''
+union all
+select s."year", cast(fb.position as int), fb.event_name from (select distinct "year" from seasons) s, fb
+where s."year" not in (select "year" from schedule where event_name is not null and trim(event_name) <> '')""")
+def q_season_events(spark, sf):
+    return ST.season_events(A.schedule(spark, sf), A.seasons(spark, sf))
+
+
+@query("resolve_source", O.with_blocks(["sel", "laps"], """
+select r.session_id, case
+  when r.session_id in (select session_id from meta) and not exists (select 1 from req q where q.session_id = r.session_id
+       and not exists (select 1 from meta m where m.session_id = q.session_id and m.driver = q.Driver)) then 'prepared'
+  when r.session_id in (select session_id from laps) then 'live' else 'demo' end data_source
+from (select distinct session_id from req) r""", [REQ_SQL, META_SQL]))
+def q_resolve_source(spark, sf):
+    idx = ST.read_lap_index(spark, prepared_store(spark, sf))
+    return ST.resolve_source(requests_df(spark, sf), idx, laps_df(spark, sf))
+
+
+@query("export_laps", O.with_blocks(["laps"], f"select {LAP_COLS} from laps"))
+def q_export_laps(spark, sf):
+    path = _scratch(spark, "export") + "/laps_csv"
+    ST.export_csv(laps_df(spark, sf), path)
+    return ST.read_csv(spark, path, LAPS)
+
+
+@query("sector_table_prepared", O.with_blocks(["sel"], """
+select session_id, position, driver Driver, lap_number Lap, lap_time_seconds LapTime, sector1 Sector1,
+  sector2 Sector2, sector3 Sector3, compound Compound, team Team from idx""", [REQ_SQL, META_SQL, IDX_SQL]))
+def q_sector_table_prepared(spark, sf):
+    return SE.sector_table_prepared(ST.read_lap_index(spark, prepared_store(spark, sf)))
+
+
+@query("compare_prepared", _cmp_sql("select * from aligned"))
+def q_compare_prepared(spark, sf):
+    root = prepared_store(spark, sf)
+    idx = ST.read_lap_index(spark, root)
+    samples = ST.read_lap_samples(spark, root, idx)
+    out = CP.compare_prepared(idx, samples, requests_df(spark, sf), channels=DELTA_CHANNELS,
+                              points=GRID_POINTS)
+    return out["pairs"]

@@ -113,12 +113,12 @@ def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(year, event_name) per season; one blank name is added on purpose."""
+    """(year, round, event_name) per season; one blank name is added on purpose."""
     n = table(spark, sf_dir, "nation")
     events = n.select((2018 + F.col("n_regionkey")).cast("int").alias("year"),
-                      F.col("n_name").alias("event_name"))
+                      F.col("n_nationkey").cast("int").alias("round"), F.col("n_name").alias("event_name"))
     blank = n.filter(F.col("n_nationkey") == 0).select(
-        F.lit(2018).cast("int").alias("year"), F.lit("  ").alias("event_name"))
+        F.lit(2018).cast("int").alias("year"), F.lit(99).alias("round"), F.lit("  ").alias("event_name"))
     return events.unionByName(blank)
 
 
