@@ -766,3 +766,59 @@ def q_compare_prepared(spark, sf):
     out = CP.compare_prepared(idx, samples, requests_df(spark, sf), channels=DELTA_CHANNELS,
                               points=GRID_POINTS)
     return out["pairs"]
+
+
+# ---------------------------------------------------------------- machine learning (ML1-ML4, CH8)
+
+from tracekit.operators import ml as ML  # noqa: E402
+
+ZCOLS = [f"z_{c}" for c in CLUSTER_FEATURES]
+CC_WHERE = " and ".join(f"{c} is not null" for c in CLUSTER_FEATURES)
+Z_SQL = f"""
+cc AS (select * from laps where {CC_WHERE}),
+zs AS (select session_id, {', '.join(f'avg({c}) m_{c}, stddev_pop({c}) s_{c}' for c in CLUSTER_FEATURES)}
+       from cc group by 1),
+z AS (select cc.*, {', '.join(f'round((cc.{c} - zs.m_{c}) / case when zs.s_{c} = 0 then 1.0 else zs.s_{c} end, {ROUND}) z_{c}' for c in CLUSTER_FEATURES)}
+      from cc join zs using (session_id))"""
+
+
+def z_df(spark, sf):
+    z = ML.standardize(ML.lap_features(laps_df(spark, sf)), CLUSTER_FEATURES)
+    return z.select(*[F.round(c, ROUND).alias(c) if c in ZCOLS else F.col(c) for c in z.columns])
+
+
+@query("standardize_features", O.with_blocks(["laps"], "select * from z", [Z_SQL]))
+def q_standardize_features(spark, sf):
+    return z_df(spark, sf)
+
+
+@query("assign_clusters", O.with_blocks(["laps"], f"""
+select session_id, Driver, LapNumber, cluster Cluster from (
+  select z.session_id, z.Driver, z.LapNumber, c.cluster,
+    row_number() over (partition by z.session_id, z.Driver, z.LapNumber order by
+      {' + '.join(f'(z.z_{c} - c.f{i}) * (z.z_{c} - c.f{i})' for i, c in enumerate(CLUSTER_FEATURES))}, c.cluster) rn
+  from z join cen c using (session_id)) where rn = 1""", [Z_SQL, f"""
+cen AS (select session_id, cast(Stint - 1 as int) cluster,
+          {', '.join(f'round(avg(z_{c}), {ROUND}) f{i}' for i, c in enumerate(CLUSTER_FEATURES))}
+        from z group by 1, 2)"""]))
+def q_assign_clusters(spark, sf):
+    z = z_df(spark, sf)
+    cen = z.groupBy("session_id", (F.col("Stint") - 1).cast("int").alias("cluster")).agg(
+        *[F.round(F.avg(c), ROUND).alias(f"f{i}") for i, c in enumerate(ZCOLS)])
+    out = ML.assign_clusters(z, cen, ZCOLS)
+    return out.select("session_id", "Driver", "LapNumber", "Cluster")
+
+
+@query("cluster_laps")
+def q_cluster_laps(spark, sf):
+    return ML.cluster_laps(laps_df(spark, sf), clusters=3)
+
+
+@query("feed_cluster")
+def q_feed_cluster(spark, sf):
+    return FD.cluster_feed(ML.cluster_laps(laps_df(spark, sf), clusters=3))
+
+
+@query("detect_anomalies")
+def q_detect_anomalies(spark, sf):
+    return ML.detect_anomalies(laps_df(spark, sf))
