@@ -96,12 +96,16 @@ def linspace_grid(mem_dom: DataFrame, points: int) -> DataFrame:
     return mem_dom.withColumn("_n", F.lit(n)).withColumn("_step", step).withColumn("_last", F.lit(n > 1))
 
 
-def interpolate_on_grid(samples: DataFrame, grid: DataFrame, *, group_keys: Sequence[str],
-                        member_keys: Sequence[str], lap_keys: Sequence[str], channels: Sequence[str],
-                        axis: str) -> DataFrame:
-    """Interpolate channels of each member lap at its grid points (see module docstring).
+AXIS_CH = "__axis"
+
+
+def interpolate_long(samples: DataFrame, grid: DataFrame, *, group_keys: Sequence[str],
+                     member_keys: Sequence[str], lap_keys: Sequence[str], channels: Sequence[str],
+                     axis: str) -> DataFrame:
+    """Interpolated values in long form: (G, M, _ch, grid_index, <axis>, _v).
 
     ``grid``: one row per (group, member) with the lap keys and _a, _b, _n, _step, _last.
+    The axis itself rides along as channel ``__axis`` so every grid point has a row.
     """
     G, M, L = list(group_keys), list(member_keys), list(lap_keys)
     chans = [c for c in dict.fromkeys(channels) if c in samples.columns and c != axis]
@@ -109,66 +113,71 @@ def interpolate_on_grid(samples: DataFrame, grid: DataFrame, *, group_keys: Sequ
     gcols = ["_a", "_b", "_n", "_step", "_last"]
     grid = grid.select(*_uniq(G, M, L), *gcols)
 
-    # fold samples into grid cells (partial aggregation before the shuffle)
+    # 1. fold samples into grid cells: lowest / highest point per channel (map-side partial agg)
     s = (samples.select(*L, axis, *chans).filter(x.isNotNull()).join(grid, L)
          .withColumn("_k", _cell(x)))
+    ys = [(c, F.col(c).cast("double")) for c in chans] + [(AXIS_CH, x)]
     aggs = []
-    for c in chans:
-        y = F.col(c).cast("double")
+    for i, (_, y) in enumerate(ys):
         xv = F.when(y.isNotNull(), x)
-        aggs += [F.min(xv).alias(f"_lox_{c}"), F.min_by(y, xv).alias(f"_loy_{c}"),
-                 F.max(xv).alias(f"_hix_{c}"), F.max_by(y, xv).alias(f"_hiy_{c}"),
-                 F.count(y).alias(f"_n_{c}")]
-    cells = s.groupBy(*G, *M, "_k").agg(*aggs)
-
-    def pt(px: str, py: str) -> Column:
-        return F.when(F.col(px).isNotNull(), F.struct(F.col(px).alias("x"), F.col(py).alias("y")))
-
-    point = "struct<x:double,y:double>"
-    cell_rows = cells.select(
-        *G, *M, "_k", F.lit(0).alias("_kind"),
-        F.lit(None).cast("double").alias("_a"), F.lit(None).cast("double").alias("_b"),
-        F.lit(None).cast("int").alias("_n"), F.lit(None).cast("double").alias("_step"),
-        F.lit(None).cast("boolean").alias("_last"),
-        *[pt(f"_lox_{c}", f"_loy_{c}").alias(f"_lo_{c}") for c in chans],
-        *[pt(f"_hix_{c}", f"_hiy_{c}").alias(f"_hi_{c}") for c in chans],
-        *[F.col(f"_n_{c}") for c in chans])
-    grid_rows = grid.select(
-        *G, *M, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k"), F.lit(1).alias("_kind"),
-        *gcols,
-        *[F.lit(None).cast(point).alias(f"_lo_{c}") for c in chans],
-        *[F.lit(None).cast(point).alias(f"_hi_{c}") for c in chans],
-        *[F.lit(None).cast("bigint").alias(f"_n_{c}") for c in chans])
-
-    # one exchange on the group keys serves all windows and any per-group step after them
-    u = cell_rows.unionByName(grid_rows).repartition(*G)
-    part = Window.partitionBy(*G, *M)
-    desc = part.orderBy(F.col("_k").desc(), F.col("_kind").desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    asc = part.orderBy("_k", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = u.select("*", *[F.last(f"_lo_{c}", ignorenulls=True).over(desc).alias(f"_nx_{c}") for c in chans])
-    seg = {c: F.when(F.col(f"_hi_{c}").isNotNull(),
-                     F.struct(F.col(f"_hi_{c}.x").alias("hx"), F.col(f"_hi_{c}.y").alias("hy"),
-                              F.col(f"_nx_{c}.x").alias("nx"), F.col(f"_nx_{c}.y").alias("ny")))
-           for c in chans}
-    u = u.select(*G, *M, "_k", "_kind", *gcols,
-                 *[F.last(seg[c], ignorenulls=True).over(asc).alias(f"_q_{c}") for c in chans],
-                 *[F.min(f"_lo_{c}").over(part).getField("y").alias(f"_f_{c}") for c in chans],
-                 *[F.sum(f"_n_{c}").over(part).alias(f"_c_{c}") for c in chans])
-
-    # interpolate at the grid rows
-    k = F.col("_k")
+        aggs += [F.min(xv).alias(f"_lox{i}"), F.min_by(y, xv).alias(f"_loy{i}"),
+                 F.max(xv).alias(f"_hix{i}"), F.max_by(y, xv).alias(f"_hiy{i}"),
+                 F.count(y).alias(f"_n{i}")]
+    cells = s.groupBy(*G, *M, *gcols, "_k").agg(*aggs)
+
+    # 2. one row per non-empty (cell, channel)
+    per_ch = F.explode(F.array(*[F.struct(
+        F.lit(name).alias("_ch"), F.col(f"_lox{i}").alias("lox"), F.col(f"_loy{i}").alias("loy"),
+        F.col(f"_hix{i}").alias("hix"), F.col(f"_hiy{i}").alias("hiy"), F.col(f"_n{i}").alias("cnt"))
+        for i, (name, _) in enumerate(ys)]))
+    long = (cells.select(*G, *M, *gcols, "_k", per_ch.alias("_c")).select(*G, *M, *gcols, "_k", "_c.*")
+            .filter(F.col("cnt") > 0))
+
+    # 3. per (member, channel): previous / next non-empty cell and the point count (one
+    #    window over at most n + 1 cell rows; the exchange on G also serves the pivots after)
+    part = Window.partitionBy(*G, *M, "_ch")
+    w = part.orderBy("_k")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    long = (long.repartition(*G)
+            .withColumn("_first", F.lag("_k").over(w).isNull())
+            .withColumn("_nk", F.lead("_k").over(w))
+            .withColumn("_nx", F.lead("lox").over(w))
+            .withColumn("_ny", F.lead("loy").over(w))
+            .withColumn("_total", F.sum("cnt").over(whole)))
+
+    # 4. each cell owns the grid points from its index up to the next non-empty cell; the
+    #    first cell also owns the points left of it (left clamp)
+    n = F.col("_n")
+    lo_i = F.when(F.col("_first"), F.lit(0)).otherwise(F.col("_k"))
+    hi_i = F.least(F.coalesce(F.col("_nk"), n), n) - 1
+    idx = F.when(lo_i <= hi_i, F.sequence(lo_i, hi_i))
+    pts = long.select(*G, *M, "_ch", *gcols, "_k", "lox", "loy", "hix", "hiy", "_nx", "_ny", "_total",
+                      F.explode(idx).alias("grid_index"))
+    k = F.col("grid_index")
     g = _gp(k)
-    out = [*G, *M, k.alias("grid_index"), g.alias(axis)]
-    for c in chans:
-        q = F.col(f"_q_{c}")
-        hx, hy, nx, ny = q.getField("hx"), q.getField("hy"), q.getField("nx"), q.getField("ny")
-        val = (F.when(F.coalesce(F.col(f"_c_{c}"), F.lit(0)) < 2, F.lit(None).cast("double"))
-               .when(q.isNull(), F.col(f"_f_{c}"))
-               .when(nx.isNull() | (g == hx), hy)
-               .otherwise((ny - hy) / (nx - hx) * (g - hx) + hy))
-        out.append(val.alias(c))
-    return u.filter(F.col("_kind") == 1).select(*out)
+    hx, hy, nx, ny = F.col("hix"), F.col("hiy"), F.col("_nx"), F.col("_ny")
+    val = (F.when(F.col("_total") < 2, F.lit(None).cast("double"))
+           .when(k < F.col("_k"), F.col("loy"))
+           .when(nx.isNull() | (g == hx), hy)
+           .otherwise((ny - hy) / (nx - hx) * (g - hx) + hy))
+    return pts.select(*G, *M, "_ch", "grid_index", g.alias(axis), val.alias("_v"))
+
+
+def interpolate_on_grid(samples: DataFrame, grid: DataFrame, *, group_keys: Sequence[str],
+                        member_keys: Sequence[str], lap_keys: Sequence[str], channels: Sequence[str],
+                        axis: str) -> DataFrame:
+    """Interpolate channels of each member lap at its grid points (see module docstring).
+
+    Returns (G, M, grid_index, axis, channel...). The pivot is a hash aggregate on keys
+    that include G, so it reuses the exchange of the interpolation.
+    """
+    G, M = list(group_keys), list(member_keys)
+    chans = [c for c in dict.fromkeys(channels) if c in samples.columns and c != axis]
+    long = interpolate_long(samples, grid, group_keys=G, member_keys=M, lap_keys=lap_keys,
+                            channels=chans, axis=axis)
+    ch = F.col("_ch")
+    return long.groupBy(*G, *M, "grid_index").agg(
+        F.max(axis).alias(axis), *[F.max(F.when(ch == c, F.col("_v"))).alias(c) for c in chans])
 
 
 def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
@@ -186,6 +195,14 @@ def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
     G, M, L = list(group_keys), list(member_keys), list(lap_keys)
     if int(points) < 1:
         raise ValueError("points must be >= 1")
+    mem_dom = _member_domain(samples, members, G, M, L, axis, lap_dom)
+    return interpolate_on_grid(samples, linspace_grid(mem_dom, points), group_keys=G,
+                               member_keys=M, lap_keys=L, channels=channels, axis=axis)
+
+
+def _member_domain(samples: DataFrame, members: DataFrame, G, M, L, axis: str,
+                   lap_dom: DataFrame | None) -> DataFrame:
+    """(G, M, lap keys, _a, _b): each member with its group's common domain (end > start)."""
     if "lo" in members.columns and "hi" in members.columns:
         mem = members.select(*_uniq(G, M, L), "lo", "hi")
     else:
@@ -194,10 +211,8 @@ def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
         mem = members.select(*_uniq(G, M, L)).join(lap_dom, L)
     # group domain as a window over the members: no self-join, one exchange on G
     wg = Window.partitionBy(*G)
-    mem_dom = (mem.withColumn("_a", F.max("lo").over(wg)).withColumn("_b", F.min("hi").over(wg))
-               .filter(F.col("_b") > F.col("_a")).select(*_uniq(G, M, L), "_a", "_b"))
-    return interpolate_on_grid(samples, linspace_grid(mem_dom, points), group_keys=G,
-                               member_keys=M, lap_keys=L, channels=channels, axis=axis)
+    return (mem.withColumn("_a", F.max("lo").over(wg)).withColumn("_b", F.min("hi").over(wg))
+            .filter(F.col("_b") > F.col("_a")).select(*_uniq(G, M, L), "_a", "_b"))
 
 
 def resample_time(samples: DataFrame, *, frequency_hz: float = 10.0,
@@ -269,18 +284,21 @@ def align_pairs(samples: DataFrame, pairs: DataFrame, *, pair_keys: Sequence[str
     """AL4: align each (reference, comparison) lap pair; ``DeltaSeconds`` = cmp - ref time.
 
     ``pairs`` has the pair keys (default session_id, lap_number, ref_driver, cmp_driver);
-    the lap played by each side is (session_id, <side>_driver, lap_number).
-    Output: pair keys, grid_index, axis, ref_<channel>, cmp_<channel>, DeltaSeconds.
+    the lap played by each side is (session_id, <side>_driver, lap_number) or the side's
+    ``ref_lap`` / ``cmp_lap``. Output: pair keys, grid_index, axis, ref_<ch>, cmp_<ch>,
+    DeltaSeconds.
     """
     keys = list(pair_keys)
-    long = align(samples, pair_members(pairs, pair_keys=keys), group_keys=keys,
-                 member_keys=["role"], lap_keys=lap_keys, channels=channels, points=points, axis=axis,
-                 lap_dom=lap_dom)
-    chans = [c for c in long.columns if c not in {*keys, "role", "grid_index", axis}]
-    is_ref = F.col("role") == "ref"
+    G, L = keys, list(lap_keys)
+    chans = [c for c in dict.fromkeys(channels) if c in samples.columns and c != axis]
+    members = pair_members(pairs, pair_keys=keys)
+    mem_dom = _member_domain(samples, members, G, ["role"], L, axis, lap_dom)
+    long = interpolate_long(samples, linspace_grid(mem_dom, points), group_keys=G,
+                            member_keys=["role"], lap_keys=L, channels=chans, axis=axis)
+    ch, role = F.col("_ch"), F.col("role")
     aggs = [F.max(axis).alias(axis)]
-    aggs += [F.max(F.when(is_ref, F.col(c))).alias(f"ref_{c}") for c in chans]
-    aggs += [F.max(F.when(~is_ref, F.col(c))).alias(f"cmp_{c}") for c in chans]
+    aggs += [F.max(F.when((role == "ref") & (ch == c), F.col("_v"))).alias(f"ref_{c}") for c in chans]
+    aggs += [F.max(F.when((role == "cmp") & (ch == c), F.col("_v"))).alias(f"cmp_{c}") for c in chans]
     out = long.groupBy(*keys, "grid_index").agg(*aggs)
     if "TimeSeconds" in chans:
         out = out.withColumn("DeltaSeconds", F.col("cmp_TimeSeconds") - F.col("ref_TimeSeconds"))
