@@ -26,11 +26,20 @@ def full_throttle_share(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS
 
 
 def lap_stats(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
-    """AG4 + AG5 in one aggregation pass."""
-    v = F.col("Speed").cast("double")
-    full = F.when(F.col("Throttle") > 95.0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return samples.groupBy(*keys).agg(F.max(v).alias("PeakSpeed"), F.min(v).alias("MinimumSpeed"),
-                                      (F.avg(full) * 100).alias("FullThrottlePct"))
+    """AG4 + AG5 in one aggregation pass; a missing channel gives NULL columns (and no insight)."""
+    aggs = [F.lit(True).alias("_dummy")]
+    if "Speed" in samples.columns:
+        v = F.col("Speed").cast("double")
+        aggs += [F.max(v).alias("PeakSpeed"), F.min(v).alias("MinimumSpeed")]
+    if "Throttle" in samples.columns:
+        full = F.when(F.col("Throttle") > 95.0, F.lit(1.0)).otherwise(F.lit(0.0))
+        aggs.append((F.avg(full) * 100).alias("FullThrottlePct"))
+    out = samples.groupBy(*keys).agg(*aggs).drop("_dummy")
+    for c in ("PeakSpeed", "MinimumSpeed", "FullThrottlePct"):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("double"))
+    return out.withColumn("_has_speed", F.lit("Speed" in samples.columns)).withColumn(
+        "_has_throttle", F.lit("Throttle" in samples.columns))
 
 
 def best_lap_gap(members: DataFrame, *, group_keys: Sequence[str], order: str = "position",
@@ -67,12 +76,16 @@ def insights(members: DataFrame, stats: DataFrame, delta: DataFrame | None, *,
         F.col("Fastest").alias("Driver"), F.col("Slowest").alias("Other"),
         F.col("GapSeconds").alias("Value1"), F.lit(None).cast("double").alias("Value2"))
     m = members.join(stats, list(lap_keys))
-    per_lap = m.select(*G, F.lit(1).alias("_o"), F.explode(F.array(
+    kinds = F.filter(F.array(
         F.struct((F.col(order) * 2).alias("_s"), F.lit("speed").alias("Kind"),
-                 F.col("PeakSpeed").alias("Value1"), F.col("MinimumSpeed").alias("Value2")),
+                 F.col("PeakSpeed").alias("Value1"), F.col("MinimumSpeed").alias("Value2"),
+                 F.col("_has_speed").alias("_on")),
         F.struct((F.col(order) * 2 + 1).alias("_s"), F.lit("full_throttle").alias("Kind"),
-                 F.col("FullThrottlePct").alias("Value1"), F.lit(None).cast("double").alias("Value2")),
-    )).alias("_x"), F.col("driver").alias("Driver")).select(
+                 F.col("FullThrottlePct").alias("Value1"), F.lit(None).cast("double").alias("Value2"),
+                 F.col("_has_throttle").alias("_on")),
+    ), lambda e: e.getField("_on"))
+    per_lap = m.select(*G, F.lit(1).alias("_o"), F.explode(kinds).alias("_x"),
+                       F.col("driver").alias("Driver")).select(
         *G, "_o", "_x._s", "_x.Kind", "Driver", F.lit(None).cast("string").alias("Other"),
         "_x.Value1", "_x.Value2")
     parts = [gap, per_lap]

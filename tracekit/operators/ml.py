@@ -78,17 +78,47 @@ def _hash01(*cols) -> F.Column:
     return (F.abs(h % F.lit(1 << 52)).cast("double")) / float(1 << 52)
 
 
+def _kmeans_plus_plus(pts: DataFrame, feats: Sequence[str], *, k: int, by: Sequence[str],
+                      key: Sequence[str], seed: int) -> DataFrame:
+    """Greedy k-means++ seeding per group: first centre by hash rank; each round draws
+    2 + ln(k) candidates with probability proportional to D^2 (weighted pick = max of
+    log(u) / D^2, one aggregate) and keeps the one that lowers the potential most (a second
+    aggregate). Groups with fewer distinct points get fewer centres."""
+    fcols = [F.col(c).alias(f"f{i}") for i, c in enumerate(feats)]
+    trials = 2 + int(math.log(k)) if k > 1 else 1
+    w = Window.partitionBy(*by).orderBy("_h", *key)
+    cents = (pts.withColumn("_h", _hash01(*[F.col(c) for c in key], F.lit(seed)))
+             .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
+             .select(*by, F.lit(0).alias("cluster"), *fcols)).checkpoint()
+    ids = [F.col(c) for c in key]
+    for r in range(1, k):
+        packed = cents.groupBy(*by).agg(F.collect_list(F.struct(
+            "cluster", *[F.col(f"f{i}") for i in range(len(feats))])).alias("_cs"))
+        d2 = F.array_min(F.transform("_cs", lambda c: _d2(feats, c)))
+        scored = pts.join(packed, list(by)).withColumn("_d2", d2).drop("_cs")
+        picks = []
+        for t in range(trials):
+            u = F.greatest(_hash01(*ids, F.lit(seed), F.lit(r), F.lit(t)), F.lit(1e-300))
+            picks.append(F.max_by(F.struct(*fcols), F.when(F.col("_d2") > 0, F.log(u) / F.col("_d2")))
+                         .alias(f"_c{t}"))
+        cand = scored.groupBy(*by).agg(*picks)
+        cand = cand.select(*by, F.array(*[F.col(f"_c{t}") for t in range(trials)]).alias("_cand"))
+        pot = scored.join(cand, list(by)).select(*by, F.posexplode("_cand").alias("_t", "_c"), "_d2", *feats)
+        pot = pot.filter(F.col("_c").isNotNull()).groupBy(*by, "_t", "_c").agg(
+            F.sum(F.least(F.col("_d2"), _d2(feats, F.col("_c")))).alias("_pot"))
+        best = pot.groupBy(*by).agg(F.min_by("_c", F.struct("_pot", "_t")).alias("_p"))
+        new = best.select(*by, F.lit(r).alias("cluster"), *[F.col(f"_p.f{i}") for i in range(len(feats))])
+        cents = cents.unionByName(new).checkpoint()
+    return cents
+
+
 def kmeans(points: DataFrame, features: Sequence[str], *, k: int = 3, by: Sequence[str] = ("session_id",),
            key: Sequence[str] = LAP_ID, seed: int = 42, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
     """Per-group Lloyd k-means. Returns the centroid table (by..., cluster, f0..)."""
     feats = list(features)
     fcols = [F.col(c).alias(f"f{i}") for i, c in enumerate(feats)]
     pts = points.select(*dict.fromkeys([*by, *key, *feats])).persist(StorageLevel.MEMORY_AND_DISK)
-    w = Window.partitionBy(*by).orderBy("_h", *key)
-    init = (pts.withColumn("_h", _hash01(*[F.col(c) for c in key], F.lit(seed)))
-            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-            .select(*by, (F.col("_rn") - 1).cast("int").alias("cluster"), *fcols))
-    cents = init.checkpoint()
+    cents = _kmeans_plus_plus(pts, feats, k=k, by=by, key=key, seed=seed)
     for _ in range(max_iter):
         assigned = assign_clusters(pts, cents, feats, by=by, out="cluster")
         new = assigned.groupBy(*by, "cluster").agg(*[F.avg(c).alias(f"f{i}") for i, c in enumerate(feats)])

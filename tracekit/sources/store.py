@@ -103,6 +103,13 @@ def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
         return None
 
 
+def _version_gate(message) -> F.Column:
+    """Predicate that is true for supported rows and fails the job otherwise (a filter, so
+    column pruning cannot drop it)."""
+    return F.when(F.col("dataset_version") == DATASET_VERSION, F.lit(True)).otherwise(
+        F.raise_error(message).cast("boolean"))
+
+
 def read_laps(spark: SparkSession, root: str, sessions: Sequence[str] | None = None) -> DataFrame:
     """IO1: lap table of the given sessions (partition pruning on session_id)."""
     df = spark.read.schema(LAPS).parquet(_path(root, "laps"))
@@ -128,10 +135,8 @@ def read_lap_index(spark: SparkSession, root: str) -> DataFrame:
 def read_sessions(spark: SparkSession, root: str) -> DataFrame:
     """Session metadata rows; rows with an unsupported dataset version fail the job (IO4)."""
     df = _read_partitioned(spark, _path(root, "sessions"))
-    return df.withColumn("dataset_version", F.when(
-        F.col("dataset_version") == DATASET_VERSION, F.col("dataset_version")).otherwise(
-        F.raise_error(F.concat(F.lit("Unsupported prepared dataset version for session "),
-                               F.col("session_id")))))
+    return df.filter(_version_gate(F.concat(F.lit("Unsupported prepared dataset version for session "),
+                                            F.col("session_id"))))
 
 
 def read_lap_samples(spark: SparkSession, root: str, lap_index: DataFrame | None = None) -> DataFrame:
@@ -147,9 +152,7 @@ def lap_index_from_manifests(spark: SparkSession, path: str) -> DataFrame:
     A manifest whose dataset_version differs from the supported one fails the job.
     """
     m = spark.read.option("multiLine", True).schema(MANIFEST).json(path)
-    m = m.withColumn("dataset_version", F.when(
-        F.col("dataset_version") == DATASET_VERSION, F.col("dataset_version")).otherwise(
-        F.raise_error(F.lit("Unsupported processed telemetry dataset"))))
+    m = m.filter(_version_gate(F.lit("Unsupported processed telemetry dataset")))
     sid = S.session_key(F.col("request.year"), F.col("request.grand_prix"), F.col("request.session_type"))
     x = m.select(sid.alias("session_id"), "dataset_version", F.posexplode("laps").alias("pos", "lap"))
     return x.select(
