@@ -96,16 +96,13 @@ def linspace_grid(mem_dom: DataFrame, points: int) -> DataFrame:
     return mem_dom.withColumn("_n", F.lit(n)).withColumn("_step", step).withColumn("_last", F.lit(n > 1))
 
 
-AXIS_CH = "__axis"
-
-
-def interpolate_long(samples: DataFrame, grid: DataFrame, *, group_keys: Sequence[str],
-                     member_keys: Sequence[str], lap_keys: Sequence[str], channels: Sequence[str],
-                     axis: str) -> DataFrame:
-    """Interpolated values in long form: (G, M, _ch, grid_index, <axis>, _v).
+def interpolate_on_grid(samples: DataFrame, grid: DataFrame, *, group_keys: Sequence[str],
+                        member_keys: Sequence[str], lap_keys: Sequence[str], channels: Sequence[str],
+                        axis: str) -> DataFrame:
+    """Interpolate channels of each member lap at its grid points (see module docstring).
 
     ``grid``: one row per (group, member) with the lap keys and _a, _b, _n, _step, _last.
-    The axis itself rides along as channel ``__axis`` so every grid point has a row.
+    Returns (G, M, grid_index, axis, channel...), exactly ``_n`` rows per member.
     """
     G, M, L = list(group_keys), list(member_keys), list(lap_keys)
     chans = [c for c in dict.fromkeys(channels) if c in samples.columns and c != axis]
@@ -116,68 +113,58 @@ def interpolate_long(samples: DataFrame, grid: DataFrame, *, group_keys: Sequenc
     # 1. fold samples into grid cells: lowest / highest point per channel (map-side partial agg)
     s = (samples.select(*L, axis, *chans).filter(x.isNotNull()).join(grid, L)
          .withColumn("_k", _cell(x)))
-    ys = [(c, F.col(c).cast("double")) for c in chans] + [(AXIS_CH, x)]
     aggs = []
-    for i, (_, y) in enumerate(ys):
+    for i, c in enumerate(chans):
+        y = F.col(c).cast("double")
         xv = F.when(y.isNotNull(), x)
         aggs += [F.min(xv).alias(f"_lox{i}"), F.min_by(y, xv).alias(f"_loy{i}"),
                  F.max(xv).alias(f"_hix{i}"), F.max_by(y, xv).alias(f"_hiy{i}"),
                  F.count(y).alias(f"_n{i}")]
-    cells = s.groupBy(*G, *M, *gcols, "_k").agg(*aggs)
-
-    # 2. one row per non-empty (cell, channel)
-    per_ch = F.explode(F.array(*[F.struct(
-        F.lit(name).alias("_ch"), F.col(f"_lox{i}").alias("lox"), F.col(f"_loy{i}").alias("loy"),
-        F.col(f"_hix{i}").alias("hix"), F.col(f"_hiy{i}").alias("hiy"), F.col(f"_n{i}").alias("cnt"))
-        for i, (name, _) in enumerate(ys)]))
-    long = (cells.select(*G, *M, *gcols, "_k", per_ch.alias("_c")).select(*G, *M, *gcols, "_k", "_c.*")
-            .filter(F.col("cnt") > 0))
-
-    # 3. per (member, channel): previous / next non-empty cell and the point count (one
-    #    window over at most n + 1 cell rows; the exchange on G also serves the pivots after)
-    part = Window.partitionBy(*G, *M, "_ch")
-    w = part.orderBy("_k")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    long = (long.repartition(*G)
-            .withColumn("_first", F.lag("_k").over(w).isNull())
-            .withColumn("_nk", F.lead("_k").over(w))
-            .withColumn("_nx", F.lead("lox").over(w))
-            .withColumn("_ny", F.lead("loy").over(w))
-            .withColumn("_total", F.sum("cnt").over(whole)))
-
-    # 4. each cell owns the grid points from its index up to the next non-empty cell; the
-    #    first cell also owns the points left of it (left clamp)
+    cells = s.groupBy(*G, *M, *gcols, "_k").agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+
+    def pt(px: str, py: str) -> Column:
+        return F.when(F.col(px).isNotNull(), F.struct(F.col(px).alias("x"), F.col(py).alias("y")))
+
+    # 2. windows over the non-empty cells only (at most n + 1 rows per member, usually about
+    #    one per sample): per channel the last point at or before each cell, the first point
+    #    after it, the first point overall and the point count. The exchange on G also
+    #    serves any per-group step after the interpolation.
+    part = Window.partitionBy(*G, *M)
+    asc = part.orderBy("_k")
+    run = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = asc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = part.orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    u = cells.repartition(*G)
+    u = u.select(
+        *G, *M, *gcols, "_k",
+        F.lag("_k").over(asc).isNull().alias("_first"), F.lead("_k").over(asc).alias("_nk"),
+        *[F.last(pt(f"_hix{i}", f"_hiy{i}"), ignorenulls=True).over(run).alias(f"_L{i}")
+          for i in range(len(chans))],
+        *[F.min(pt(f"_lox{i}", f"_loy{i}")).over(whole).getField("y").alias(f"_F{i}")
+          for i in range(len(chans))],
+        *[F.sum(f"_n{i}").over(whole).alias(f"_C{i}") for i in range(len(chans))],
+        *[pt(f"_lox{i}", f"_loy{i}").alias(f"_lo{i}") for i in range(len(chans))])
+    u = u.select("*", *[F.last(f"_lo{i}", ignorenulls=True).over(after).alias(f"_R{i}")
+                        for i in range(len(chans))])
+
+    # 3. each cell row owns the grid points from its index up to the next cell row; the first
+    #    row also owns the points left of it. One exploded row per grid point.
     n = F.col("_n")
     lo_i = F.when(F.col("_first"), F.lit(0)).otherwise(F.col("_k"))
     hi_i = F.least(F.coalesce(F.col("_nk"), n), n) - 1
-    idx = F.when(lo_i <= hi_i, F.sequence(lo_i, hi_i))
-    pts = long.select(*G, *M, "_ch", *gcols, "_k", "lox", "loy", "hix", "hiy", "_nx", "_ny", "_total",
-                      F.explode(idx).alias("grid_index"))
+    pts = u.withColumn("grid_index", F.explode(F.when(lo_i <= hi_i, F.sequence(lo_i, hi_i))))
     k = F.col("grid_index")
     g = _gp(k)
-    hx, hy, nx, ny = F.col("hix"), F.col("hiy"), F.col("_nx"), F.col("_ny")
-    val = (F.when(F.col("_total") < 2, F.lit(None).cast("double"))
-           .when(k < F.col("_k"), F.col("loy"))
-           .when(nx.isNull() | (g == hx), hy)
-           .otherwise((ny - hy) / (nx - hx) * (g - hx) + hy))
-    return pts.select(*G, *M, "_ch", "grid_index", g.alias(axis), val.alias("_v"))
-
-
-def interpolate_on_grid(samples: DataFrame, grid: DataFrame, *, group_keys: Sequence[str],
-                        member_keys: Sequence[str], lap_keys: Sequence[str], channels: Sequence[str],
-                        axis: str) -> DataFrame:
-    """Interpolate channels of each member lap at its grid points (see module docstring).
-
-    Returns (G, M, grid_index, axis, channel...). The pivot is a hash aggregate on keys
-    that include G, so it reuses the exchange of the interpolation.
-    """
-    G, M = list(group_keys), list(member_keys)
-    chans = [c for c in dict.fromkeys(channels) if c in samples.columns and c != axis]
-    long = interpolate_long(samples, grid, group_keys=G, member_keys=M, lap_keys=lap_keys,
-                            channels=chans, axis=axis)
-    ch = F.col("_ch")
-    return long.groupBy(*G, *M, "grid_index").agg(
-        F.max(axis).alias(axis), *[F.max(F.when(ch == c, F.col("_v"))).alias(c) for c in chans])
+    out = [*G, *M, k.alias("grid_index"), g.alias(axis)]
+    for i, c in enumerate(chans):
+        lq, rq = F.col(f"_L{i}"), F.col(f"_R{i}")
+        hx, hy, nx, ny = lq.getField("x"), lq.getField("y"), rq.getField("x"), rq.getField("y")
+        val = (F.when(F.coalesce(F.col(f"_C{i}"), F.lit(0)) < 2, F.lit(None).cast("double"))
+               .when(lq.isNull(), F.col(f"_F{i}"))
+               .when(rq.isNull() | (g == hx), hy)
+               .otherwise((ny - hy) / (nx - hx) * (g - hx) + hy))
+        out.append(val.alias(c))
+    return pts.select(*out)
 
 
 def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
@@ -293,13 +280,13 @@ def align_pairs(samples: DataFrame, pairs: DataFrame, *, pair_keys: Sequence[str
     chans = [c for c in dict.fromkeys(channels) if c in samples.columns and c != axis]
     members = pair_members(pairs, pair_keys=keys)
     mem_dom = _member_domain(samples, members, G, ["role"], L, axis, lap_dom)
-    long = interpolate_long(samples, linspace_grid(mem_dom, points), group_keys=G,
-                            member_keys=["role"], lap_keys=L, channels=chans, axis=axis)
-    ch, role = F.col("_ch"), F.col("role")
+    wide = interpolate_on_grid(samples, linspace_grid(mem_dom, points), group_keys=G,
+                               member_keys=["role"], lap_keys=L, channels=chans, axis=axis)
+    is_ref = F.col("role") == "ref"
     aggs = [F.max(axis).alias(axis)]
-    aggs += [F.max(F.when((role == "ref") & (ch == c), F.col("_v"))).alias(f"ref_{c}") for c in chans]
-    aggs += [F.max(F.when((role == "cmp") & (ch == c), F.col("_v"))).alias(f"cmp_{c}") for c in chans]
-    out = long.groupBy(*keys, "grid_index").agg(*aggs)
+    aggs += [F.max(F.when(is_ref, F.col(c))).alias(f"ref_{c}") for c in chans]
+    aggs += [F.max(F.when(~is_ref, F.col(c))).alias(f"cmp_{c}") for c in chans]
+    out = wide.groupBy(*keys, "grid_index").agg(*aggs)
     if "TimeSeconds" in chans:
         out = out.withColumn("DeltaSeconds", F.col("cmp_TimeSeconds") - F.col("ref_TimeSeconds"))
     return out
