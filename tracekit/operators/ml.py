@@ -244,16 +244,19 @@ def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATU
     sample = t.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi)
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(key))
-        sid, tree = pdf[by].iloc[0], int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree, zlib.crc32(str(sid).encode())])
-        size_ = len(pdf)
-        depth = int(math.ceil(math.log2(max(size_, 2))))
-        f, th, le, ri, sz = grow_tree(pdf[list(feats)].to_numpy(float), rng, depth)
-        return pd.DataFrame({"session_id": [sid], "tree": [tree], "psi": [size_], "feat": [f],
-                             "thr": [th], "left": [le], "right": [ri], "size": [sz]})
-
-    forest = sample.select(*dict.fromkeys([by, "tree", *key, *feats])).groupBy(by, "tree").applyInPandas(train, TREE_SCHEMA)
+        # one session's tree samples: at most trees x psi rows whatever the session size
+        sid = pdf[by].iloc[0]
+        out = []
+        for tree, sub in pdf.groupby("tree", sort=True):
+            sub = sub.sort_values(list(key))
+            rng = np.random.default_rng([seed, int(tree), zlib.crc32(str(sid).encode())])
+            size_ = len(sub)
+            depth = int(math.ceil(math.log2(max(size_, 2))))
+            f, th, le, ri, sz = grow_tree(sub[list(feats)].to_numpy(float), rng, depth)
+            out.append((sid, int(tree), size_, f, th, le, ri, sz))
+        return pd.DataFrame(out, columns=["session_id", "tree", "psi", "feat", "thr", "left", "right", "size"])
+
+    forest = sample.select(*dict.fromkeys([by, "tree", *key, *feats])).groupBy(by).applyInPandas(train, TREE_SCHEMA)
 
     # 2. score in bounded (session, chunk) groups, each with a copy of its session's trees
     chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(chunk_rows)))).cast("int")
