@@ -87,3 +87,12 @@ def test_corner_window_per_session_and_overlap(spark):
                                     "session_id string, Number int, Letter string, Distance double")
     out = CO.corner_window(s, corners, window_m=4.0).collect()
     assert sorted((r["sample_id"], r["Number"]) for r in out) == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_corner_window_salted_path_equals_broadcast(spark):
+    s = _laps(spark, seed=11, laps=2, n=50)
+    corners = spark.createDataFrame([(i, None, float(i * 40)) for i in range(25)],
+                                    "Number int, Letter string, Distance double")
+    a = sorted(CO.corner_window(s, corners, window_m=30.0).collect())
+    b = sorted(CO.corner_window(s, corners, window_m=30.0, broadcast_max_rows=0).collect())
+    assert a == b and len(a) > 0
