@@ -120,3 +120,21 @@ def test_resample_time_grid(spark):
     assert [r["TimeSeconds"] for r in out] == [0.0, 0.5, 1.0, 1.5, 2.0]
     exp = np.interp([0.0, 0.5, 1.0, 1.5, 2.0], [0.0, 0.4, 1.0, 2.05], [0.0, 1.0, 2.0, 3.0])
     assert np.allclose([r["Speed"] for r in out], exp)
+
+
+def test_derive_distance_two_level_matches_running_sum(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for lap in range(3):
+        t = np.cumsum(rng.uniform(0.05, 40.0, 80))
+        for i, ti in enumerate(t):
+            sp = None if rng.random() < 0.05 else float(rng.uniform(50, 330))
+            rows.append(("s", "D", lap, i, float(ti), sp))
+    s = spark.createDataFrame(rows, "session_id string, driver string, lap_number int, sample_id long, "
+                                    "TimeSeconds double, Speed double")
+    got = CL.derive_distance(s, bucket_s=97.0).toPandas().sort_values(["lap_number", "TimeSeconds"])
+    for lap, g in got.groupby("lap_number"):
+        sp = g.Speed.to_numpy(float)
+        dt_ = np.r_[np.nan, np.diff(g.TimeSeconds.to_numpy())]
+        exp = np.cumsum(np.nan_to_num(sp / 3.6 * dt_))
+        assert np.allclose(g.Distance.to_numpy(), exp, rtol=1e-12, atol=1e-9)

@@ -12,22 +12,37 @@ from tracekit.schemas import (LAP_TABLE_COLUMNS, LAP_TIME_COLUMNS, NUMERIC_SAMPL
 
 
 def derive_distance(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS,
-                    time_col: str = "TimeSeconds", order: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """CL1: Distance = running sum of Speed/3.6 * dt per lap (dt from the previous sample).
-
-    Only applied when Distance is absent. Window per lap, ordered by time; the first
-    sample of a lap sits at distance 0.
+                    time_col: str = "TimeSeconds", order: Sequence[str] = ("sample_id",),
+                    bucket_s: float = 60.0) -> DataFrame:
+    """CL1: Distance = running sum of Speed/3.6 * dt per lap, dt from the previous sample in
+    time order (the first sample of a lap sits at 0). Only applied when Distance is absent.
+
+    Two-level prefix sum so one long lap is not a single task: running sums inside
+    (lap, time bucket) windows, then a per-lap window over the bucket summaries adds the
+    step across each bucket boundary and the totals of earlier buckets.
     """
     if "Distance" in samples.columns:
         return samples
     require(samples, [*keys, "Speed", time_col], "derive_distance")
     tie = [c for c in order if c in samples.columns]
-    w = Window.partitionBy(*keys).orderBy(time_col, *tie)
-    dt = F.col(time_col) - F.lag(time_col).over(w)
-    step = F.coalesce(S.coerce_number(F.col("Speed")) / 3.6 * dt, F.lit(0.0))
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (samples.withColumn("_step", step)
-            .withColumn("Distance", F.sum("_step").over(run)).drop("_step"))
+    t, v = F.col(time_col), S.coerce_number(F.col("Speed"))
+    s = samples.withColumn("_b", F.floor(t / F.lit(float(bucket_s))))
+    wb = Window.partitionBy(*keys, "_b").orderBy(time_col, *tie)
+    step = F.coalesce(v / 3.6 * (t - F.lag(time_col).over(wb)), F.lit(0.0))
+    s = s.withColumn("_step", step).withColumn(
+        "_local", F.sum("_step").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = F.struct(t, *[F.col(c) for c in tie])
+    summ = s.groupBy(*keys, "_b").agg(
+        F.min(time_col).alias("_t0"), F.max(time_col).alias("_t1"), F.sum("_step").alias("_inner"),
+        F.min_by(v, first).alias("_v0"))
+    wl = Window.partitionBy(*keys).orderBy("_b")
+    cross = F.coalesce(F.col("_v0") / 3.6 * (F.col("_t0") - F.lag("_t1").over(wl)), F.lit(0.0))
+    summ = summ.withColumn("_cross", cross).withColumn(
+        "_offset", F.coalesce(F.sum(F.col("_inner") + F.col("_cross")).over(
+            wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.col("_cross"))
+    out = s.join(summ.select(*keys, "_b", "_offset"), [*keys, "_b"])
+    return out.withColumn("Distance", F.col("_offset") + F.col("_local")).drop(
+        "_b", "_step", "_local", "_offset")
 
 
 def coerce_channels(samples: DataFrame) -> DataFrame:
