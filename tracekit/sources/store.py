@@ -41,11 +41,11 @@ DATA_SOURCES = ("prepared", "live", "demo")
 TABLES = ("laps", "corners", "samples", "lap_index", "sessions")
 
 
-def _path(root: str, name: str) -> str:
+def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def _write(df: DataFrame, path: str, partition: bool, order: Sequence[str] = ()) -> None:
+def write_table(df: DataFrame, path: str, partition: bool, order: Sequence[str] = ()) -> None:
     """Range-partition on (session_id, order...) so each task writes few session folders and a
     large session still spreads over several tasks; rows come out clustered by the keys."""
     cols = [c for c in ("session_id", *order) if c in df.columns]
@@ -65,13 +65,13 @@ def save_prepared(root: str, *, laps: DataFrame, samples: DataFrame, lap_index:
     ``samples`` are cleaned samples; only those of laps in ``lap_index`` are kept.
     ``sessions`` optionally carries (session_id, year, grand_prix, session_type).
     """
-    _write(laps, _path(root, "laps"), "session_id" in laps.columns, ("Driver", "LapNumber"))
+    write_table(laps, table_path(root, "laps"), "session_id" in laps.columns, ("Driver", "LapNumber"))
     if corners is not None:
-        _write(corners, _path(root, "corners"), "session_id" in corners.columns)
+        write_table(corners, table_path(root, "corners"), "session_id" in corners.columns)
     keys = ["session_id", "driver", "lap_number"]
-    _write(samples.join(lap_index.select(*keys), keys, "left_semi"), _path(root, "samples"), True,
+    write_table(samples.join(lap_index.select(*keys), keys, "left_semi"), table_path(root, "samples"), True,
            ("driver", "lap_number", "Distance"))
-    _write(lap_index.select(*[f.name for f in LAP_INDEX.fields]), _path(root, "lap_index"), True,
+    write_table(lap_index.select(*[f.name for f in LAP_INDEX.fields]), table_path(root, "lap_index"), True,
            ("position",))
     if sessions is None:
         sessions = lap_index.select("session_id").distinct().select(
@@ -81,11 +81,11 @@ def save_prepared(root: str, *, laps: DataFrame, samples: DataFrame, lap_index:
         "session_id", F.lit(DATASET_VERSION).alias("dataset_version"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("generated_at"),
         "year", "grand_prix", "session_type", F.lit(int(frequency_hz)).alias("frequency_hz"))
-    _write(meta, _path(root, "sessions"), True)
+    write_table(meta, table_path(root, "sessions"), True)
     return root
 
 
-def _read_partitioned(spark: SparkSession, path: str) -> DataFrame:
+def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     """Read a session-partitioned table keeping session_id a string (no type inference)."""
     inferred = spark.read.parquet(path).schema
     fixed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "session_id" else f
@@ -112,7 +112,7 @@ def _version_gate(message) -> F.Column:
 
 def read_laps(spark: SparkSession, root: str, sessions: Sequence[str] | None = None) -> DataFrame:
     """IO1: lap table of the given sessions (partition pruning on session_id)."""
-    df = spark.read.schema(LAPS).parquet(_path(root, "laps"))
+    df = spark.read.schema(LAPS).parquet(table_path(root, "laps"))
     if sessions:
         df = df.filter(F.col("session_id").isin(list(sessions)))
     return df.select(*[f.name for f in LAPS.fields])
@@ -120,7 +120,7 @@ def read_laps(spark: SparkSession, root: str, sessions: Sequence[str] | None = N
 
 def read_corners(spark: SparkSession, root: str) -> DataFrame:
     """IO2: corners, or an empty table with the CORNERS schema when none were saved."""
-    df = _read(spark, _path(root, "corners"))
+    df = _read(spark, table_path(root, "corners"))
     if df is None:
         return spark.createDataFrame([], CORNERS)
     return df
@@ -128,13 +128,13 @@ def read_corners(spark: SparkSession, root: str) -> DataFrame:
 
 def read_lap_index(spark: SparkSession, root: str) -> DataFrame:
     """Selected laps of every prepared session, with their request position."""
-    return spark.read.schema(LAP_INDEX).parquet(_path(root, "lap_index")).select(
+    return spark.read.schema(LAP_INDEX).parquet(table_path(root, "lap_index")).select(
         *[f.name for f in LAP_INDEX.fields])
 
 
 def read_sessions(spark: SparkSession, root: str) -> DataFrame:
     """Session metadata rows; rows with an unsupported dataset version fail the job (IO4)."""
-    df = _read_partitioned(spark, _path(root, "sessions"))
+    df = read_partitioned(spark, table_path(root, "sessions"))
     return df.filter(_version_gate(F.concat(F.lit("Unsupported prepared dataset version for session "),
                                             F.col("session_id"))))
 
@@ -143,7 +143,7 @@ def read_lap_samples(spark: SparkSession, root: str, lap_index: DataFrame | None
     """IO3: stored samples of the selected laps (left semi join on the lap keys)."""
     keys = ["session_id", "driver", "lap_number"]
     idx = lap_index if lap_index is not None else read_lap_index(spark, root)
-    return _read_partitioned(spark, _path(root, "samples")).join(idx.select(*keys), keys, "left_semi")
+    return read_partitioned(spark, table_path(root, "samples")).join(idx.select(*keys), keys, "left_semi")
 
 
 def lap_index_from_manifests(spark: SparkSession, path: str) -> DataFrame:

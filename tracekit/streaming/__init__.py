@@ -1,0 +1 @@
+"""Structured Streaming entry points (incremental preparation of landed telemetry)."""
