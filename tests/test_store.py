@@ -116,3 +116,15 @@ def test_export_csv_round_trip(spark, tmp_path):
     ST.export_csv(laps, p)
     back = ST.read_csv(spark, p, ST.LAPS)
     assert sorted(back.collect()) == sorted(laps.collect())
+
+
+def test_report_bundle(spark, tmp_path):
+    laps, samples, req = _fixture(spark)
+    cmp_ = CP.compare_fastest_laps(laps, samples, req, points=3)
+    lap_samples = SE.selected_lap_samples(samples, SE.fastest_laps_selected(laps, req))
+    paths = CP.build_report(cmp_, lap_samples, laps, str(tmp_path / "report"))
+    assert set(paths) == {"channel_overlay", "lap_evolution", "insights", "delta", "sector_bars"}
+    ins = spark.read.parquet(paths["insights"]).orderBy("Item").collect()
+    assert ins[0]["Text"] == "VER owns the best selected lap by 0.500s over LEC."
+    assert ins[-1]["Kind"] == "final_delta"
+    assert spark.read.parquet(paths["delta"]).count() == 3

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tracekit.functions.scalars import lap_label
-from tracekit.schemas import SAMPLE_KEYS
+from tracekit.schemas import SAMPLE_KEYS, require
 
 # --- fixed values: channels drawn as overlays ---
 OVERLAY_CHANNELS = ("Speed", "Throttle", "Brake", "nGear", "RPM")
@@ -31,12 +31,14 @@ def channel_overlay(lap_samples: DataFrame, channels: Sequence[str] = OVERLAY_CH
 
 def track_speed_map(lap_samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
     """CH3: (lap keys, X, Y, Speed) with a position."""
+    require(lap_samples, ["X", "Y", "Speed"], "track_speed_map")
     return lap_samples.select(*keys, "X", "Y", "Speed").filter(
         F.col("X").isNotNull() & F.col("Y").isNotNull())
 
 
 def racing_line(lap_samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
     """CH4: (lap keys, Label, X, Y)."""
+    require(lap_samples, ["X", "Y"], "racing_line")
     return _label(lap_samples).select(*keys, "Label", "X", "Y").filter(
         F.col("X").isNotNull() & F.col("Y").isNotNull())
 

@@ -78,3 +78,32 @@ def compare_prepared(lap_index: DataFrame, samples: DataFrame, requests: DataFra
                       "stint", F.col("_req_pos").alias("position"))
     sectors = SE.sector_table_prepared(idx.drop("position").withColumnRenamed("_req_pos", "position"))
     return compare_laps(meta, samples, sectors=sectors, channels=channels, points=points)
+
+
+def build_report(comparison: dict[str, DataFrame], lap_samples: DataFrame, laps: DataFrame,
+                 path: str) -> dict[str, str]:
+    """CH9: write the chart feeds and insights of a comparison under one folder, one Parquet
+    table per feed partitioned by session_id. ``lap_samples`` are the compared laps'
+    samples with their lap time (``selected_lap_samples``). Returns feed -> path."""
+    from tracekit.operators import feeds as FD
+    from tracekit.operators.insights import insight_text
+
+    tables = {
+        "channel_overlay": FD.channel_overlay(lap_samples),
+        "lap_evolution": FD.lap_evolution(laps),
+        "insights": insight_text(comparison["insights"]),
+    }
+    if {"X", "Y"} <= set(lap_samples.columns):
+        tables["track_speed"] = FD.track_speed_map(lap_samples)
+        tables["racing_line"] = FD.racing_line(lap_samples)
+    if "DeltaSeconds" in comparison["pairs"].columns:
+        tables["delta"] = comparison["pairs"].select(*PAIR_BY_SESSION, "grid_index", "Distance", "DeltaSeconds")
+    if "sectors" in comparison:
+        tables["sector_bars"] = FD.sector_bars(comparison["sectors"])
+    out = {}
+    for name, df in tables.items():
+        target = f"{path.rstrip('/')}/{name}"
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "session_id").parquet(target)
+        out[name] = target
+    return out
