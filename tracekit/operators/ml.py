@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from tracekit.operators.clean import complete_cases
 from tracekit.schemas import ANOMALY_FEATURES, CLUSTER_FEATURES, present
+from tracekit.session import ensure_checkpoint_dir
 
 LAP_ID = ("session_id", "Driver", "LapNumber")
 EULER_GAMMA = 0.5772156649015329
@@ -116,7 +117,7 @@ def kmeans(points: DataFrame, features: Sequence[str], *, k: int = 3, by: Sequen
            key: Sequence[str] = LAP_ID, seed: int = 42, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
     """Per-group Lloyd k-means. Returns the centroid table (by..., cluster, f0..)."""
     feats = list(features)
-    fcols = [F.col(c).alias(f"f{i}") for i, c in enumerate(feats)]
+    ensure_checkpoint_dir(points.sparkSession)
     pts = points.select(*dict.fromkeys([*by, *key, *feats])).persist(StorageLevel.MEMORY_AND_DISK)
     cents = _kmeans_plus_plus(pts, feats, k=k, by=by, key=key, seed=seed)
     for _ in range(max_iter):

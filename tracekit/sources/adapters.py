@@ -63,7 +63,9 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str, *, with_text_channel: bool = False) -> DataFrame:
     """Raw (uncleaned) telemetry samples keyed by (session_id, driver, lap_number)."""
     ev = table(spark, sf_dir, "events")
-    h = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH_2024_US)) / F.lit(1e6) / 3600
+    # microseconds since 2024-01-01 on the wall clock: no session time zone involved
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    h = F.timestamp_diff("MICROSECOND", start, F.col("ts").cast("timestamp_ntz")) / F.lit(1e6) / 3600
     k = F.get_json_object("props", "$.k").cast("double")
     base = ev.select("event_id", "ts", "user_id", "event_type", "value", h.alias("h"), k.alias("k"))
     lap0 = F.floor(F.col("h") / LAP_HOURS)
