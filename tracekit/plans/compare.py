@@ -11,6 +11,7 @@ from tracekit.operators import align as AL
 from tracekit.operators import insights as IN
 from tracekit.operators import select as SE
 from tracekit.schemas import DEFAULT_COMPARISON_CHANNELS, DEFAULT_GRID_POINTS
+from tracekit.session import ensure_checkpoint_dir
 
 PAIR_BY_SESSION = ("session_id", "ref_driver", "cmp_driver")
 
@@ -56,12 +57,15 @@ def compare_fastest_laps(laps: DataFrame, samples: DataFrame, requests: DataFram
     """AL6: fastest lap of every requested driver (SE4) -> cleaned samples (SE6) ->
     alignment (AL5 per session, AL4 reference-vs-each pairs with delta) -> sectors (SE7)
     -> insights (AG8). Sessions with fewer than ``min_drivers`` selected laps are left out."""
+    # the selected laps (one row per requested driver) feed every branch below: materialise
+    # them once in the shared checkpoint folder instead of re-deriving them per branch
+    ensure_checkpoint_dir(laps.sparkSession)
     sel = SE.fastest_laps_selected(laps, requests)
-    meta = SE.lap_metadata(sel)
-    enough = (meta.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
+    enough = (sel.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
               .filter(F.col("_n") >= min_drivers))
-    meta = meta.join(enough.select("session_id"), "session_id", "left_semi")
-    sectors = SE.sector_table(sel.join(enough.select("session_id"), "session_id", "left_semi"), laps)
+    sel = sel.join(enough.select("session_id"), "session_id", "left_semi").checkpoint()
+    meta = SE.lap_metadata(sel)
+    sectors = SE.sector_table(sel, laps)
     return compare_laps(meta, samples, sectors=sectors, channels=channels, points=points)
 
 
@@ -73,7 +77,8 @@ def compare_prepared(lap_index: DataFrame, samples: DataFrame, requests: DataFra
     aligned, sectors from the index (SE8), insights."""
     req = requests.select("session_id", F.col("Driver").alias("driver"),
                           F.col("position").alias("_req_pos"))
-    idx = lap_index.join(req, ["session_id", "driver"])
+    ensure_checkpoint_dir(lap_index.sparkSession)
+    idx = lap_index.join(req, ["session_id", "driver"]).checkpoint()
     meta = idx.select("session_id", "driver", "lap_number", "lap_time_seconds", "team", "compound",
                       "stint", F.col("_req_pos").alias("position"))
     sectors = SE.sector_table_prepared(idx.drop("position").withColumnRenamed("_req_pos", "position"))
