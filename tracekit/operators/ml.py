@@ -15,18 +15,23 @@
 from __future__ import annotations
 
 import math
+import sys
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from tracekit.operators.clean import complete_cases
 from tracekit.schemas import ANOMALY_FEATURES, CLUSTER_FEATURES, present
-from tracekit.session import ensure_checkpoint_dir
+from tracekit.session import ensure_checkpoint_dir, materialize
+
+# The pandas functions below run in Python workers: ship this module by value so executors
+# need no copy of the package (no py-files, any working directory).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LAP_ID = ("session_id", "Driver", "LapNumber")
 EULER_GAMMA = 0.5772156649015329
@@ -90,7 +95,7 @@ def _kmeans_plus_plus(pts: DataFrame, feats: Sequence[str], *, k: int, by: Seque
     w = Window.partitionBy(*by).orderBy("_h", *key)
     cents = (pts.withColumn("_h", _hash01(*[F.col(c) for c in key], F.lit(seed)))
              .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-             .select(*by, F.lit(0).alias("cluster"), *fcols)).checkpoint()
+             .select(*by, F.lit(0).alias("cluster"), *fcols)).transform(materialize)
     ids = [F.col(c) for c in key]
     for r in range(1, k):
         packed = cents.groupBy(*by).agg(F.collect_list(F.struct(
@@ -109,7 +114,7 @@ def _kmeans_plus_plus(pts: DataFrame, feats: Sequence[str], *, k: int, by: Seque
             F.sum(F.least(F.col("_d2"), _d2(feats, F.col("_c")))).alias("_pot"))
         best = pot.groupBy(*by).agg(F.min_by("_c", F.struct("_pot", "_t")).alias("_p"))
         new = best.select(*by, F.lit(r).alias("cluster"), *[F.col(f"_p.f{i}") for i in range(len(feats))])
-        cents = cents.unionByName(new).checkpoint()
+        cents = cents.unionByName(new).transform(materialize)
     return cents
 
 
@@ -128,7 +133,7 @@ def kmeans(points: DataFrame, features: Sequence[str], *, k: int = 3, by: Sequen
             *by, "cluster", *[F.coalesce(F.col(f"f{i}"), F.col(f"o{i}")).alias(f"f{i}") for i in range(len(feats))],
             sum(((F.coalesce(F.col(f"f{i}"), F.col(f"o{i}")) - F.col(f"o{i}")) ** 2)
                 for i in range(len(feats))).alias("_shift"))
-        merged = merged.checkpoint()
+        merged = merged.transform(materialize)
         # converged when every group's total squared centre shift is <= tol (standardised data)
         shift = merged.groupBy(*by).agg(F.sum("_shift").alias("_s")).agg(F.max("_s")).first()[0]
         cents = merged.drop("_shift")
@@ -156,7 +161,7 @@ def cluster_laps(laps: DataFrame, *, clusters: int = 3, features: Sequence[str]
     labelled = assign_clusters(z, cents, zf, by=by, out="_c")
     order = (labelled.groupBy(*by, "_c").agg(F.avg("LapTimeSeconds").alias("_mean"))
              .withColumn("Cluster", (F.row_number().over(
-                 Window.partitionBy(*by).orderBy("_mean", "_c")) - 1).cast("int")))
+                 Window.partitionBy(*by).orderBy("_mean", "_c")) - 1).cast("int")).transform(materialize))
     return labelled.join(order.drop("_mean"), [*by, "_c"]).select(*laps.columns, "Cluster")
 
 
@@ -219,6 +224,7 @@ def path_lengths(x: np.ndarray, feat, thr, left, right, size) -> np.ndarray:
     return depth + average_path_length(size[cur])
 
 
+TREES_PER_GROUP = 10
 TREE_SCHEMA = ("session_id string, tree int, psi int, feat array<int>, thr array<double>, "
                "left array<int>, right array<int>, size array<int>")
 
@@ -231,10 +237,11 @@ def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATU
     ``min_rows`` rows are left out). Adds AnomalyScore (-1 anomaly / 1 normal, as the
     reference labels), IsAnomaly and Score (2^(-E[h]/c(psi)); automatic cut at 0.5)."""
     feats = present(laps, features)
+    ensure_checkpoint_dir(laps.sparkSession)
     data = complete_cases(laps, feats)
-    n = data.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
+    # small per-session table, used by three branches: materialise it once
+    n = data.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows).transform(materialize)
     data = data.join(n, by)
-    nf = len(feats)
 
     # 1. bounded per-tree samples: hash rank, pre-filtered to ~4 psi rows per (session, tree)
     psi = F.least(F.col("_n"), F.lit(max_samples))
@@ -245,9 +252,10 @@ def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATU
     sample = t.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi)
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        # one session's tree samples: at most trees x psi rows whatever the session size
+        # one block of a session's trees: at most TREES_PER_GROUP x psi rows
         sid = pdf[by].iloc[0]
         out = []
+        pdf = pdf.drop(columns=["_block"])
         for tree, sub in pdf.groupby("tree", sort=True):
             sub = sub.sort_values(list(key))
             rng = np.random.default_rng([seed, int(tree), zlib.crc32(str(sid).encode())])
@@ -257,7 +265,11 @@ def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATU
             out.append((sid, int(tree), size_, f, th, le, ri, sz))
         return pd.DataFrame(out, columns=["session_id", "tree", "psi", "feat", "thr", "left", "right", "size"])
 
-    forest = sample.select(*dict.fromkeys([by, "tree", *key, *feats])).groupBy(by).applyInPandas(train, TREE_SCHEMA)
+    # the model (trees x <= 2 psi nodes per session) is trained once and kept in the shared
+    # checkpoint folder; scoring then makes a single pass over the rows
+    forest = (sample.select(*dict.fromkeys([by, "tree", *key, *feats]))
+              .withColumn("_block", (F.col("tree") / F.lit(TREES_PER_GROUP)).cast("int"))
+              .groupBy(by, "_block").applyInPandas(train, TREE_SCHEMA).transform(materialize))
 
     # 2. score in bounded (session, chunk) groups, each with a copy of its session's trees
     chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(chunk_rows)))).cast("int")

@@ -604,7 +604,7 @@ def q_feed_degradation(spark, sf):
 import uuid  # noqa: E402
 
 from tracekit.schemas import LAPS  # noqa: E402
-from tracekit.session import shared_dir  # noqa: E402
+from tracekit.session import materialize, shared_dir  # noqa: E402
 from tracekit.sources import store as ST  # noqa: E402
 
 STORE_SCHEDULE_SQL = """
@@ -804,7 +804,7 @@ cen AS (select session_id, cast(Stint - 1 as int) cluster,
 def q_assign_clusters(spark, sf):
     z = z_df(spark, sf)
     cen = z.groupBy("session_id", (F.col("Stint") - 1).cast("int").alias("cluster")).agg(
-        *[F.round(F.avg(c), ROUND).alias(f"f{i}") for i, c in enumerate(ZCOLS)])
+        *[F.round(F.avg(c), ROUND).alias(f"f{i}") for i, c in enumerate(ZCOLS)]).transform(materialize)
     out = ML.assign_clusters(z, cen, ZCOLS)
     return out.select("session_id", "Driver", "LapNumber", "Cluster")
 

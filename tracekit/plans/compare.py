@@ -11,7 +11,7 @@ from tracekit.operators import align as AL
 from tracekit.operators import insights as IN
 from tracekit.operators import select as SE
 from tracekit.schemas import DEFAULT_COMPARISON_CHANNELS, DEFAULT_GRID_POINTS
-from tracekit.session import ensure_checkpoint_dir
+from tracekit.session import ensure_checkpoint_dir, materialize
 
 PAIR_BY_SESSION = ("session_id", "ref_driver", "cmp_driver")
 
@@ -63,7 +63,7 @@ def compare_fastest_laps(laps: DataFrame, samples: DataFrame, requests: DataFram
     sel = SE.fastest_laps_selected(laps, requests)
     enough = (sel.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
               .filter(F.col("_n") >= min_drivers))
-    sel = sel.join(enough.select("session_id"), "session_id", "left_semi").checkpoint()
+    sel = sel.join(enough.select("session_id"), "session_id", "left_semi").transform(materialize)
     meta = SE.lap_metadata(sel)
     sectors = SE.sector_table(sel, laps)
     return compare_laps(meta, samples, sectors=sectors, channels=channels, points=points)
@@ -78,7 +78,7 @@ def compare_prepared(lap_index: DataFrame, samples: DataFrame, requests: DataFra
     req = requests.select("session_id", F.col("Driver").alias("driver"),
                           F.col("position").alias("_req_pos"))
     ensure_checkpoint_dir(lap_index.sparkSession)
-    idx = lap_index.join(req, ["session_id", "driver"]).checkpoint()
+    idx = lap_index.join(req, ["session_id", "driver"]).transform(materialize)
     meta = idx.select("session_id", "driver", "lap_number", "lap_time_seconds", "team", "compound",
                       "stint", F.col("_req_pos").alias("position"))
     sectors = SE.sector_table_prepared(idx.drop("position").withColumnRenamed("_req_pos", "position"))

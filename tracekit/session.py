@@ -58,3 +58,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tracekit", name)
+
+
+def materialize(df):
+    """Reliable checkpoint of a (small) intermediate table into the shared checkpoint folder.
+
+    The frame is persisted first so the checkpoint write reads the cached blocks instead of
+    recomputing the plan a second time; the cache is dropped once the files exist.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
