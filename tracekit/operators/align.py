@@ -93,7 +93,7 @@ def linspace_grid(mem_dom: DataFrame, points: int) -> DataFrame:
     """Grid columns for ``numpy.linspace(_a, _b, points)``."""
     n = int(points)
     step = (F.col("_b") - F.col("_a")) / F.lit(float(n - 1)) if n > 1 else F.lit(0.0)
-    return mem_dom.withColumn("_n", F.lit(n)).withColumn("_step", step).withColumn("_last", F.lit(n > 1))
+    return mem_dom.withColumns({"_n": F.lit(n), "_step": step, "_last": F.lit(n > 1)})
 
 
 def interpolate_on_grid(samples: DataFrame, grid: DataFrame, *, group_keys: Sequence[str],
@@ -198,7 +198,7 @@ def _member_domain(samples: DataFrame, members: DataFrame, G, M, L, axis: str,
         mem = members.select(*_uniq(G, M, L)).join(lap_dom, L)
     # group domain as a window over the members: no self-join, one exchange on G
     wg = Window.partitionBy(*G)
-    return (mem.withColumn("_a", F.max("lo").over(wg)).withColumn("_b", F.min("hi").over(wg))
+    return (mem.withColumns({"_a": F.max("lo").over(wg), "_b": F.min("hi").over(wg)})
             .filter(F.col("_b") > F.col("_a")).select(*_uniq(G, M, L), "_a", "_b"))
 
 
@@ -211,9 +211,10 @@ def resample_time(samples: DataFrame, *, frequency_hz: float = 10.0,
     L = list(lap_keys)
     f = float(frequency_hz)
     dom = lap_domain(samples, lap_keys=L, axis=axis)
-    grid = (dom.withColumn("_a", F.col("lo")).withColumn("_b", F.col("hi"))
-            .withColumn("_n", (F.floor((F.col("hi") - F.col("lo")) * F.lit(f)) + 1).cast("int"))
-            .withColumn("_step", F.lit(1.0 / f)).withColumn("_last", F.lit(False)))
+    grid = dom.withColumns({
+        "_a": F.col("lo"), "_b": F.col("hi"),
+        "_n": (F.floor((F.col("hi") - F.col("lo")) * F.lit(f)) + 1).cast("int"),
+        "_step": F.lit(1.0 / f), "_last": F.lit(False)})
     return interpolate_on_grid(samples, grid, group_keys=L, member_keys=[], lap_keys=L,
                                channels=channels, axis=axis)
 
@@ -254,10 +255,10 @@ def pairs_by_reference(lap_dom: DataFrame, *, lap_keys: Sequence[str] = SAMPLE_K
     by_session = Window.partitionBy(session)
     by_lap = Window.partitionBy(session, lap)
     is_ref = did == F.col("_ref")
-    d = (lap_dom.withColumn("_ref", F.min(did).over(by_session))
-         .withColumn("ref_driver", F.max(F.when(is_ref, F.col(driver))).over(by_lap))
-         .withColumn("ref_lo", F.max(F.when(is_ref, F.col("lo"))).over(by_lap))
-         .withColumn("ref_hi", F.max(F.when(is_ref, F.col("hi"))).over(by_lap)))
+    d = lap_dom.withColumn("_ref", F.min(did).over(by_session)).withColumns({
+        "ref_driver": F.max(F.when(is_ref, F.col(driver))).over(by_lap),
+        "ref_lo": F.max(F.when(is_ref, F.col("lo"))).over(by_lap),
+        "ref_hi": F.max(F.when(is_ref, F.col("hi"))).over(by_lap)})
     return (d.filter(F.col("ref_driver").isNotNull() & ~is_ref)
             .select(session, lap, "ref_driver", F.col(driver).alias("cmp_driver"),
                     "ref_lo", "ref_hi", F.col("lo").alias("cmp_lo"), F.col("hi").alias("cmp_hi")))

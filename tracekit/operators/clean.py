@@ -54,12 +54,12 @@ def coerce_channels(samples: DataFrame) -> DataFrame:
 
 def binary_channels(samples: DataFrame) -> DataFrame:
     """SC4 / SC5: Brake -> 0/1, DRSActive from the DRS code."""
-    out = samples
-    if "Brake" in out.columns:
-        out = out.withColumn("Brake", S.binary_flag(F.col("Brake")))
-    if "DRS" in out.columns:
-        out = out.withColumn("DRSActive", S.drs_active(F.col("DRS")))
-    return out
+    new = {}
+    if "Brake" in samples.columns:
+        new["Brake"] = S.binary_flag(F.col("Brake"))
+    if "DRS" in samples.columns:
+        new["DRSActive"] = S.drs_active(F.col("DRS"))
+    return samples.withColumns(new) if new else samples
 
 
 def dedupe_samples(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS,
@@ -71,8 +71,9 @@ def dedupe_samples(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS,
     """
     tie = [F.col(c).asc_nulls_last() for c in order if c in samples.columns]
     w = Window.partitionBy(*keys, axis).orderBy(*tie) if tie else Window.partitionBy(*keys, axis).orderBy(axis)
+    cols = samples.columns
     return (samples.filter(F.col(axis).isNotNull())
-            .withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn"))
+            .select(*cols, F.row_number().over(w).alias("_rn")).filter("_rn = 1").select(*cols))
 
 
 def prepare_channels(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
