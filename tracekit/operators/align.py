@@ -28,6 +28,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracekit.schemas import DEFAULT_COMPARISON_CHANNELS, DEFAULT_GRID_POINTS, SAMPLE_KEYS
 
 PAIR_KEYS = ("session_id", "lap_number", "ref_driver", "cmp_driver")
+# measured at sf0.1: the single-partition role window wins up to a few channels; beyond,
+# per-role windows plus a pivot do less work per cell row
+ROLE_WINDOW_MAX_CHANNELS = 3
 
 
 def _uniq(*cols: Sequence[str]) -> list[str]:
@@ -167,6 +170,67 @@ def interpolate_on_grid(samples: DataFrame, grid: DataFrame, *, group_keys: Sequ
     return pts.select(*out)
 
 
+def interpolate_roles(samples: DataFrame, grid: DataFrame, *, group_keys: Sequence[str],
+                      roles: Sequence[str], lap_keys: Sequence[str], channels: Sequence[str],
+                      axis: str, role_col: str = "role") -> DataFrame:
+    """Like ``interpolate_on_grid`` for groups whose few members (``roles``) share one grid:
+    the cells of all roles sit in one window partition per group, each role's last / next
+    point comes from role-conditional running frames, and every grid point is exploded once
+    per group with ``<role>_<channel>`` columns side by side - no pivot aggregate."""
+    G, L = list(group_keys), list(lap_keys)
+    chans = [c for c in dict.fromkeys(channels) if c in samples.columns and c != axis]
+    x = F.col(axis)
+    gcols = ["_a", "_b", "_n", "_step", "_last"]
+    grid = grid.select(*_uniq(G, [role_col], L), *gcols)
+    s = (samples.select(*L, axis, *chans).filter(x.isNotNull()).join(grid, L)
+         .withColumn("_k", _cell(x)))
+    aggs = []
+    for i, c in enumerate(chans):
+        y = F.col(c).cast("double")
+        xv = F.when(y.isNotNull(), x)
+        aggs += [F.min(xv).alias(f"_lox{i}"), F.min_by(y, xv).alias(f"_loy{i}"),
+                 F.max(xv).alias(f"_hix{i}"), F.max_by(y, xv).alias(f"_hiy{i}"),
+                 F.count(y).alias(f"_n{i}")]
+    cells = s.groupBy(*G, role_col, *gcols, "_k").agg(*aggs)
+
+    def pt(px: str, py: str, role: str) -> Column:
+        return F.when((F.col(role_col) == role) & F.col(px).isNotNull(),
+                      F.struct(F.col(px).alias("x"), F.col(py).alias("y")))
+
+    part = Window.partitionBy(*G)
+    asc = part.orderBy("_k", role_col)
+    run = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = asc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = part.orderBy(F.col("_k").desc(), F.col(role_col).desc()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    rc = [(r, i) for r in roles for i in range(len(chans))]
+    u = cells.repartition(*G)
+    u = u.select(
+        *G, role_col, *gcols, "_k",
+        F.lag("_k").over(asc).isNull().alias("_first"), F.lead("_k").over(asc).alias("_nk"),
+        *[F.last(pt(f"_hix{i}", f"_hiy{i}", r), ignorenulls=True).over(run).alias(f"_L{r}{i}") for r, i in rc],
+        *[F.min(pt(f"_lox{i}", f"_loy{i}", r)).over(whole).getField("y").alias(f"_F{r}{i}") for r, i in rc],
+        *[F.sum(F.when(F.col(role_col) == r, F.col(f"_n{i}"))).over(whole).alias(f"_C{r}{i}") for r, i in rc],
+        *[pt(f"_lox{i}", f"_loy{i}", r).alias(f"_lo{r}{i}") for r, i in rc])
+    u = u.select("*", *[F.last(f"_lo{r}{i}", ignorenulls=True).over(after).alias(f"_R{r}{i}") for r, i in rc])
+    n = F.col("_n")
+    lo_i = F.when(F.col("_first"), F.lit(0)).otherwise(F.col("_k"))
+    hi_i = F.least(F.coalesce(F.col("_nk"), n), n) - 1
+    pts = u.withColumn("grid_index", F.explode(F.when(lo_i <= hi_i, F.sequence(lo_i, hi_i))))
+    k = F.col("grid_index")
+    g = _gp(k)
+    out = [*G, k.alias("grid_index"), g.alias(axis)]
+    for r, i in rc:
+        lq, rq = F.col(f"_L{r}{i}"), F.col(f"_R{r}{i}")
+        hx, hy, nx, ny = lq.getField("x"), lq.getField("y"), rq.getField("x"), rq.getField("y")
+        val = (F.when(F.coalesce(F.col(f"_C{r}{i}"), F.lit(0)) < 2, F.lit(None).cast("double"))
+               .when(lq.isNull(), F.col(f"_F{r}{i}"))
+               .when(rq.isNull() | (g == hx), hy)
+               .otherwise((ny - hy) / (nx - hx) * (g - hx) + hy))
+        out.append(val.alias(f"{r}_{chans[i]}"))
+    return pts.select(*out)
+
+
 def align(samples: DataFrame, members: DataFrame, *, group_keys: Sequence[str],
           member_keys: Sequence[str], lap_keys: Sequence[str] = SAMPLE_KEYS,
           channels: Sequence[str] = DEFAULT_COMPARISON_CHANNELS, points: int = DEFAULT_GRID_POINTS,
@@ -281,13 +345,21 @@ def align_pairs(samples: DataFrame, pairs: DataFrame, *, pair_keys: Sequence[str
     chans = [c for c in dict.fromkeys(channels) if c in samples.columns and c != axis]
     members = pair_members(pairs, pair_keys=keys)
     mem_dom = _member_domain(samples, members, G, ["role"], L, axis, lap_dom)
-    wide = interpolate_on_grid(samples, linspace_grid(mem_dom, points), group_keys=G,
-                               member_keys=["role"], lap_keys=L, channels=chans, axis=axis)
-    is_ref = F.col("role") == "ref"
-    aggs = [F.max(axis).alias(axis)]
-    aggs += [F.max(F.when(is_ref, F.col(c))).alias(f"ref_{c}") for c in chans]
-    aggs += [F.max(F.when(~is_ref, F.col(c))).alias(f"cmp_{c}") for c in chans]
-    out = wide.groupBy(*keys, "grid_index").agg(*aggs)
+    grid = linspace_grid(mem_dom, points)
+    if len(chans) <= ROLE_WINDOW_MAX_CHANNELS:
+        # few channels: both roles in one window partition, one exploded row per grid point
+        out = interpolate_roles(samples, grid, group_keys=G, roles=("ref", "cmp"), lap_keys=L,
+                                channels=chans, axis=axis)
+    else:
+        # many channels: per-role windows (half the running frames per row) + a hash pivot
+        # on keys that include G, so it reuses the exchange of the interpolation
+        wide = interpolate_on_grid(samples, grid, group_keys=G, member_keys=["role"], lap_keys=L,
+                                   channels=chans, axis=axis)
+        is_ref = F.col("role") == "ref"
+        out = wide.groupBy(*keys, "grid_index").agg(
+            F.max(axis).alias(axis), *[F.max(F.when(is_ref, F.col(c))).alias(f"ref_{c}") for c in chans],
+            *[F.max(F.when(~is_ref, F.col(c))).alias(f"cmp_{c}") for c in chans])
+    out = out.select(*keys, "grid_index", axis, *[f"ref_{c}" for c in chans], *[f"cmp_{c}" for c in chans])
     if "TimeSeconds" in chans:
         out = out.withColumn("DeltaSeconds", F.col("cmp_TimeSeconds") - F.col("ref_TimeSeconds"))
     return out
