@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tracekit.schemas import SAMPLE_KEYS
 
 # --- fixed values of the adapters ---
-EPOCH_2024_US = 1704067200000000
 LAP_HOURS = 240
 DRIVERS_PER_SESSION = 15.0
 CORNER_SPACING = 96  # tenths of a unit: corner n sits at (n * 96 + 48) / 10
@@ -136,28 +135,6 @@ def lap_index(samples_df: DataFrame) -> DataFrame:
     return samples_df.select(*SAMPLE_KEYS).distinct()
 
 
-def pairs(laps_: DataFrame) -> DataFrame:
-    """Reference = lowest numeric driver id of a session; comparison = every other driver,
-    same lap number. ``laps_`` holds (session_id, driver, lap_number) rows, e.g. a lap
-    domain. Columns: session_id, lap_number, ref_driver, cmp_driver."""
-    ref = (laps_.groupBy("session_id")
-           .agg(F.min(F.col("driver").cast("bigint")).alias("ref_id")))
-    ref_laps = (laps_.join(ref, "session_id")
-                .filter(F.col("driver").cast("bigint") == F.col("ref_id"))
-                .select("session_id", "lap_number", F.col("driver").alias("ref_driver")))
-    cmp_laps = laps_.select("session_id", "lap_number", F.col("driver").alias("cmp_driver"))
-    return (ref_laps.join(cmp_laps, ["session_id", "lap_number"])
-            .filter(F.col("ref_driver") != F.col("cmp_driver")))
-
-
-def pair_members(pairs_df: DataFrame) -> DataFrame:
-    """Pairs -> membership rows (pair keys, role, driver) for the aligner."""
-    keys = ["session_id", "lap_number", "ref_driver", "cmp_driver"]
-    ref = pairs_df.select(*keys, F.lit("ref").alias("role"), F.col("ref_driver").alias("driver"))
-    cmp = pairs_df.select(*keys, F.lit("cmp").alias("role"), F.col("cmp_driver").alias("driver"))
-    return ref.unionByName(cmp)
-
-
 def selected_laps(laps_df: DataFrame, samples_df: DataFrame) -> DataFrame:
     """Laps that also have telemetry: LapNumber <= 3 on drivers present in samples, re-keyed
     to the telemetry's session so laps and samples share (session_id, driver, lap)."""
