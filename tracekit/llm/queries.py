@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracekit.llm import contamination, lang_id, mix, near_dedup, token_files
+from tracekit.llm import contamination, lang_id, link_trust, mix, near_dedup, passages, pii, secrets, token_files, topk
 from tracekit.llm.common import table
 from tracekit.session import shared_dir
 
@@ -25,6 +25,17 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = shared_dir(spark, f"ledger-{uuid.uuid4().hex}")
+    return secrets.digest(secrets.scan_history(table(spark, sf_dir, "documents"), ledger, path="doc_id", content="text"))
+
+
+@query
+def op2_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -37,6 +48,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_digests(spark, path)
 
 
+@query
+def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *secrets.span_digest("spans", pii.BASE))
+
+
 @query
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix.mixture(table(spark, sf_dir, "documents"))
@@ -53,3 +75,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+@query
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
