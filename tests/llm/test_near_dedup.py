@@ -60,7 +60,7 @@ def test_chains_copies_and_edges(spark, monkeypatch):
     texts += [texts[0]] * 5 + [texts[0].upper() + "  "] + [None, "", " \t\n", "one", "One", "one two", "a b c", "A b C", "b c a"]
     texts += [" ".join(f"u{rng.randrange(99999)}" for _ in range(9000))] * 2
     rng.shuffle(texts)
-    monkeypatch.setattr(near_dedup, "PACK", 7)
+    monkeypatch.setattr(near_dedup, "PACK", 500)
     monkeypatch.setattr(near_dedup, "SHARD", 10)
     check(spark, list(enumerate(texts)))
 

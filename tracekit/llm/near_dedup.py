@@ -35,7 +35,7 @@ ship(__name__)
 
 PERMUTATIONS = 50
 ROWS = 5            # signature values in a band
-PACK = 256          # leaders compared at once in a bucket
+PACK = 1 << 21      # shingles of the leaders compared at once in a bucket (16 MB), one leader at least
 SHARD = 2_000       # members of a bucket that one task compares with a pack
 MAX_ROUNDS = 10_000
 SIGNATURE = "doc_id long, n_shingles long, set_key binary, bands array<long>"
@@ -145,6 +145,18 @@ def _links(percent: int):
     return run
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links: components of components, so the old links are not needed."""
+    def of(side: str) -> DataFrame:
+        return comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = settle(components(ends))
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = comp.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return known.unionByName(merged.join(comp, "node", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
@@ -157,10 +169,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     groups = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     copies = full.join(groups, "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = full.join(groups.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"])
-    buckets = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", F.explode("bands").alias("key"))
+    buckets = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("key"))
     least = buckets.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     # rows of documents that share a bucket with another one
-    shared = settle(buckets.join(least, "key").select("key", "rep", "n_shingles", "bands", "first"))
+    shared = settle(buckets.join(least, "key").select("key", "rep", "n_shingles", "first"))
     wanted = shared.select("rep").distinct()
     sets = settle(texts.join(wanted, texts.doc_id == wanted.rep).select("rep", "text")
                   .mapInArrow(_sets(k), "rep long, shingles array<long>")
@@ -174,8 +186,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     comp = settle(components(links))
     tested = None
     for _ in range(MAX_ROUNDS):
-        members = (shared.select("key", "rep").distinct().join(comp, F.col("rep") == comp.node, "left")
-                   .select("key", "rep", F.coalesce("component", "rep").alias("component")))
+        members = (shared.groupBy("key", "rep").agg(F.max("n_shingles").alias("n_shingles"))
+                   .join(comp, F.col("rep") == comp.node, "left")
+                   .select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
         spread = (members.groupBy("key", "component").agg(F.count("*").alias("n"))
                   .groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
                                       F.ceil(F.sum("n") / SHARD).cast("int").alias("shards"), F.count("*").alias("c"))
@@ -184,8 +197,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
         left = mixed.where("component <> main").drop("main")
         if tested is not None:
             left = left.join(tested, ["key", "rep"], "left_anti")
-        turn = left.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("rep")))
-        turn = settle(turn.where(F.col("turn") <= PACK).drop("turn"))
+        before = F.sum("n_shingles").over(Window.partitionBy("key").orderBy("rep").rowsBetween(Window.unboundedPreceding, -1))
+        turn = settle(left.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < PACK).select("key", "shards", "rep", "component"))
         if turn.isEmpty():
             break
         lead = turn.select("key", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
@@ -198,8 +211,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
                        .select("key", "shard", "member", "rep", "component", "bands", "shingles")
                        .mapInArrow(_links(percent), "a long, b long").distinct())
         if not found.isEmpty():
-            links = settle(links.unionByName(found).distinct())
-            comp = settle(components(links))
+            comp = settle(_joined(comp, found))
         done = turn.select("key", "rep")
         tested = settle(done if tested is None else tested.unionByName(done))
     else:
