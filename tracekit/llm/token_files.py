@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,8 +33,8 @@ from tracekit.llm.simple8b import Coded, decode, encode
 ship(__name__)
 
 SEGMENT = 1 << 18
-MAX_PARTS = 600_000   # distinct parts a worker process remembers
-MAX_PIECES = 300_000  # distinct pieces it remembers
+MAX_PARTS = 1_000_000  # distinct parts a worker process remembers, the first ones it meets
+MAX_PIECES = 400_000   # likewise of pieces
 SEGMENTS = ("shard int, seq long, first long, n long, words binary, offsets binary, escapes binary, "
             "doc_ids array<long>, lengths array<long>")
 # Letters, digits and signs whose lower case and composition are the same in every Unicode version.
@@ -57,24 +58,35 @@ class PieceEncoder:
         parts = json.loads(source)["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split"))
         self.added = [t["content"] for t in json.loads(source)["added_tokens"]]
+        self.added_starts = sorted({a[0] for a in self.added})
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.parts: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}   # ids as uint32
+        self.pieces: dict[str, bytes] = {}
 
-    def part(self, part: str) -> list[int]:
+    def part(self, part: str) -> bytes:
         if (ids := self.parts.get(part)) is None:
-            if len(self.parts) >= MAX_PARTS:
-                self.parts.clear()
             shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = [t.id for t in self.whole.model.tokenize(shown)]
+            ids = array("I", [t.id for t in self.whole.model.tokenize(shown)]).tobytes()
+            if len(self.parts) < MAX_PARTS:
+                self.parts[part] = ids
         return ids
 
-    def piece(self, piece: str) -> list[int]:
+    def _all(self, piece: str) -> bytes:
+        return array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _cut(self, piece: str) -> bytes:
+        if not (piece.isprintable() if piece.isascii() else PLAIN.fullmatch(piece)):
+            return self._all(piece)
+        if piece.isalpha():  # one word: the pattern takes all its letters
+            return self.part(piece.lower())
+        for start in self.added_starts:
+            if start in piece and any(a in piece for a in self.added):
+                return self._all(piece)
+        return b"".join(map(self.part, self.pattern.findall(piece.lower())))
+
+    def piece(self, piece: str) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
-            if PLAIN.fullmatch(piece) and not any(a in piece for a in self.added):
-                ids = [i for p in self.pattern.findall(piece.lower()) for i in self.part(p)]
-            else:
-                ids = self.whole.encode(piece, add_special_tokens=False).ids
+            ids = self._cut(piece)
             if len(self.pieces) < MAX_PIECES:
                 self.pieces[piece] = ids
         return ids
@@ -82,9 +94,9 @@ class PieceEncoder:
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         offsets, codes, distinct = words_of(texts)
-        known = [self.piece(p) for p in distinct.to_pylist()]
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter((i for ids in known for i in ids), np.uint32, int(size.sum()))
+        known = list(map(self.piece, distinct.to_pylist()))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.uint32)
         first, each = (np.cumsum(size) - size)[codes], size[codes]
         upto = np.concatenate([[0], np.cumsum(each)])
         at = np.repeat(first - upto[:-1], each) + np.arange(upto[-1])
@@ -122,7 +134,7 @@ def _encoder(shared, end: int | None, spaced: bool):
             to_ids = lambda texts: _encode_batch(whole, texts)
         shard, seq, first, held = TaskContext.get().partitionId(), 0, 0, 0
         ids, doc_ids, lengths = [], [], []
-        for part in slices(batches, limit=4 << 20):
+        for part in slices(batches):
             i, n = _with_end(*to_ids(part.column("text")), end)
             ids.append(i)
             doc_ids += part.column("doc_id").to_pylist()
