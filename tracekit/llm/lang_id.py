@@ -12,8 +12,8 @@ Method
   name. ``score`` is the softmax of the means at the winner, times the share of words the
   model could score.
 
-The model holds the ``MAX_WORDS`` most frequent words and the ``MAX_GRAMS`` most frequent n-grams of
-each length, counted over all training rows; that bound is what makes it safe to send to each task.
+The model holds the most frequent words, up to ``MAX_WORDS``, and the most frequent n-grams of each length, up to
+``MAX_GRAMS``, counted over all training rows; that bound is what makes it safe to send to each task.
 
 Defined results: null text or text without a letter gives ``und`` and 0.0, as does every text when
 nothing was learned; null languages are not learned from; repeated rows count as often as they occur.
@@ -83,10 +83,22 @@ def gram_counts(words: DataFrame, length: int) -> DataFrame:
             .where("gram <> ' '").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
-def _most_frequent(counts: DataFrame, entry: str, limit: int) -> DataFrame:
-    """One row for each of the most frequent entries, with its counts by language."""
-    return (counts.groupBy(entry).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-            .orderBy(F.desc("total"), entry).limit(limit).select(F.col(entry).alias("entry"), "by"))
+def _most_frequent(counts: DataFrame, entry: str, limit: int) -> list:
+    """The most frequent entries, at most ``limit``, with their counts by language.
+
+    A histogram of logarithmic frequencies (a few thousand cells) finds the lowest cell from which on there are
+    no more than ``limit`` entries; all from there on are taken, so nothing beyond the limit reaches the driver.
+    """
+    rows = counts.groupBy(entry).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    rows = settle(rows.withColumn("cell", F.floor(F.log2("total") * 64).cast("int")))
+    lowest, left = None, limit
+    for r in sorted(rows.groupBy("cell").count().collect(), key=lambda r: -r["cell"]):
+        if r["count"] > left:
+            break
+        lowest, left = r["cell"], left - r["count"]
+    if lowest is None:
+        return []
+    return rows.where(F.col("cell") >= lowest).select(F.col(entry).alias("entry"), "by").orderBy("entry").collect()
 
 
 def _log_table(rows: list, languages: list[str], totals: dict[str, int]) -> dict[str, tuple[float, ...]]:
@@ -103,12 +115,12 @@ def train(docs: DataFrame, *, max_words: int = MAX_WORDS, max_grams: int = MAX_G
     words = settle(word_counts(docs))
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals, key=lambda x: x.encode())
-    table = _log_table(_most_frequent(words, "word", max_words).collect(), languages, totals)
+    table = _log_table(_most_frequent(words, "word", max_words), languages, totals)
     grams = []
     for length in range(1, longest + 1):
         counts = settle(gram_counts(words, length))
         sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        grams.append(_log_table(_most_frequent(counts, "gram", max_grams).collect(), languages, sums))
+        grams.append(_log_table(_most_frequent(counts, "gram", max_grams), languages, sums))
     return Model(languages, table, grams)
 
 
