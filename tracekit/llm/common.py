@@ -7,8 +7,10 @@ texts is split and dictionary-encoded by Arrow, so that everything paid per *dis
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracekit.session import ensure_checkpoint_dir
+from tracekit.session import ensure_checkpoint_dir, shared_dir
 
 SLICE_BYTES = 8 << 20  # text handled at once inside a Python task
 
@@ -49,6 +51,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    They go when the driver finds the plans that made them unreachable, which a long job otherwise leaves to chance.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder."""
+    return shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library has written and no longer reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in order, cut so that a slice holds about ``limit`` bytes of text (one row at least)."""
