@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracekit.llm.common import mix, settle, ship, slices, text_shingles
+from tracekit.llm.common import mix, release, settle, ship, slices, text_shingles
 from tracekit.llm.components import components
 
 ship(__name__)
@@ -173,10 +173,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     least = buckets.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     # rows of documents that share a bucket with another one
     shared = settle(buckets.join(least, "key").select("key", "rep", "n_shingles", "first"))
+    release(docs.sparkSession)
     wanted = shared.select("rep").distinct()
     sets = settle(texts.join(wanted, texts.doc_id == wanted.rep).select("rep", "text")
                   .mapInArrow(_sets(k), "rep long, shingles array<long>")
                   .join(full.select(F.col("doc_id").alias("rep"), "bands"), "rep"))
+    release(docs.sparkSession)
 
     pairs = shared.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     one, two = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
@@ -184,6 +186,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     links = settle(pairs.join(two, "b").join(one, "a").select("a", "b", both.alias("n"), (F.size("sa") + F.size("sb")).alias("t"))
                    .where(100 * F.col("n") >= percent * (F.col("t") - F.col("n"))).select("a", "b").unionByName(copies))
     comp = settle(components(links))
+    release(docs.sparkSession)
     tested = None
     for _ in range(MAX_ROUNDS):
         members = (shared.groupBy("key", "rep").agg(F.max("n_shingles").alias("n_shingles"))
@@ -214,6 +217,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
             comp = settle(_joined(comp, found))
         done = turn.select("key", "rep")
         tested = settle(done if tested is None else tested.unionByName(done))
+        release(docs.sparkSession)
     else:
         raise RuntimeError(f"buckets did not settle in {MAX_ROUNDS} rounds")
     out = sig.join(comp, sig.doc_id == comp.node, "left")
