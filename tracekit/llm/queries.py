@@ -80,3 +80,67 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+# ---------------------------------------------------------------- the same in SQL, by comparing everything with everything
+
+WORDS = (r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+         r"'[^\x20\x09-\x0D]+')")
+
+
+def _shingles(name: str, source: str, key: str, k: int) -> str:
+    """(key, s): the distinct k-word shingles of each text; of fewer words the whole sequence."""
+    return f"""
+{name}_w AS (select {key}, {WORDS.format('text')} w from {source}),
+{name} AS (select distinct {key}, array_to_string(w[i:i + {k - 1}], ' ') s
+  from (select {key}, w, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) i from {name}_w where len(w) > 0))"""
+
+
+SQL["op3_decontaminate"] = f"""
+WITH items AS (select distinct item_id, text from benchmark),
+{_shingles('d', 'documents', 'doc_id', 5).strip()},
+{_shingles('b', 'items', 'item_id', 5).strip()},
+n AS (select item_id, count(*) n_item from b group by 1)
+select doc_id, item_id, n_item, count(*) n_shared, count(*) / n_item containment
+from d join b using (s) join n using (item_id)
+group by doc_id, item_id, n_item having 100 * count(*) >= 80 * n_item"""
+
+SQL["op7_mix_sources"] = f"""
+WITH base AS (select doc_id, source, cast(len({WORDS.format('text')}) as bigint) size,
+    (cast('0x' || substr(md5('mix-' || cast(doc_id as varchar)), 1, 12) as bigint) + 0.5::double) / 281474976710656.0::double u
+  from documents),
+s AS (select source, cast(sum(size) as bigint) source_size from base group by 1),
+s1 AS (select *, row_number() over (order by source nulls last) i, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] w from s),
+s2 AS (select *, 2 * source_size cap, cast(sum(source_size) over () as bigint) total, sum(w) over () all_w,
+    coalesce(sum(2 * source_size) over below, 0) cap_before, sum(w) over () - coalesce(sum(w) over below, 0) w_left
+  from s1 window below as (order by source_size / w, i rows between unbounded preceding and 1 preceding)),
+s3 AS (select *, 100 * cap * w_left <= (150 * total - 100 * cap_before) * w is_full from s2),
+s4 AS (select source, source_size, case when is_full then cast(cap as double) else
+    w * (cast(150 * total - 100 * coalesce(sum(case when is_full then cap end) over (), 0) as double) / 100.0::double)
+      / sum(case when not is_full then w end) over () end target from s3),
+s5 AS (select *, least(2.0::double, case when source_size > 0 then target / source_size else 0 end) e from s4),
+t AS (select base.*, source_size, target, e, cast(floor(e) as bigint) whole from base join s5 on base.source is not distinct from s5.source),
+r AS (select source, any_value(target) - sum(whole * size) rest from t group by 1),
+o AS (select t.doc_id, rest, coalesce(sum(size) over (partition by t.source order by u, doc_id rows between unbounded preceding and 1 preceding), 0) b, size
+  from t join r on t.source is not distinct from r.source where e > whole and size > 0)
+select t.doc_id, t.size, source_size, target,
+  (whole + case when t.doc_id in (select doc_id from o where 2 * (rest - b) > size) then 1 else 0 end) * t.size taken from t"""
+
+SQL["op9_near_dedup"] = f"""
+WITH RECURSIVE {_shingles('d', 'documents', 'doc_id', 3).strip()},
+n AS (select doc_id, count(*) n from d group by 1),
+pair AS (select a.doc_id x, b.doc_id y, count(*) c from d a join d b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links AS (select x, y from pair join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (select doc_id a, doc_id b from documents union select reach.a, links.y from reach join links on reach.b = links.x),
+comp AS (select a doc_id, min(b) component_id from reach group by 1)
+select doc_id, coalesce(n.n, 0) n_shingles, component_id, doc_id = component_id kept
+from documents join comp using (doc_id) left join n using (doc_id)"""
+
+SQL["op10_top_k"] = """
+WITH v AS (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v from embeddings
+  where embedding is not null and vec_id is not null
+    and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), true)),
+s AS (select a.vec_id query_id, b.vec_id, cast(list_inner_product(a.v, b.v) as bigint) score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0)
+select query_id, cast(rank as int) rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 5"""
