@@ -89,7 +89,7 @@ def session_label(year: Column, grand_prix: Column, session_type: Column) -> Col
 
 def millis_text(seconds: Column) -> Column:
     """Seconds with three decimals via integer milliseconds (same digits in every engine)."""
-    ms = F.round(seconds * 1000).cast("bigint")
+    ms = F.round(nan_to_null(seconds.cast("double")) * 1000).try_cast("bigint")
     sign = F.when(ms < 0, F.lit("-")).otherwise(F.lit(""))
     a = F.abs(ms)
     return F.concat(sign, (a / 1000).cast("bigint").cast("string"), F.lit("."),
@@ -116,7 +116,3 @@ def text_or_unknown(c: Column) -> Column:
 def optional_int(c: Column) -> Column:
     """SC6: NULL passes through, otherwise cast (bad text -> NULL)."""
     return nan_to_null(c.try_cast("double")).cast("int")
-
-
-def optional_float(c: Column) -> Column:
-    return nan_to_null(c.try_cast("double"))

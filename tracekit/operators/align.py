@@ -130,14 +130,13 @@ def interpolate_on_grid(samples: DataFrame, grid: DataFrame, *, group_keys: Sequ
 
     # 2. windows over the non-empty cells only (at most n + 1 rows per member, usually about
     #    one per sample): per channel the last point at or before each cell, the first point
-    #    after it, the first point overall and the point count. The exchange on G also
-    #    serves any per-group step after the interpolation.
+    #    after it, the first point overall and the point count. One member is one window.
     part = Window.partitionBy(*G, *M)
     asc = part.orderBy("_k")
     run = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = asc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = part.orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    u = cells.repartition(*G)
+    u = cells.repartition(*G, *M) if M else cells.repartition(*G)
     u = u.select(
         *G, *M, *gcols, "_k",
         F.lag("_k").over(asc).isNull().alias("_first"), F.lead("_k").over(asc).alias("_nk"),
@@ -260,10 +259,9 @@ def _member_domain(samples: DataFrame, members: DataFrame, G, M, L, axis: str,
         if lap_dom is None:
             lap_dom = lap_domain(samples, lap_keys=L, axis=axis)
         mem = members.select(*_uniq(G, M, L)).join(lap_dom, L)
-    # group domain as a window over the members: no self-join, one exchange on G
-    wg = Window.partitionBy(*G)
-    return (mem.withColumns({"_a": F.max("lo").over(wg), "_b": F.min("hi").over(wg)})
-            .filter(F.col("_b") > F.col("_a")).select(*_uniq(G, M, L), "_a", "_b"))
+    # group domain: pre-aggregated, then joined back, so that a large group is in no single task
+    dom = mem.groupBy(*G).agg(F.max("lo").alias("_a"), F.min("hi").alias("_b")).filter(F.col("_b") > F.col("_a"))
+    return mem.join(dom, G).select(*_uniq(G, M, L), "_a", "_b")
 
 
 def resample_time(samples: DataFrame, *, frequency_hz: float = 10.0,
@@ -313,17 +311,13 @@ def pairs_by_reference(lap_dom: DataFrame, *, lap_keys: Sequence[str] = SAMPLE_K
                        session: str = "session_id", driver: str = "driver",
                        lap: str = "lap_number") -> DataFrame:
     """Reference = lowest numeric driver id of a session; comparison = every other driver on
-    the same lap number. One windowed pass over the lap domain (no self-join):
+    the same lap number. The reference laps (one for each session and lap) are joined back:
     session_id, lap_number, ref_driver, cmp_driver, ref_lo, ref_hi, cmp_lo, cmp_hi."""
-    did = F.col(driver).cast("bigint")
-    by_session = Window.partitionBy(session)
-    by_lap = Window.partitionBy(session, lap)
-    is_ref = did == F.col("_ref")
-    d = lap_dom.withColumn("_ref", F.min(did).over(by_session)).withColumns({
-        "ref_driver": F.max(F.when(is_ref, F.col(driver))).over(by_lap),
-        "ref_lo": F.max(F.when(is_ref, F.col("lo"))).over(by_lap),
-        "ref_hi": F.max(F.when(is_ref, F.col("hi"))).over(by_lap)})
-    return (d.filter(F.col("ref_driver").isNotNull() & ~is_ref)
+    d = lap_dom.withColumn("_id", F.col(driver).cast("bigint"))
+    first = d.groupBy(session).agg(F.min("_id").alias("_id"))
+    ref = (d.join(first, [session, "_id"])
+           .select(session, lap, F.col(driver).alias("ref_driver"), F.col("lo").alias("ref_lo"), F.col("hi").alias("ref_hi")))
+    return (d.join(ref, [session, lap]).filter(F.col(driver) != F.col("ref_driver"))
             .select(session, lap, "ref_driver", F.col(driver).alias("cmp_driver"),
                     "ref_lo", "ref_hi", F.col("lo").alias("cmp_lo"), F.col("hi").alias("cmp_hi")))
 

@@ -77,21 +77,26 @@ def dedupe_samples(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS,
 
 
 def prepare_channels(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
-    """CL3 without the dedupe: derive distance -> seconds columns -> coercion -> binary channels.
+    """CL3 without the dedupe: seconds columns -> distance if absent -> coercion -> binary channels.
 
     Row-wise only (no shuffle); lap-level min/max of Distance can be taken from here since
     the dedupe never changes them.
     """
-    out = derive_distance(samples, keys=keys) if "Distance" not in samples.columns else samples
-    out = S.add_seconds_column(out, "Time", "TimeSeconds")
+    out = S.add_seconds_column(samples, "Time", "TimeSeconds")
     out = S.add_seconds_column(out, "SessionTime", "SessionTimeSeconds")
+    if "Speed" in out.columns and "TimeSeconds" in out.columns:
+        out = derive_distance(out, keys=keys)
     out = coerce_channels(out)
     return binary_channels(out)
 
 
 def clean_samples(samples: DataFrame, *, keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
-    """CL3: derive distance -> seconds columns -> numeric coercion -> binary channels -> dedupe."""
-    return dedupe_samples(prepare_channels(samples, keys=keys), keys=keys)
+    """CL3: seconds columns -> distance if absent -> numeric coercion -> binary channels -> dedupe.
+
+    Samples with neither ``Distance`` nor what it is derived from keep all their rows.
+    """
+    out = prepare_channels(samples, keys=keys)
+    return dedupe_samples(out, keys=keys) if "Distance" in out.columns else out
 
 
 def lap_table(laps: DataFrame, driver: str | None = None) -> DataFrame:
@@ -106,9 +111,14 @@ def lap_table(laps: DataFrame, driver: str | None = None) -> DataFrame:
     return out.select(*keep)
 
 
+def lap_time() -> F.Column:
+    """The lap time, NULL where it is missing: NULL or NaN."""
+    return S.nan_to_null(F.col("LapTimeSeconds").cast("double"))
+
+
 def timed_laps(laps: DataFrame) -> DataFrame:
     """CL6: laps with a lap time."""
-    return laps.filter(F.col("LapTimeSeconds").isNotNull())
+    return laps.filter(lap_time().isNotNull())
 
 
 def drivers_without_timed_lap(laps: DataFrame, requested: DataFrame | None = None,
@@ -120,10 +130,10 @@ def drivers_without_timed_lap(laps: DataFrame, requested: DataFrame | None = Non
 
 def valid_timed_laps(laps: DataFrame) -> DataFrame:
     """CL7: lap time present and positive."""
-    return laps.filter(F.col("LapTimeSeconds").isNotNull() & (F.col("LapTimeSeconds") > 0))
+    return laps.filter(lap_time() > 0)
 
 
 def complete_cases(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """CL8: rows with every present feature column non-null."""
     cols = present(df, features)
-    return df.dropna(subset=cols) if cols else df
+    return df.dropna(subset=cols) if cols else df  # dropna also drops NaN

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tracekit.functions.scalars import lap_label
+from tracekit.operators.clean import timed_laps
 from tracekit.schemas import SAMPLE_KEYS, require
 
 # --- fixed values: channels drawn as overlays ---
@@ -51,7 +52,7 @@ def sector_bars(sector_table: DataFrame, *, keys: Sequence[str] = ("session_id",
 
 def lap_evolution(laps: DataFrame) -> DataFrame:
     """CH6: timed laps (session_id, LapNumber, LapTimeSeconds, Driver, Compound)."""
-    return laps.filter(F.col("LapTimeSeconds").isNotNull()).select(
+    return timed_laps(laps).select(
         "session_id", "LapNumber", "LapTimeSeconds", "Driver", "Compound")
 
 

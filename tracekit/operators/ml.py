@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import math
 import sys
+import warnings
 import zlib
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -119,32 +121,48 @@ def _kmeans_plus_plus(pts: DataFrame, feats: Sequence[str], *, k: int, by: Seque
 
 
 def kmeans(points: DataFrame, features: Sequence[str], *, k: int = 3, by: Sequence[str] = ("session_id",),
-           key: Sequence[str] = LAP_ID, seed: int = 42, max_iter: int = 20, tol: float = 1e-4) -> DataFrame:
-    """Per-group Lloyd k-means. Returns the centroid table (by..., cluster, f0..)."""
+           key: Sequence[str] = LAP_ID, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+    """Per-group Lloyd k-means. Returns the centroid table (by..., cluster, f0..).
+
+    A group is left out of later steps once its total squared centre shift is at most ``tol``
+    (standardised data). Groups that have not converged after ``max_iter`` steps are reported by a warning.
+    """
     feats = list(features)
     ensure_checkpoint_dir(points.sparkSession)
     pts = points.select(*dict.fromkeys([*by, *key, *feats])).persist(StorageLevel.MEMORY_AND_DISK)
     cents = _kmeans_plus_plus(pts, feats, k=k, by=by, key=key, seed=seed)
+    closed = []
     for _ in range(max_iter):
-        assigned = assign_clusters(pts, cents, feats, by=by, out="cluster")
-        new = assigned.groupBy(*by, "cluster").agg(*[F.avg(c).alias(f"f{i}") for i, c in enumerate(feats)])
+        new = lloyd_step(pts, cents, feats, by=by)
         old = cents.select(*by, "cluster", *[F.col(f"f{i}").alias(f"o{i}") for i in range(len(feats))])
-        merged = old.join(new, [*by, "cluster"], "left").select(
-            *by, "cluster", *[F.coalesce(F.col(f"f{i}"), F.col(f"o{i}")).alias(f"f{i}") for i in range(len(feats))],
-            sum(((F.coalesce(F.col(f"f{i}"), F.col(f"o{i}")) - F.col(f"o{i}")) ** 2)
-                for i in range(len(feats))).alias("_shift"))
-        merged = merged.transform(materialize)
-        # converged when every group's total squared centre shift is <= tol (standardised data)
-        shift = merged.groupBy(*by).agg(F.sum("_shift").alias("_s")).agg(F.max("_s")).first()[0]
-        cents = merged.drop("_shift")
-        if shift is None or shift <= tol:
+        kept = [F.coalesce(F.col(f"f{i}"), F.col(f"o{i}")) for i in range(len(feats))]
+        moved = old.join(new, [*by, "cluster"], "left").select(
+            *by, "cluster", *[c.alias(f"f{i}") for i, c in enumerate(kept)],
+            sum((c - F.col(f"o{i}")) ** 2 for i, c in enumerate(kept)).alias("_shift"))
+        # a group's shift is the sum over its few centroids
+        done = F.sum("_shift").over(Window.partitionBy(*by)) <= tol
+        moved = moved.withColumn("_done", done).drop("_shift").transform(materialize)
+        closed.append(moved.filter("_done").drop("_done"))
+        cents = moved.filter(~F.col("_done")).drop("_done")
+        if cents.isEmpty():
             break
+    else:
+        warnings.warn(f"k-means: {cents.select(*by).distinct().count()} groups have not converged in {max_iter} steps", stacklevel=2)
+        closed.append(cents)
     pts.unpersist()
-    return cents
+    return reduce(DataFrame.unionByName, closed, cents.limit(0)).transform(materialize)
+
+
+def lloyd_step(points: DataFrame, centroids: DataFrame, features: Sequence[str], *,
+               by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """One Lloyd step: (by..., cluster, f0..), the means of the points nearest to each centroid.
+    Only groups that have centroids take part; a centroid without points has no row."""
+    assigned = assign_clusters(points, centroids, features, by=by, out="cluster")
+    return assigned.groupBy(*by, "cluster").agg(*[F.avg(c).alias(f"f{i}") for i, c in enumerate(features)])
 
 
 def cluster_laps(laps: DataFrame, *, clusters: int = 3, features: Sequence[str] = CLUSTER_FEATURES,
-                 by: Sequence[str] = ("session_id",), seed: int = 42, max_iter: int = 20) -> DataFrame:
+                 by: Sequence[str] = ("session_id",), seed: int = 42, max_iter: int = 300) -> DataFrame:
     """ML3: k-means lap clusters per session on standardised features.
 
     Complete cases only; sessions with fewer than max(2, clusters) rows are left out;
@@ -225,8 +243,8 @@ def path_lengths(x: np.ndarray, feat, thr, left, right, size) -> np.ndarray:
 
 
 TREES_PER_GROUP = 10
-TREE_SCHEMA = ("session_id string, tree int, psi int, feat array<int>, thr array<double>, "
-               "left array<int>, right array<int>, size array<int>")
+POOL = 32  # rows of a session from which trees draw, in samples of one tree
+TREE_FIELDS = "tree int, psi int, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<int>"
 
 
 def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATURES,
@@ -243,11 +261,13 @@ def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATU
     n = data.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows).transform(materialize)
     data = data.join(n, by)
 
-    # 1. bounded per-tree samples: hash rank, pre-filtered to ~4 psi rows per (session, tree)
+    # 1. a bounded pool for each session by one hash a row (POOL times psi rows, far more than one tree
+    #    draws), then each tree's psi rows from the pool by a hash rank
     psi = F.least(F.col("_n"), F.lit(max_samples))
-    keep = F.least(F.lit(1.0), F.lit(4.0) * psi / F.col("_n"))
-    t = data.select(*dict.fromkeys([by, *key, *feats]), "_n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    t = t.withColumn("_u", _hash01(*[F.col(c) for c in key], F.col("tree"), F.lit(seed))).filter(F.col("_u") < keep)
+    pool = data.select(*dict.fromkeys([by, *key, *feats]), "_n").filter(
+        _hash01(*[F.col(c) for c in key], F.lit(seed)) < F.lit(float(POOL)) * psi / F.col("_n"))
+    t = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    t = t.withColumn("_u", _hash01(*[F.col(c) for c in key], F.col("tree"), F.lit(seed)))
     w = Window.partitionBy(by, "tree").orderBy("_u", *key)
     sample = t.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi)
 
@@ -263,39 +283,42 @@ def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATU
             depth = int(math.ceil(math.log2(max(size_, 2))))
             f, th, le, ri, sz = grow_tree(sub[list(feats)].to_numpy(float), rng, depth)
             out.append((sid, int(tree), size_, f, th, le, ri, sz))
-        return pd.DataFrame(out, columns=["session_id", "tree", "psi", "feat", "thr", "left", "right", "size"])
+        return pd.DataFrame(out, columns=[by, "tree", "psi", "feat", "thr", "left", "right", "size"])
 
     # the model (trees x <= 2 psi nodes per session) is trained once and kept in the shared
     # checkpoint folder; scoring then makes a single pass over the rows
     forest = (sample.select(*dict.fromkeys([by, "tree", *key, *feats]))
               .withColumn("_block", (F.col("tree") / F.lit(TREES_PER_GROUP)).cast("int"))
-              .groupBy(by, "_block").applyInPandas(train, TREE_SCHEMA).transform(materialize))
+              .groupBy(by, "_block").applyInPandas(train, f"`{by}` {data.schema[by].dataType.simpleString()}, {TREE_FIELDS}").transform(materialize))
 
     # 2. score in bounded (session, chunk) groups, each with a copy of its session's trees
     chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(chunk_rows)))).cast("int")
-    pts = data.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in key]), chunks).cast("int"))
+    row = [*dict.fromkeys([by, *key, *feats])]
+    pts = data.select(*row, "_n").withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in key]), chunks).cast("int")).drop("_n")
     tree_copies = forest.join(n.select(by, chunks.alias("_chunks")), by).withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
-    out_schema = T.StructType([*data.schema.fields, T.StructField("_chunk", T.IntegerType()),
-                               T.StructField("Score", T.DoubleType())])
-    cols = [f.name for f in out_schema.fields if f.name != "Score"]
+    ids = [*dict.fromkeys([by, *key])]
+    out_schema = T.StructType([*[data.schema[c] for c in ids], T.StructField("Score", T.DoubleType())])
 
     def score(p: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
         if p.empty:
-            return pd.DataFrame(columns=[f.name for f in out_schema.fields])
+            return pd.DataFrame(columns=[*ids, "Score"])
         x = p[list(feats)].to_numpy(float)
         total = np.zeros(len(p))
-        for row in tr.itertuples(index=False):
-            total += path_lengths(x, row.feat, row.thr, row.left, row.right, row.size)
+        for r in tr.itertuples(index=False):
+            total += path_lengths(x, r.feat, r.thr, r.left, r.right, r.size)
         psi_ = int(tr["psi"].iloc[0]) if len(tr) else 1
         mean = total / max(len(tr), 1)
         cn = float(average_path_length(np.array([psi_]))[0]) or 1.0
-        out = p[cols].copy()
+        out = p[ids].copy()
         out["Score"] = np.power(2.0, -mean / cn)
         return out
 
-    scored = (pts.groupBy(by, "_chunk").cogroup(tree_copies.groupBy(by, "_chunk"))
-              .applyInPandas(score, out_schema))
+    # only the key and the features go through Python; the score joins back to the row
+    scored = (pts.groupBy(by, "_chunk").cogroup(tree_copies.groupBy(by, "_chunk")).applyInPandas(score, out_schema)
+              .groupBy(*ids).agg(F.first("Score").alias("Score")))
+    same = reduce(lambda a, b: a & b, [data[c].eqNullSafe(scored[c]) for c in ids])
+    scored = data.join(scored, same).select(*[data[c] for c in data.columns], scored["Score"])
     label = F.when(F.col("Score") > 0.5, F.lit(-1)).otherwise(F.lit(1))
     return scored.select(*laps.columns, label.alias("AnomalyScore"), (label == -1).alias("IsAnomaly"),
                          "Score")

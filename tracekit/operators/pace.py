@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tracekit.operators.clean import valid_timed_laps
+from tracekit.operators.clean import timed_laps, valid_timed_laps
 
 
 def consistency(laps: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def stint_degradation(laps: DataFrame, driver: str | None = None, *, min_laps: i
     """AG3 per (session_id, Driver, Stint, Compound), NULL keys kept, at least ``min_laps`` timed
     laps: Laps, BestLap, MeanLap, DegradationPerLap = least-squares slope of lap time on lap
     number (NULL when every lap number is equal)."""
-    data = laps.filter(F.col("LapTimeSeconds").isNotNull())
+    data = timed_laps(laps)
     if driver:
         data = data.filter(F.col("Driver") == F.lit(driver))
     lt, ln = F.col("LapTimeSeconds"), F.col("LapNumber").cast("double")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracekit.functions import scalars as S
-from tracekit.operators.clean import timed_laps
+from tracekit.operators.clean import clean_samples, timed_laps
 
 LAP_ID = ("session_id", "Driver", "LapNumber")
 
@@ -35,15 +35,18 @@ def available_drivers(laps: DataFrame, results: DataFrame | None = None) -> Data
 
 def quick_laps(laps: DataFrame, *, factor: float = 1.07) -> DataFrame:
     """SE2: timed laps within ``factor`` x the session's best; a driver with none keeps all
-    of its timed laps. Session best and the per-driver fallback flag are aggregates joined
-    back (partial aggregation, no window over a whole session)."""
+    of its timed laps. The session best comes from the drivers' bests, and both are joined
+    back once (partial aggregation, no window over a whole session)."""
     timed = timed_laps(laps)
-    best = timed.groupBy("session_id").agg(F.min("LapTimeSeconds").alias("_best"))
-    flagged = timed.join(best, "session_id").withColumn(
-        "_quick", F.col("LapTimeSeconds") <= F.col("_best") * F.lit(factor))
-    any_quick = flagged.groupBy("session_id", "Driver").agg(F.max("_quick").alias("_any"))
-    return (flagged.join(any_quick, ["session_id", "Driver"])
-            .filter(F.col("_quick") | ~F.col("_any")).drop("_best", "_quick", "_any"))
+    mine = timed.groupBy("session_id", "Driver").agg(F.min("LapTimeSeconds").alias("_mine"))
+    best = mine.groupBy("session_id").agg(F.min("_mine").alias("_best"))
+    limit = F.col("_best") * F.lit(factor)
+    # a driver without a quick lap has no limit
+    limits = mine.join(best, "session_id").select(F.col("session_id").alias("_sid"), F.col("Driver").alias("_d"),
+                                                  F.when(F.col("_mine") <= limit, limit).alias("_limit"))
+    own = (F.col("session_id") == F.col("_sid")) & F.col("Driver").eqNullSafe(F.col("_d"))
+    return (timed.join(limits, own).filter(F.col("_limit").isNull() | (F.col("LapTimeSeconds") <= F.col("_limit")))
+            .select(*laps.columns))
 
 
 def fastest_laps(laps: DataFrame, *, by: Sequence[str] = ("session_id", "Driver")) -> DataFrame:
@@ -63,9 +66,10 @@ def fastest_laps_selected(laps: DataFrame, requested: DataFrame) -> DataFrame:
 
 
 def lap_by_number(laps: DataFrame, requested: DataFrame) -> DataFrame:
-    """SE5: the timed lap (session_id, Driver, LapNumber) of each request; first match wins."""
+    """SE5: the timed lap (session_id, Driver, LapNumber) of each request, once; of several the fastest."""
     found = timed_laps(laps).join(requested.select(*LAP_ID).distinct(), list(LAP_ID), "left_semi")
-    return found.dropDuplicates(list(LAP_ID))
+    first = Window.partitionBy(*LAP_ID).orderBy("LapTimeSeconds", *[c for c in laps.columns if c not in LAP_ID])
+    return found.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
 
 
 def laps_not_found(laps: DataFrame, requested: DataFrame) -> DataFrame:
@@ -89,6 +93,13 @@ def selected_lap_samples(samples: DataFrame, selected: DataFrame) -> DataFrame:
     return samples.join(lap_metadata(selected), ["session_id", "driver", "lap_number"])
 
 
+def clean_selected_samples(raw: DataFrame, selected: DataFrame) -> DataFrame:
+    """SE6 from raw samples: the selected laps' samples are picked first, and only those cleaned."""
+    keys = ["session_id", "driver", "lap_number"]
+    chosen = raw.join(lap_metadata(selected).select(*keys), keys, "left_semi")
+    return selected_lap_samples(clean_samples(chosen), selected)
+
+
 def sector_table(selected: DataFrame, laps: DataFrame) -> DataFrame:
     """SE7: Driver, Lap, LapTime, Sector1-3, Compound, Team for each selected lap; sectors are
     looked up in the lap table on (session, driver, lap number)."""

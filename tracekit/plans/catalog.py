@@ -90,11 +90,20 @@ meta AS (select session_id, Driver driver, LapNumber lap_number, LapTimeSeconds
            coalesce(Team, 'Unknown') team, coalesce(Compound, 'Unknown') compound,
            cast(Stint as int) stint, position from fsel)"""
 
+META_TEL_SQL = META_SQL.replace("from sel ", "from tel ")
+REQ2_SQL = """
+req2 AS (select session_id, Driver, LapNumber * 2 LapNumber from tel
+         union all select session_id, Driver, LapNumber * 2 from tel where LapNumber * 2 % 3 = 0)"""
+
 
 def laps_df(spark, sf):
     return A.laps(spark, sf)
 
 
+def tel_df(spark, sf):
+    return A.telemetry_laps(A.laps(spark, sf), A.samples(spark, sf))
+
+
 def sel_df(spark, sf):
     return A.selected_laps(A.laps(spark, sf), A.samples(spark, sf))
 
@@ -108,9 +117,15 @@ def requests_df(spark, sf):
 
 
 def fastest_selected_df(spark, sf):
+    """The fastest lap with telemetry of each requested driver."""
     return SE.fastest_laps_selected(sel_df(spark, sf), requests_df(spark, sf))
 
 
+def fastest_requested_df(spark, sf):
+    """The fastest of all laps of each requested driver."""
+    return SE.fastest_laps_selected(tel_df(spark, sf), requests_df(spark, sf))
+
+
 @query("lap_table", O.with_blocks(["laps"], f"select {LAP_COLS} from laps"))
 def q_lap_table(spark, sf):
     return CL.lap_table(laps_df(spark, sf))
@@ -159,21 +174,25 @@ def q_fastest_laps(spark, sf):
     return SE.fastest_laps(laps_df(spark, sf))
 
 
-@query("fastest_laps_selected", O.with_blocks(["sel"], "select * from fsel", [REQ_SQL, META_SQL]))
+@query("fastest_laps_selected", O.with_blocks(["tel"], "select * from fsel", [REQ_SQL, META_TEL_SQL]))
 def q_fastest_laps_selected(spark, sf):
-    return fastest_selected_df(spark, sf)
+    return fastest_requested_df(spark, sf)
 
 
-@query("lap_by_number", O.with_blocks(["sel"], "select * from sel where LapTimeSeconds is not null"))
+@query("lap_by_number", O.with_blocks(["tel"], """
+select * from tel where LapTimeSeconds is not null and (session_id, Driver, LapNumber) in
+  (select (session_id, Driver, LapNumber) from req2)""", [REQ2_SQL]))
 def q_lap_by_number(spark, sf):
-    sel = sel_df(spark, sf)
-    return SE.lap_by_number(sel, sel)
+    tel = tel_df(spark, sf)
+    return SE.lap_by_number(tel, A.lap_requests(tel))
 
 
-@query("lap_not_found", O.with_blocks(["sel"], "select session_id, Driver, LapNumber from sel where LapTimeSeconds is null"))
+@query("lap_not_found", O.with_blocks(["tel"], """
+select session_id, Driver, LapNumber from req2 r where not exists (select 1 from tel t where t.session_id = r.session_id
+  and t.Driver = r.Driver and t.LapNumber = r.LapNumber and t.LapTimeSeconds is not null)""", [REQ2_SQL]))
 def q_lap_not_found(spark, sf):
-    sel = sel_df(spark, sf)
-    return SE.laps_not_found(sel, sel)
+    tel = tel_df(spark, sf)
+    return SE.laps_not_found(tel, A.lap_requests(tel))
 
 
 @query("selected_lap_samples", O.with_blocks(["sel", "clean"], """
@@ -182,33 +201,33 @@ from clean c join (select session_id, Driver driver, LapNumber lap_number, LapTi
   coalesce(Team, 'Unknown') team, coalesce(Compound, 'Unknown') compound, cast(Stint as int) stint from sel) m
 using (session_id, driver, lap_number)"""))
 def q_selected_lap_samples(spark, sf):
-    return SE.selected_lap_samples(clean_samples(spark, sf), sel_df(spark, sf))
+    return SE.clean_selected_samples(A.samples(spark, sf), sel_df(spark, sf))
 
 
-@query("sector_table", O.with_blocks(["sel"], """
+@query("sector_table", O.with_blocks(["tel"], """
 select m.session_id, m.position, m.driver Driver, m.lap_number Lap, m.lap_time_seconds LapTime,
   s.Sector1TimeSeconds Sector1, s.Sector2TimeSeconds Sector2, s.Sector3TimeSeconds Sector3,
   m.compound Compound, m.team Team
-from meta m join sel s on s.session_id = m.session_id and s.Driver = m.driver and s.LapNumber = m.lap_number""",
-                                     [REQ_SQL, META_SQL]))
+from meta m join tel s on s.session_id = m.session_id and s.Driver = m.driver and s.LapNumber = m.lap_number""",
+                                     [REQ_SQL, META_TEL_SQL]))
 def q_sector_table(spark, sf):
-    return SE.sector_table(fastest_selected_df(spark, sf), sel_df(spark, sf))
+    return SE.sector_table(fastest_requested_df(spark, sf), tel_df(spark, sf))
 
 
-@query("rank_laps", O.with_blocks(["sel"], """
+@query("rank_laps", O.with_blocks(["tel"], """
 select session_id, cast(row_number() over (partition by session_id order by lap_time_seconds nulls last,
   driver, lap_number) as int) Rank, driver Driver, lap_number Lap, lap_time_seconds LapTime,
-  compound Compound, team Team from meta""", [REQ_SQL, META_SQL]))
+  compound Compound, team Team from meta""", [REQ_SQL, META_TEL_SQL]))
 def q_rank_laps(spark, sf):
-    return SE.rank_laps(fastest_selected_df(spark, sf))
+    return SE.rank_laps(fastest_requested_df(spark, sf))
 
 
-@query("lap_cards", O.with_blocks(["sel"], """
+@query("lap_cards", O.with_blocks(["tel"], """
 select session_id, position, driver Driver, lap_time_seconds LapTime, lap_number Lap, compound Compound
 from (select *, row_number() over (partition by session_id order by position) rn from meta) where rn <= 4""",
-                                  [REQ_SQL, META_SQL]))
+                                  [REQ_SQL, META_TEL_SQL]))
 def q_lap_cards(spark, sf):
-    return SE.lap_cards(fastest_selected_df(spark, sf))
+    return SE.lap_cards(fastest_requested_df(spark, sf))
 
 
 @query("available_drivers", O.with_blocks(["laps"], """
@@ -222,23 +241,37 @@ def _round(df, cols):
     return df.select(*[F.round(c, ROUND).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-@query("consistency", O.with_blocks(["laps"], f"""
+def _consistency_sql(laps: str) -> str:
+    return O.with_blocks([laps], f"""
 select session_id, Driver, cast(count(LapTimeSeconds) as int) Laps, min(LapTimeSeconds) BestLap,
   round(avg(LapTimeSeconds), {ROUND}) MeanLap, round(median(LapTimeSeconds), {ROUND}) MedianLap,
   round(stddev_samp(LapTimeSeconds), {ROUND}) StdDev,
   round(100 / (1 + coalesce(stddev_samp(LapTimeSeconds), 0)), {ROUND}) ConsistencyScore
-from laps where LapTimeSeconds is not null and LapTimeSeconds > 0 and Driver is not null group by 1, 2"""))
+from {laps} where LapTimeSeconds is not null and LapTimeSeconds > 0 and Driver is not null group by 1, 2""")
+
+
+@query("consistency", _consistency_sql("laps"))
 def q_consistency(spark, sf):
     return _round(PA.consistency(laps_df(spark, sf)), {"MeanLap", "MedianLap", "StdDev", "ConsistencyScore"})
 
 
-def _stint_sql(where: str) -> str:
-    return O.with_blocks(["laps"], f"""
+def _stint_sql(where: str, laps: str = "laps") -> str:
+    return O.with_blocks([laps], f"""
 select session_id, Driver, Stint, Compound, cast(count(*) as int) Laps, min(LapTimeSeconds) BestLap,
   round(avg(LapTimeSeconds), {ROUND}) MeanLap,
   round(case when var_pop(cast(LapNumber as double)) = 0 then null
         else regr_slope(LapTimeSeconds, cast(LapNumber as double)) end, {ROUND}) DegradationPerLap
-from laps where LapTimeSeconds is not null {where} group by 1, 2, 3, 4 having count(*) >= 3""")
+from {laps} where LapTimeSeconds is not null {where} group by 1, 2, 3, 4 having count(*) >= 3""")
+
+
+@query("stint_degradation_nan", _stint_sql("", "nanlaps"))
+def q_stint_degradation_nan(spark, sf):
+    return _round(PA.stint_degradation(A.laps_with_nan(spark, sf)), {"MeanLap", "DegradationPerLap"})
+
+
+@query("consistency_nan", _consistency_sql("nanlaps"))
+def q_consistency_nan(spark, sf):
+    return _round(PA.consistency(A.laps_with_nan(spark, sf)), {"MeanLap", "MedianLap", "StdDev", "ConsistencyScore"})
 
 
 @query("stint_degradation", _stint_sql(""))
@@ -286,6 +319,42 @@ def q_dedupe_samples(spark, sf):
     return CL.clean_samples(A.samples_with_duplicates(spark, sf))
 
 
+def _interval_seconds_sql(ms: str) -> str:
+    return (f"(cast({ms} // 86400000 as double) * 86400 + cast({ms} // 3600000 % 24 as double) * 3600"
+            f" + cast({ms} // 60000 % 60 as double) * 60 + ({ms} % 60000) / 1000.0::double)")
+
+
+RAW_SQL = f"""
+raw AS (select * replace ({_interval_seconds_sql('ms')} as TimeSeconds), {_interval_seconds_sql('(ms + 60000)')} SessionTimeSeconds
+        from (select *, cast(round(TimeSeconds * 1000) as bigint) ms from samples)),
+rawd AS (select * exclude (Distance, step), sum(step) over (partition by {SAMPLE_ID} order by TimeSeconds, sample_id
+           rows between unbounded preceding and current row) Distance
+         from (select *, coalesce(Speed/3.6*(TimeSeconds - lag(TimeSeconds) over
+                 (partition by {SAMPLE_ID} order by TimeSeconds, sample_id)), 0) step from raw))"""
+
+
+def _raw_sql(source: str, distance: str) -> str:
+    return O.with_blocks(["samples"], f"""
+select session_id, driver, lap_number, sample_id, TimeSeconds, SessionTimeSeconds, Speed, {distance} Distance,
+  case when coalesce(cast(Brake as double), 0) <> 0 then 1 else 0 end Brake, case when coalesce(DRS, 0) >= 10 then 1 else 0 end DRSActive
+from (select *, row_number() over (partition by {SAMPLE_ID}, Distance order by TimeSeconds, sample_id) rn from {source}) where rn = 1""",
+                         [RAW_SQL])
+
+
+RAW_COLS = ("session_id", "driver", "lap_number", "sample_id", "TimeSeconds", "SessionTimeSeconds", "Speed", "Distance", "Brake", "DRSActive")
+
+
+@query("clean_raw_samples", _raw_sql("raw", "Distance"))
+def q_clean_raw_samples(spark, sf):
+    return CL.clean_samples(A.raw_samples(spark, sf, with_distance=True)).select(*RAW_COLS)
+
+
+@query("clean_raw_samples_derived", _raw_sql("rawd", f"round(Distance, {DERIVE_ROUND})"))
+def q_clean_raw_samples_derived(spark, sf):
+    out = CL.clean_samples(A.raw_samples(spark, sf, with_distance=False)).select(*RAW_COLS)
+    return out.withColumn("Distance", F.round("Distance", DERIVE_ROUND))
+
+
 @query("coerce_channels", O.with_blocks(["samples"], """
 select sample_id, session_id, driver, lap_number, Distance, TimeSeconds, Speed, Throttle,
   cast(Brake as double) Brake, RPM, nGear, DRS, X, Y,
@@ -449,8 +518,8 @@ st AS (select session_id, driver, lap_number, max(Speed) PeakSpeed, min(Speed) M
 
 
 def compare_df(spark, sf):
-    return CP.compare_fastest_laps(sel_df(spark, sf), clean_samples(spark, sf), requests_df(spark, sf),
-                                   channels=DELTA_CHANNELS, points=GRID_POINTS)
+    return CP.compare_fastest_laps(sel_df(spark, sf), A.samples(spark, sf), requests_df(spark, sf),
+                                   channels=DELTA_CHANNELS, points=GRID_POINTS, raw=True)
 
 
 @query("compare_fastest", _cmp_sql("select * from aligned"))
@@ -458,6 +527,12 @@ def q_compare_fastest(spark, sf):
     return compare_df(spark, sf)["pairs"]
 
 
+@query("compare_fastest_aligned", O.with_blocks(["sel", "clean"], "select * from aligned", CMP_SQL[:3] + O.align_ctes(
+    mode="manysel", channels=DELTA_CHANNELS, points=GRID_POINTS)))
+def q_compare_fastest_aligned(spark, sf):
+    return compare_df(spark, sf)["aligned"]
+
+
 @query("best_lap_gap", _cmp_sql("select * from gap where Fastest <> Slowest", [GAP_SQL]))
 def q_best_lap_gap(spark, sf):
     return IN.best_lap_gap(compare_df(spark, sf)["laps"], group_keys=["session_id"])
@@ -541,6 +616,14 @@ def q_lap_labels(spark, sf):
                     S.lap_label(F.col("Driver"), F.col("LapNumber"), F.col("LapTimeSeconds")).alias("Label"))
 
 
+@query("lap_labels_nan", O.with_blocks(["nanlaps"], f"""
+select session_id, Driver, LapNumber, {label_sql('Driver', 'LapNumber', 'LapTimeSeconds')} Label from nanlaps"""))
+def q_lap_labels_nan(spark, sf):
+    l = A.laps_with_nan(spark, sf)
+    return l.select("session_id", "Driver", "LapNumber",
+                    S.lap_label(F.col("Driver"), F.col("LapNumber"), F.col("LapTimeSeconds")).alias("Label"))
+
+
 LAP_SAMPLES_SQL = """
 ls AS (select c.*, m.lap_time_seconds from clean c join
        (select session_id, Driver driver, LapNumber lap_number, LapTimeSeconds lap_time_seconds from sel) m
@@ -548,7 +631,7 @@ ls AS (select c.*, m.lap_time_seconds from clean c join
 
 
 def lap_samples_df(spark, sf):
-    return SE.selected_lap_samples(clean_samples(spark, sf), sel_df(spark, sf))
+    return SE.clean_selected_samples(A.samples(spark, sf), sel_df(spark, sf))
 
 
 @query("feed_channel_overlay", O.with_blocks(["sel", "clean"], "\nunion all\n".join(
@@ -573,15 +656,15 @@ def q_feed_racing_line(spark, sf):
     return FD.racing_line(lap_samples_df(spark, sf))
 
 
-@query("feed_sector_bars", O.with_blocks(["sel"], """
+@query("feed_sector_bars", O.with_blocks(["tel"], """
 select session_id, Driver, 'Sector1' Sector, Sector1 AS "Seconds" from st union all
 select session_id, Driver, 'Sector2', Sector2 from st union all
-select session_id, Driver, 'Sector3', Sector3 from st""", [REQ_SQL, META_SQL, """
+select session_id, Driver, 'Sector3', Sector3 from st""", [REQ_SQL, META_TEL_SQL, """
 st AS (select m.session_id, m.driver Driver, s.Sector1TimeSeconds Sector1, s.Sector2TimeSeconds Sector2,
          s.Sector3TimeSeconds Sector3
-       from meta m join sel s on s.session_id = m.session_id and s.Driver = m.driver and s.LapNumber = m.lap_number)"""]))
+       from meta m join tel s on s.session_id = m.session_id and s.Driver = m.driver and s.LapNumber = m.lap_number)"""]))
 def q_feed_sector_bars(spark, sf):
-    return FD.sector_bars(SE.sector_table(fastest_selected_df(spark, sf), sel_df(spark, sf)))
+    return FD.sector_bars(SE.sector_table(fastest_requested_df(spark, sf), tel_df(spark, sf)))
 
 
 @query("feed_lap_evolution", O.with_blocks(["laps"], """
@@ -618,16 +701,26 @@ def _scratch(spark, name):
     return shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
 
 
+def prepared_laps(spark, sf):
+    """(laps, lap index) of the fastest requested laps."""
+    sel = sel_df(spark, sf)
+    fsel = fastest_selected_df(spark, sf).transform(materialize)
+    return sel, ST.lap_index_from_selection(SE.lap_metadata(fsel), SE.sector_table(fsel, sel))
+
+
 def prepared_store(spark, sf):
     """Prepare a dataset from the fastest requested laps (the CLI's prepare-session step)."""
-    root = _scratch(spark, "prepared")
-    sel = sel_df(spark, sf)
-    fsel = fastest_selected_df(spark, sf)
-    meta = SE.lap_metadata(fsel)
-    idx = ST.lap_index_from_selection(meta, SE.sector_table(fsel, sel))
-    ST.save_prepared(root, laps=sel, samples=clean_samples(spark, sf), lap_index=idx,
-                     corners=A.corners(spark, sf), frequency_hz=10)
-    return root
+    sel, idx = prepared_laps(spark, sf)
+    idx = materialize(idx)
+    picked = A.samples(spark, sf).join(idx.select("session_id", "driver", "lap_number"),
+                                       ["session_id", "driver", "lap_number"], "left_semi")
+    return ST.save_prepared(_scratch(spark, "prepared"), laps=sel, samples=CL.clean_samples(picked), lap_index=idx,
+                            corners=A.corners(spark, sf), frequency_hz=10)
+
+
+def prepared_index(spark, sf):
+    """The lap index of the same dataset, written and read back."""
+    return ST.read_lap_index(spark, ST.save_lap_index(_scratch(spark, "index"), prepared_laps(spark, sf)[1]))
 
 
 @query("read_laps", O.with_blocks(["laps"], f"select {LAP_COLS} from laps"))
@@ -641,8 +734,8 @@ def q_read_laps(spark, sf):
 @query("corners_or_empty", O.with_blocks(["corners"], "select Number, Letter, Distance from corners"))
 def q_corners_or_empty(spark, sf):
     root = _scratch(spark, "corners")
-    A.corners(spark, sf).write.parquet(f"{root}/corners")
-    have = ST.read_corners(spark, root).select("Number", "Letter", "Distance")
+    ST.write_table(A.corners(spark, sf).withColumn("session_id", F.lit("7")), f"{root}/corners", True)
+    have = ST.read_corners(spark, root).filter(F.col("session_id") == "7").select("Number", "Letter", "Distance")
     empty = ST.read_corners(spark, _scratch(spark, "missing")).select("Number", "Letter", "Distance")
     return have.unionByName(empty)
 
@@ -672,14 +765,14 @@ def q_read_lap_samples(spark, sf):
 @query("prepared_drivers", O.with_blocks(["sel"], "select session_id, position, driver from meta",
                                          [REQ_SQL, META_SQL]))
 def q_prepared_drivers(spark, sf):
-    return ST.prepared_drivers(ST.read_lap_index(spark, prepared_store(spark, sf)))
+    return ST.prepared_drivers(prepared_index(spark, sf))
 
 
 @query("missing_drivers", O.with_blocks(["sel"], """
 select r.session_id, r.Driver from req r where not exists
   (select 1 from meta m where m.session_id = r.session_id and m.driver = r.Driver)""", [REQ_SQL, META_SQL]))
 def q_missing_drivers(spark, sf):
-    return ST.missing_drivers(ST.read_lap_index(spark, prepared_store(spark, sf)), requests_df(spark, sf))
+    return ST.missing_drivers(prepared_index(spark, sf), requests_df(spark, sf))
 
 
 @query("contains_drivers", O.with_blocks(["sel"], """
@@ -689,7 +782,7 @@ from (select distinct session_id from req) r left join
      where m.session_id = q.session_id and m.driver = q.Driver) group by 1) x using (session_id)""",
                                          [REQ_SQL, META_SQL]))
 def q_contains_drivers(spark, sf):
-    return ST.contains_drivers(ST.read_lap_index(spark, prepared_store(spark, sf)), requests_df(spark, sf))
+    return ST.contains_drivers(prepared_index(spark, sf), requests_df(spark, sf))
 
 
 @query("validate_sessions", O.with_blocks(["laps", "samples"], """
@@ -740,8 +833,7 @@ select r.session_id, case
   when r.session_id in (select session_id from laps) then 'live' else 'demo' end data_source
 from (select distinct session_id from req) r""", [REQ_SQL, META_SQL]))
 def q_resolve_source(spark, sf):
-    idx = ST.read_lap_index(spark, prepared_store(spark, sf))
-    return ST.resolve_source(requests_df(spark, sf), idx, laps_df(spark, sf))
+    return ST.resolve_source(requests_df(spark, sf), prepared_index(spark, sf), laps_df(spark, sf))
 
 
 @query("export_laps", O.with_blocks(["laps"], f"select {LAP_COLS} from laps"))
@@ -755,7 +847,7 @@ def q_export_laps(spark, sf):
 select session_id, position, driver Driver, lap_number Lap, lap_time_seconds LapTime, sector1 Sector1,
   sector2 Sector2, sector3 Sector3, compound Compound, team Team from idx""", [REQ_SQL, META_SQL, IDX_SQL]))
 def q_sector_table_prepared(spark, sf):
-    return SE.sector_table_prepared(ST.read_lap_index(spark, prepared_store(spark, sf)))
+    return SE.sector_table_prepared(prepared_index(spark, sf))
 
 
 @query("compare_prepared", _cmp_sql("select * from aligned"))
@@ -763,11 +855,46 @@ def q_compare_prepared(spark, sf):
     root = prepared_store(spark, sf)
     idx = ST.read_lap_index(spark, root)
     samples = ST.read_lap_samples(spark, root, idx)
-    out = CP.compare_prepared(idx, samples, requests_df(spark, sf), channels=DELTA_CHANNELS,
+    asked = requests_df(spark, sf).join(idx.select("session_id", F.col("driver").alias("Driver")), ["session_id", "Driver"], "left_semi")
+    enough = asked.groupBy("session_id").agg(F.count("*").alias("n")).filter("n >= 2")
+    out = CP.compare_prepared(idx, samples, asked.join(enough, "session_id", "left_semi"), channels=DELTA_CHANNELS,
                               points=GRID_POINTS)
     return out["pairs"]
 
 
+@query("read_sessions", O.with_blocks(["sel"], """
+select distinct session_id, 1 dataset_version, 10 frequency_hz from meta""", [REQ_SQL, META_SQL]))
+def q_read_sessions(spark, sf):
+    s = ST.read_sessions(spark, prepared_store(spark, sf))
+    return s.select("session_id", F.col("dataset_version").cast("int").alias("dataset_version"), "frequency_hz")
+
+
+SECTOR_COLS = "session_id, position, Driver, Lap, LapTime, Sector1, Sector2, Sector3, Compound, Team"
+
+
+@query("export_sectors", O.with_blocks(["tel"], f"""
+select {SECTOR_COLS} from (select m.session_id, m.position, m.driver Driver, m.lap_number Lap, m.lap_time_seconds LapTime,
+    s.Sector1TimeSeconds Sector1, s.Sector2TimeSeconds Sector2, s.Sector3TimeSeconds Sector3, m.compound Compound, m.team Team
+  from meta m join tel s on s.session_id = m.session_id and s.Driver = m.driver and s.LapNumber = m.lap_number)""",
+                                        [REQ_SQL, META_TEL_SQL]))
+def q_export_sectors(spark, sf):
+    sectors = SE.sector_table(fastest_requested_df(spark, sf), tel_df(spark, sf))
+    path = _scratch(spark, "export") + "/sectors_csv"
+    ST.export_csv(sectors, path)
+    return ST.read_csv(spark, path, sectors.schema)
+
+
+@query("report_delta", _cmp_sql("select session_id, ref_driver, cmp_driver, grid_index, Distance, DeltaSeconds from aligned"))
+def q_report_delta(spark, sf):
+    """The delta feed of a written report bundle, read back."""
+    sel = sel_df(spark, sf)
+    out = compare_df(spark, sf)
+    laps = out["laps"].select("session_id", F.col("driver").alias("Driver"), F.col("lap_number").alias("LapNumber"))
+    chosen = sel.join(laps, ["session_id", "Driver", "LapNumber"], "left_semi")
+    feeds = CP.build_report(out, SE.clean_selected_samples(A.samples(spark, sf), chosen), sel, _scratch(spark, "report"))
+    return ST.read_partitioned(spark, feeds["delta"])
+
+
 # ---------------------------------------------------------------- machine learning (ML1-ML4, CH8)
 
 from tracekit.operators import ml as ML  # noqa: E402
@@ -809,6 +936,37 @@ def q_assign_clusters(spark, sf):
     return out.select("session_id", "Driver", "LapNumber", "Cluster")
 
 
+LLOYD_STEPS = 3
+
+
+def _lloyd_sql(steps: int) -> list[str]:
+    """``steps`` Lloyd steps from the means of the stints, centres rounded after each."""
+    feats = range(len(CLUSTER_FEATURES))
+    d2 = " + ".join(f"(z.z_{c} - c.f{i}) * (z.z_{c} - c.f{i})" for i, c in enumerate(CLUSTER_FEATURES))
+    means = ", ".join(f"round(avg(z_{c}), {ROUND}) f{i}" for i, c in enumerate(CLUSTER_FEATURES))
+    out = [f"\nc0 AS (select session_id, cast(Stint - 1 as int) cluster, {means} from z group by 1, 2)"]
+    for s in range(1, steps + 1):
+        out.append(f"""
+a{s} AS (select * from (select z.*, c.cluster, row_number() over (partition by z.session_id, z.Driver, z.LapNumber
+           order by {d2}, c.cluster) rn from z join c{s - 1} c using (session_id)) where rn = 1)""")
+        out.append(f"""
+c{s} AS (select o.session_id, o.cluster, {', '.join(f'coalesce(n.f{i}, o.f{i}) f{i}' for i in feats)} from c{s - 1} o
+         left join (select session_id, cluster, {means} from a{s} group by 1, 2) n using (session_id, cluster))""")
+    return out
+
+
+@query("kmeans_lloyd", O.with_blocks(["laps"], f"select * from c{LLOYD_STEPS}", [Z_SQL, *_lloyd_sql(LLOYD_STEPS)]))
+def q_kmeans_lloyd(spark, sf):
+    z, n = z_df(spark, sf), range(len(ZCOLS))
+    cen = z.groupBy("session_id", (F.col("Stint") - 1).cast("int").alias("cluster")).agg(
+        *[F.round(F.avg(c), ROUND).alias(f"f{i}") for i, c in enumerate(ZCOLS)]).transform(materialize)
+    for _ in range(LLOYD_STEPS):
+        new = ML.lloyd_step(z, cen, ZCOLS).select("session_id", "cluster", *[F.round(f"f{i}", ROUND).alias(f"n{i}") for i in n])
+        cen = cen.join(new, ["session_id", "cluster"], "left").select(
+            "session_id", "cluster", *[F.coalesce(f"n{i}", f"f{i}").alias(f"f{i}") for i in n]).transform(materialize)
+    return cen
+
+
 @query("cluster_laps")
 def q_cluster_laps(spark, sf):
     return ML.cluster_laps(laps_df(spark, sf), clusters=3)

@@ -72,11 +72,21 @@ corners AS (
 BLOCKS["sel"] = """
 sel AS (
   select l.* replace (d.session_id as session_id)
-  from laps l join (select distinct driver, session_id from samples) d on l.Driver = d.driver
-  where l.LapNumber <= 3)"""
+  from laps l join (select distinct driver, session_id, lap_number from samples) d
+    on l.Driver = d.driver and l.LapNumber = d.lap_number)"""
+
+BLOCKS["tel"] = """
+tel AS (
+  select l.* replace (d.session_id as session_id)
+  from laps l join (select distinct driver, session_id from samples) d on l.Driver = d.driver)"""
+
+BLOCKS["nanlaps"] = """
+nanlaps AS (
+  select * replace (case when LapNumber % 5 = 0 then null else LapTimeSeconds end as LapTimeSeconds) from laps)"""
 
 DEPENDS = {"laps": [], "samples": [], "clean": ["samples"], "lapidx": ["clean"],
-           "pairs": ["lapidx"], "corners": [], "sel": ["laps", "samples"]}
+           "pairs": ["lapidx"], "corners": [], "sel": ["laps", "samples"],
+           "tel": ["laps", "samples"], "nanlaps": ["laps"]}
 
 
 def with_blocks(names: Sequence[str], body: str, extra: Sequence[str] = ()) -> str:

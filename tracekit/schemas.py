@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 # --- fixed values: channel names and lap-duration columns (must equal the reference) ---
 CAR_CHANNELS = ("Speed", "Throttle", "Brake", "RPM", "nGear", "DRS")
 POSITION_CHANNELS = ("X", "Y", "Z")
-DERIVED_CHANNELS = ("Distance", "RelativeDistance", "TimeSeconds", "SessionTimeSeconds", "DRSActive")
 DEFAULT_COMPARISON_CHANNELS = ("Speed", "Throttle", "Brake", "RPM", "nGear", "DRS", "TimeSeconds")
 LAP_TIME_COLUMNS = ("LapTime", "Sector1Time", "Sector2Time", "Sector3Time")
 LAP_TABLE_COLUMNS = (

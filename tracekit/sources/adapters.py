@@ -59,7 +59,7 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def samples(spark: SparkSession, sf_dir: str, *, with_text_channel: bool = False) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw (uncleaned) telemetry samples keyed by (session_id, driver, lap_number)."""
     ev = table(spark, sf_dir, "events")
     # microseconds since 2024-01-01 on the wall clock: no session time zone involved
@@ -91,9 +91,6 @@ def samples(spark: SparkSession, sf_dir: str, *, with_text_channel: bool = False
         F.col("value").alias("X"),
         kk.alias("Y"),
     ]
-    if with_text_channel:
-        cols.append(F.when(F.col("event_type") == "error", F.lit("n/a"))
-                    .otherwise(kk.cast("string")).alias("ZText"))
     return mid.select(*cols)
 
 
@@ -135,11 +132,38 @@ def lap_index(samples_df: DataFrame) -> DataFrame:
     return samples_df.select(*SAMPLE_KEYS).distinct()
 
 
+def telemetry_laps(laps_df: DataFrame, samples_df: DataFrame) -> DataFrame:
+    """All laps of the drivers that have telemetry, re-keyed to the telemetry's session."""
+    drivers = samples_df.select(F.col("driver").alias("Driver"), F.col("session_id").alias("_sid")).distinct()
+    return (laps_df.join(drivers, "Driver").withColumn("session_id", F.col("_sid")).drop("_sid")
+            .select(*laps_df.columns))
+
+
 def selected_laps(laps_df: DataFrame, samples_df: DataFrame) -> DataFrame:
-    """Laps that also have telemetry: LapNumber <= 3 on drivers present in samples, re-keyed
-    to the telemetry's session so laps and samples share (session_id, driver, lap)."""
-    drivers = samples_df.select(F.col("driver").alias("Driver"),
-                                F.col("session_id").alias("_sid")).distinct()
-    return (laps_df.filter(F.col("LapNumber") <= 3).join(drivers, "Driver")
-            .withColumn("session_id", F.col("_sid")).drop("_sid")
+    """The laps of which the samples hold telemetry, re-keyed to the telemetry's session so
+    that laps and samples share (session_id, driver, lap)."""
+    held = lap_index(samples_df).select(F.col("driver").alias("Driver"), F.col("lap_number").alias("LapNumber"),
+                                        F.col("session_id").alias("_sid"))
+    return (laps_df.join(held, ["Driver", "LapNumber"]).withColumn("session_id", F.col("_sid")).drop("_sid")
             .select(*laps_df.columns))
+
+
+def lap_requests(laps_df: DataFrame) -> DataFrame:
+    """Requests for every second lap number: some laps exist, some do not, some are asked for twice."""
+    asked = laps_df.select("session_id", "Driver", (F.col("LapNumber") * 2).alias("LapNumber"))
+    return asked.unionByName(asked.filter(F.col("LapNumber") % 3 == 0))
+
+
+def laps_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps in which every fifth lap time is NaN, as a failed measurement arrives."""
+    nan = F.when(F.col("LapNumber") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("LapTimeSeconds"))
+    return laps(spark, sf_dir).withColumn("LapTimeSeconds", nan)
+
+
+def raw_samples(spark: SparkSession, sf_dir: str, *, with_distance: bool) -> DataFrame:
+    """Samples as a data logger delivers them: ``Time`` and ``SessionTime`` as intervals and no ``TimeSeconds``."""
+    s = samples(spark, sf_dir)
+    ms = F.round(F.col("TimeSeconds") * 1000).cast("bigint")
+    span = lambda x: (F.timestamp_millis(x) - F.timestamp_millis(F.lit(0)))
+    s = s.withColumns({"Time": span(ms), "SessionTime": span(ms + 60000)}).drop("TimeSeconds")
+    return s if with_distance else s.drop("Distance")

@@ -3,7 +3,7 @@
 A prepared dataset is a folder of Parquet tables partitioned by ``session_id``:
 
     <root>/laps/        lap table (LAPS schema)
-    <root>/corners/     corners (partitioned when they carry session_id)
+    <root>/corners/     corners of each session's circuit
     <root>/samples/     cleaned samples of the selected laps
     <root>/lap_index/   one row per selected lap, in request order (replaces the JSON lap list)
     <root>/sessions/    dataset_version, generated_at, request, frequency_hz
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tracekit.functions import scalars as S
 from tracekit.schemas import CORNERS, DATASET_VERSION, LAP_INDEX, LAPS, MANIFEST
+from tracekit.session import materialize
 
 # --- fixed values: fallback event names when a season has no schedule (in this order) ---
 COMMON_GRAND_PRIX_NAMES = (
@@ -57,6 +58,22 @@ def write_table(df: DataFrame, path: str, partition: bool, order: Sequence[str]
     w.parquet(path)
 
 
+def _corners_by_session(corners: DataFrame, lap_index: DataFrame) -> DataFrame:
+    """Corners keyed by session; circuit-wide ones (a few rows) are stored with each prepared session."""
+    if "session_id" not in corners.columns:
+        track = corners.agg(F.collect_list(F.struct(*corners.columns)).alias("_c")).withColumn("_k", F.lit(1))
+        sessions = lap_index.select("session_id").distinct().withColumn("_k", F.lit(1))
+        corners = sessions.join(F.broadcast(track), "_k").select("session_id", F.explode("_c").alias("_c")).select("session_id", "_c.*")
+    have = set(corners.columns)
+    return corners.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CORNERS.fields])
+
+
+def save_lap_index(root: str, lap_index: DataFrame) -> str:
+    """The lap index alone, which is all that driver look-ups and sector tables read."""
+    write_table(lap_index.select(*[f.name for f in LAP_INDEX.fields]), table_path(root, "lap_index"), True, ("position",))
+    return root
+
+
 def save_prepared(root: str, *, laps: DataFrame, samples: DataFrame, lap_index: DataFrame,
                   corners: DataFrame | None = None, sessions: DataFrame | None = None,
                   frequency_hz: int = 10) -> str:
@@ -66,13 +83,13 @@ def save_prepared(root: str, *, laps: DataFrame, samples: DataFrame, lap_index:
     ``sessions`` optionally carries (session_id, year, grand_prix, session_type).
     """
     write_table(laps, table_path(root, "laps"), "session_id" in laps.columns, ("Driver", "LapNumber"))
+    lap_index = materialize(lap_index)  # four tables are written from it
     if corners is not None:
-        write_table(corners, table_path(root, "corners"), "session_id" in corners.columns)
+        write_table(_corners_by_session(corners, lap_index), table_path(root, "corners"), True)
     keys = ["session_id", "driver", "lap_number"]
     write_table(samples.join(lap_index.select(*keys), keys, "left_semi"), table_path(root, "samples"), True,
            ("driver", "lap_number", "Distance"))
-    write_table(lap_index.select(*[f.name for f in LAP_INDEX.fields]), table_path(root, "lap_index"), True,
-           ("position",))
+    save_lap_index(root, lap_index)
     if sessions is None:
         sessions = lap_index.select("session_id").distinct().select(
             "session_id", F.lit(None).cast("int").alias("year"),
@@ -99,7 +116,9 @@ def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
         if schema is not None:
             r = r.schema(schema)
         return r.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -110,20 +129,25 @@ def _version_gate(message) -> F.Column:
         F.raise_error(message).cast("boolean"))
 
 
+def _of_sessions(df: DataFrame, sessions: Sequence[str] | None) -> DataFrame:
+    """The given sessions' rows (partition pruning); None: all, an empty list: none."""
+    if sessions is None:
+        return df
+    return df.filter(F.col("session_id").isin(list(sessions)) if sessions else F.lit(False))
+
+
 def read_laps(spark: SparkSession, root: str, sessions: Sequence[str] | None = None) -> DataFrame:
     """IO1: lap table of the given sessions (partition pruning on session_id)."""
     df = spark.read.schema(LAPS).parquet(table_path(root, "laps"))
-    if sessions:
-        df = df.filter(F.col("session_id").isin(list(sessions)))
-    return df.select(*[f.name for f in LAPS.fields])
+    return _of_sessions(df, sessions).select(*[f.name for f in LAPS.fields])
 
 
 def read_corners(spark: SparkSession, root: str) -> DataFrame:
-    """IO2: corners, or an empty table with the CORNERS schema when none were saved."""
-    df = _read(spark, table_path(root, "corners"))
+    """IO2: corners, or an empty table when none were saved; the CORNERS schema either way."""
+    df = _read(spark, table_path(root, "corners"), CORNERS)
     if df is None:
         return spark.createDataFrame([], CORNERS)
-    return df
+    return df.select(*[f.name for f in CORNERS.fields])
 
 
 def read_lap_index(spark: SparkSession, root: str) -> DataFrame:
@@ -139,11 +163,14 @@ def read_sessions(spark: SparkSession, root: str) -> DataFrame:
                                             F.col("session_id"))))
 
 
-def read_lap_samples(spark: SparkSession, root: str, lap_index: DataFrame | None = None) -> DataFrame:
-    """IO3: stored samples of the selected laps (left semi join on the lap keys)."""
+def read_lap_samples(spark: SparkSession, root: str, lap_index: DataFrame | None = None,
+                     sessions: Sequence[str] | None = None) -> DataFrame:
+    """IO3: stored samples of the selected laps (left semi join on the lap keys), of all
+    sessions or (partition pruning) of the given ones."""
     keys = ["session_id", "driver", "lap_number"]
     idx = lap_index if lap_index is not None else read_lap_index(spark, root)
-    return read_partitioned(spark, table_path(root, "samples")).join(idx.select(*keys), keys, "left_semi")
+    stored = _of_sessions(read_partitioned(spark, table_path(root, "samples")), sessions)
+    return stored.join(_of_sessions(idx, sessions).select(*keys), keys, "left_semi")
 
 
 def lap_index_from_manifests(spark: SparkSession, path: str) -> DataFrame:
