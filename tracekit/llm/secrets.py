@@ -112,7 +112,8 @@ def scan_history(versions: DataFrame, ledger_path: str, *, rules: Sequence[Rule]
     placed = F.transform(current, lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["rule"]).alias("at"), x["end"].alias("end")))
     spans = F.transform(F.sort_array(placed), lambda x: F.struct(
         F.element_at(F.array(*[F.lit(r.kind) for r in rules]), x["at"].cast("int")).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return paths.join(found.select("blob", spans.alias("spans")), "blob", "left").select("path", "blob", "spans")
+    # settled, so that a blob held by very many paths is a skewed join that Spark can split
+    return paths.join(settle(found.select("blob", spans.alias("spans"))), "blob", "left").select("path", "blob", "spans")
 
 
 def digest(found: DataFrame, base: Sequence[Rule] = BASE) -> DataFrame:
