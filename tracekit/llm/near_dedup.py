@@ -4,8 +4,9 @@ Method
 * A document is the set of its distinct k-word shingles, as 64-bit hashes.
 * Min-max hashing: under each of ``PERMUTATIONS`` hash functions both the minimum and the maximum are
   kept, so ``2 * PERMUTATIONS`` signature values cost half the hash evaluations. Both agree between two
-  sets with the probability of their Jaccard similarity. A band holds minima and maxima of different
-  functions only. At similarity 0.85 a pair shares no band with probability below 1e-5.
+  sets with the probability of their Jaccard similarity. A band holds values of different functions only.
+  A pair at the threshold shares no band with probability below 1e-5 (20 bands of 5 values for 0.85,
+  25 bands of 4 for thresholds from 0.8 on).
 * Equal sets are folded into one representative (the smallest id) before the bands are shuffled.
 * Pass 1: in each bucket (documents sharing a band) every member is paired with the bucket's smallest
   member, and the pairs are confirmed on the full sets.
@@ -34,7 +35,6 @@ from tracekit.llm.components import components
 ship(__name__)
 
 PERMUTATIONS = 50
-ROWS = 5            # signature values in a band
 PACK = 1 << 21      # shingles of the leaders compared at once in a bucket (16 MB), one leader at least
 SHARD = 2_000       # members of a bucket that one task compares with a pack
 MAX_ROUNDS = 10_000
@@ -61,7 +61,12 @@ def min_max_signature(sets: list[np.ndarray], permutations: int = PERMUTATIONS)
     return out
 
 
-def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Signature values in a band."""
+    return 5 if percent >= 85 else 4
+
+
+def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     """(sets, bands) 64-bit keys; the band's number is part of its key."""
     n, width = signature.shape
     bands = width // rows
@@ -74,14 +79,14 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys
 
 
-def _sign(k: int):
+def _sign(k: int, band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for part in slices(batches):
             sets = [np.unique(s) for s in text_shingles(part.column("text"), k)]
             full = [s for s in sets if len(s)]
-            keys = iter(band_keys(min_max_signature(full)).view(np.int64).tolist())
+            keys = iter(band_keys(min_max_signature(full), band).view(np.int64).tolist())
             rows = [(xxhash.xxh3_128_digest(s.tobytes()), next(keys)) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -164,7 +169,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     sets. The bands are made for a similarity of 0.8 or more.
     """
     texts = docs.select("doc_id", "text")
-    sig = settle(texts.mapInArrow(_sign(k), SIGNATURE))
+    sig = settle(texts.mapInArrow(_sign(k, band_rows(percent)), SIGNATURE))
     full = sig.where("n_shingles > 0 and doc_id is not null")
     groups = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     copies = full.join(groups, "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
