@@ -40,7 +40,7 @@ LONGEST = 5
 PENALTY = 2.0
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-COUNTED = 500_000  # distinct words a task holds before it hands on their counts
+COUNTED = 200_000  # distinct words a task holds before it hands on their counts, or scores anew
 
 
 @dataclass
@@ -133,7 +133,7 @@ def score_word(model: Model, word: str) -> tuple[float, ...] | None:
         table = model.grams[length - 1]
         found = [v for i in range(len(padded) - length + 1) if (v := table.get(padded[i:i + length])) is not None]
         if found:
-            return tuple(np.mean(found, axis=0).tolist())
+            return tuple(sum(v) / len(found) for v in zip(*found))
     return None
 
 
