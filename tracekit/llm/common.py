@@ -41,6 +41,11 @@ def worker_state(key: str, make: Callable[[], object]) -> object:
     return getattr(store, key)
 
 
+def forget_worker_state() -> None:
+    """Free what tasks of an earlier operator have left in this worker process."""
+    sys.modules.pop("_tracekit_worker_state", None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

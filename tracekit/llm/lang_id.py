@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tracekit.llm.common import settle, ship, slices
+from tracekit.llm.common import forget_worker_state, settle, ship, slices
 
 ship(__name__)
 
@@ -51,6 +51,7 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_worker_state()
     held: dict[str, Counter] = {}
 
     def out() -> pa.RecordBatch:
@@ -171,6 +172,7 @@ class Scorer:
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_worker_state()
         score = Scorer(Model(*shared.value))
         for part in slices(batches):
             out = [score(t) for t in part.column("text").to_pylist()]
@@ -181,6 +183,7 @@ def _predict(shared):
 
 def _identified(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_worker_state()
         score = Scorer(Model(*shared.value))
         for part in slices(batches):
             yield part.filter(pa.array([score(t)[0] != UNKNOWN for t in part.column("text").to_pylist()], pa.bool_()))

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tracekit.llm.common import mix, release, settle, ship, slices, text_shingles
+from tracekit.llm.common import forget_worker_state, mix, release, settle, ship, slices, text_shingles
 from tracekit.llm.components import components
 
 ship(__name__)
@@ -83,6 +83,7 @@ def _sign(k: int, band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        forget_worker_state()
         for part in slices(batches):
             sets = [np.unique(s) for s in text_shingles(part.column("text"), k)]
             full = [s for s in sets if len(s)]

@@ -33,8 +33,8 @@ from tracekit.llm.simple8b import Coded, decode, encode
 ship(__name__)
 
 SEGMENT = 1 << 18
-MAX_PARTS = 1_000_000  # distinct parts a worker process remembers, the first ones it meets
-MAX_PIECES = 400_000   # likewise of pieces
+MAX_PARTS = 500_000  # distinct parts a worker process remembers, the first ones it meets
+MAX_PIECES = 200_000  # likewise of pieces
 SEGMENTS = ("shard int, seq long, first long, n long, words binary, offsets binary, escapes binary, "
             "doc_ids array<long>, lengths array<long>")
 # Letters, digits and signs whose lower case and composition are the same in every Unicode version.
