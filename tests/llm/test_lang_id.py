@@ -78,3 +78,18 @@ def test_edges(spark):
     assert lang_id.predict(empty, model).count() == 0
     kept = lang_id.identified(rows, lang_id.train(rows))
     assert kept.columns == rows.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_rare_language_keeps_its_share(spark):
+    rng = np.random.default_rng(4)
+
+    def word(letters):
+        return "".join(rng.choice(list(letters), 7))
+
+    rare = [word("aeioubdfg") for _ in range(40)]
+    rows = [("en", " ".join(word("aeioustrn") for _ in range(400))) for _ in range(5)] * 3 + [("xx", " ".join(rare))]
+    model = lang_id.train(spark.createDataFrame(rows, "lang string, text string"), max_words=100, max_grams=200)
+    assert set(rare) <= set(model.words) and len(model.words) == 100 and all(len(t) <= 200 for t in model.grams)
+    got = lang_id.predict(spark.createDataFrame([(i, w) for i, w in enumerate(rare)], "doc_id long, text string"), model).collect()
+    assert all(r.lang_pred == "xx" for r in got)
+    assert lang_id.shares({"a": 3, "b": 90, "c": 50}, 100) == {"a": 3, "c": 48, "b": 49}

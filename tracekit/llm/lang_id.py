@@ -12,8 +12,9 @@ Method
   name. ``score`` is the softmax of the means at the winner, times the share of words the
   model could score.
 
-The model holds the most frequent words, up to ``MAX_WORDS``, and the most frequent n-grams of each length, up to
-``MAX_GRAMS``, counted over all training rows; that bound is what makes it safe to send to each task.
+The model holds up to ``MAX_WORDS`` words and up to ``MAX_GRAMS`` n-grams of each length; that bound is what makes it safe to
+send to each task. If there are more, each language has an equal share of it for its own most frequent ones (what a language
+does not need goes to the others), ties by entry, so that a frequent language does not displace a rare one's.
 
 Defined results: null text or text without a letter gives ``und`` and 0.0, as does every text when
 nothing was learned; null languages are not learned from; repeated rows count as often as they occur.
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tracekit.llm.common import forget_worker_state, settle, ship, slices
 
@@ -84,22 +85,29 @@ def gram_counts(words: DataFrame, length: int) -> DataFrame:
             .where("gram <> ' '").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
+def shares(sizes: dict[str, int], limit: int) -> dict[str, int]:
+    """``limit`` dealt out evenly, to none more than its size."""
+    out, left = {}, limit
+    for i, (size, lang) in enumerate(sorted((n, x) for x, n in sizes.items())):
+        out[lang] = min(size, left // (len(sizes) - i))
+        left -= out[lang]
+    return out
+
+
 def _most_frequent(counts: DataFrame, entry: str, limit: int) -> list:
-    """The most frequent entries, at most ``limit``, with their counts by language.
+    """The most frequent entries of each language, at most ``limit`` together, with their counts by language.
 
-    A histogram of logarithmic frequencies (a few thousand cells) finds the lowest cell from which on there are
-    no more than ``limit`` entries; all from there on are taken, so nothing beyond the limit reaches the driver.
+    The order within a language is that of relative frequency; nothing beyond the limit reaches the driver.
     """
-    rows = counts.groupBy(entry).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = settle(rows.withColumn("cell", F.floor(F.log2("total") * 64).cast("int")))
-    lowest, left = None, limit
-    for r in sorted(rows.groupBy("cell").count().collect(), key=lambda r: -r["cell"]):
-        if r["count"] > left:
-            break
-        lowest, left = r["cell"], left - r["count"]
-    if lowest is None:
-        return []
-    return rows.where(F.col("cell") >= lowest).select(F.col(entry).alias("entry"), "by").orderBy("entry").collect()
+    rows = counts.groupBy(entry).agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    if counts.select(entry).distinct().count() > limit:
+        sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+        share = F.create_map(*(F.lit(x) for pair in shares(sizes, limit).items() for x in pair))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), entry))
+        # the constant bound lets each task drop what cannot be among the first
+        kept = counts.withColumn("rank", rank).where((F.col("rank") <= limit) & (F.col("rank") <= share[F.col("lang")]))
+        rows = rows.join(kept.select(entry).distinct(), entry)
+    return rows.select(F.col(entry).alias("entry"), "by").orderBy("entry").collect()
 
 
 def _log_table(rows: list, languages: list[str], totals: dict[str, int]) -> dict[str, tuple[float, ...]]:
