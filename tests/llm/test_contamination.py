@@ -53,3 +53,13 @@ def test_against_all_pairs(spark, limit):
     for limit in (limit,):
         assert contamination.contained_items(d.limit(0), i, max_broadcast=limit).count() == 0
         assert contamination.contained_items(d, i.limit(0), max_broadcast=limit).count() == 0
+
+
+@pytest.mark.parametrize("limit", [contamination.MAX_BROADCAST, 0])
+def test_rows_of_one_id_are_judged_by_their_texts(spark, limit):
+    item = "one two three four five six seven"
+    docs = [(None, "a clean text without an id"), (None, f"x {item} y"), (7, "clean"), (7, item), (8, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {tuple(r) for r in contamination.uncontaminated(d, i, max_broadcast=limit).collect()}
+    assert got == {docs[0], docs[2], docs[4]}

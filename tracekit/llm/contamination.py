@@ -130,12 +130,21 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _containing(k: int, percent: int):
+    """The ids and texts' hashes of the documents that contain their item."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            good = [bool(_verified(t, [(i, x)], k, percent)) for t, i, x in zip(*(part.column(c).to_pylist() for c in ("text", "item_id", "item")))]
+            yield part.select(["doc_id", "hash"]).filter(pa.array(good, pa.bool_()))
+    return run
+
+
 def _with_id(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).cast("long").alias(column), "text")
 
 
-def _joined(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
-    """The same search when the items are too many for a broadcast."""
+def _joined(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text, item_id, item) of the candidates when the items are too many for a broadcast."""
     sketches = items.mapInArrow(_sketch_rows(k, "item_id", SKETCH), "item_id long, class int, hash long")
     # one row for each size class, 64 at most; hashes compare as unsigned numbers
     unsigned = F.max(F.conv(F.hex("hash"), 16, 10).cast("decimal(20,0)"))
@@ -144,7 +153,7 @@ def _joined(docs: DataFrame, items: DataFrame, k: int, percent: int) -> DataFram
     pairs = seen.join(sketches, ["class", "hash"]).select(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).distinct()
     full = pairs.join(docs, F.col("d").eqNullSafe(F.col("doc_id")))
     full = full.join(items.withColumnRenamed("text", "item"), F.col("i").eqNullSafe(F.col("item_id")))
-    return full.select("doc_id", "text", "item_id", "item").mapInArrow(_verify(k, percent), OUT)
+    return full.select("doc_id", "text", "item_id", "item")
 
 
 def _drop(shared, percent: int):
@@ -174,7 +183,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, k: int = 5, percent: i
     """(doc_id, item_id, n_item, n_shared, containment): each item that a document contains."""
     docs = _with_id(docs, "doc_id")
     items, shared = _items(items, k, max_broadcast)
-    found = docs.mapInArrow(_scan(shared, percent), OUT) if shared else _joined(docs, items, k, percent)
+    found = docs.mapInArrow(_scan(shared, percent), OUT) if shared else _joined(docs, items, k).mapInArrow(_verify(k, percent), OUT)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
@@ -184,5 +193,7 @@ def uncontaminated(docs: DataFrame, items: DataFrame, *, k: int = 5, percent: in
     items, shared = _items(items, k, max_broadcast)
     if shared:
         return docs.mapInArrow(_drop(shared, percent), docs.schema)
-    found = _joined(_with_id(docs, "doc_id"), items, k, percent).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    met = _joined(_with_id(docs, "doc_id"), items, k).withColumn("hash", F.sha2("text", 256)).select("doc_id", "hash", "text", "item_id", "item")
+    found = met.mapInArrow(_containing(k, percent), "doc_id long, hash string").select(F.col("doc_id").alias("_found"), F.col("hash").alias("_hash")).distinct()
+    # by id and text: rows that share an id, or have none, are judged by their own text
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")) & (F.sha2(F.col("text"), 256) == F.col("_hash")), "left_anti")
