@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracekit.llm import chat, contamination, lang_id, link_trust, mix, near_dedup, passages, pii, secrets, token_files, topk
+from tracekit.llm import chat, contamination, lang_id, link_trust, mix, near_dedup, passages, pii, secrets, token_files, topk, whitening
 from tracekit.llm.common import table
 from tracekit.session import shared_dir
 
@@ -90,6 +90,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 # ---------------------------------------------------------------- the same in SQL, by comparing everything with everything
 
 WORDS = (r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
