@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracekit.llm import chat, contamination, lang_id, link_trust, mix, near_dedup, passages, pii, secrets, token_files, topk, whitening
+from tracekit.llm import chat, contamination, hard_negatives, lang_id, link_trust, mix, near_dedup, passages, pii, secrets, token_files, topk, whitening
 from tracekit.llm.common import table
 from tracekit.session import shared_dir
 
@@ -90,6 +90,12 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
@@ -173,3 +179,16 @@ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
     {_ESCAPED.format("replace(replace(role, chr(92), chr(92) || 'b'), chr(10), chr(92) || 'n')")}) end) as bigint) formatted_chars,
   count(*) filter (not again) n_blocks
 from o group by conv_id"""
+
+SQL["op12_hard_negatives"] = """
+WITH r AS (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) v from embeddings
+  where embedding is not null and vec_id is not null and label is not null
+    and coalesce(list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))), true)),
+s AS (select a.vec_id anchor_id, b.vec_id, a.label = b.label same, cast(list_inner_product(a.v, b.v) as bigint) score
+  from r a join r b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 100 = 0),
+p AS (select anchor_id, vec_id positive_id, score positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as int) as rank, vec_id negative_id, positive_score, score negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+window w as (partition by anchor_id, positive_id order by score desc, vec_id) qualify row_number() over w <= 5"""
