@@ -52,7 +52,7 @@ def test_round_trip(spark, tmp_path):
     assert ST.read_corners(spark, root).count() == 0
 
 
-def test_dynamic_overwrite_keeps_other_sessions(spark, tmp_path):
+def test_saving_keeps_other_sessions(spark, tmp_path):
     laps, samples, req = _fixture(spark)
     root = str(tmp_path / "p")
     idx = spark.createDataFrame([], ST.LAP_INDEX)

@@ -688,6 +688,7 @@ import uuid  # noqa: E402
 
 from tracekit.schemas import LAPS  # noqa: E402
 from tracekit.session import materialize, shared_dir  # noqa: E402
+from tracekit.sources import snapshots as SN  # noqa: E402
 from tracekit.sources import store as ST  # noqa: E402
 
 STORE_SCHEDULE_SQL = """
@@ -734,7 +735,7 @@ def q_read_laps(spark, sf):
 @query("corners_or_empty", O.with_blocks(["corners"], "select Number, Letter, Distance from corners"))
 def q_corners_or_empty(spark, sf):
     root = _scratch(spark, "corners")
-    ST.write_table(A.corners(spark, sf).withColumn("session_id", F.lit("7")), f"{root}/corners", True)
+    ST.save_corners(root, A.corners(spark, sf).withColumn("session_id", F.lit("7")))
     have = ST.read_corners(spark, root).filter(F.col("session_id") == "7").select("Number", "Letter", "Distance")
     empty = ST.read_corners(spark, _scratch(spark, "missing")).select("Number", "Letter", "Distance")
     return have.unionByName(empty)
@@ -852,9 +853,9 @@ def q_sector_table_prepared(spark, sf):
 
 @query("compare_prepared", _cmp_sql("select * from aligned"))
 def q_compare_prepared(spark, sf):
-    root = prepared_store(spark, sf)
+    root = SN.latest(spark, prepared_store(spark, sf))
     idx = ST.read_lap_index(spark, root)
-    samples = ST.read_lap_samples(spark, root, idx)
+    samples = ST.read_lap_samples(spark, root)
     asked = requests_df(spark, sf).join(idx.select("session_id", F.col("driver").alias("Driver")), ["session_id", "Driver"], "left_semi")
     enough = asked.groupBy("session_id").agg(F.count("*").alias("n")).filter("n >= 2")
     out = CP.compare_prepared(idx, samples, asked.join(enough, "session_id", "left_semi"), channels=DELTA_CHANNELS,

@@ -1,28 +1,30 @@
 """Prepared dataset store and session bookkeeping (IO1-IO15).
 
-A prepared dataset is a folder of Parquet tables partitioned by ``session_id``:
+A prepared dataset is a folder of session tables (``sources/snapshots.py``: hashed buckets, one snapshot for all tables):
 
-    <root>/laps/        lap table (LAPS schema)
-    <root>/corners/     corners of each session's circuit
-    <root>/samples/     cleaned samples of the selected laps
-    <root>/lap_index/   one row per selected lap, in request order (replaces the JSON lap list)
-    <root>/sessions/    dataset_version, generated_at, request, frequency_hz
+    laps        lap table (LAPS schema)
+    corners     corners of each session's circuit
+    samples     cleaned samples of the selected laps
+    lap_index   one row per selected lap, in request order (replaces the JSON lap list)
+    sessions    dataset_version, generated_at, request, frequency_hz
 
-Writes use dynamic partition overwrite, so re-preparing some sessions leaves the others
-untouched. Never read and overwrite the same path in one plan.
+Saving sessions replaces all that the tables held of them and leaves the others untouched. Readers take a root folder
+(its newest snapshot) or a ``Snapshot``, so that several reads see one state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from tracekit.functions import scalars as S
 from tracekit.schemas import CORNERS, DATASET_VERSION, LAP_INDEX, LAPS, MANIFEST
 from tracekit.session import materialize
+from tracekit.sources import snapshots
+from tracekit.sources.snapshots import Snapshot
 
 # --- fixed values: fallback event names when a season has no schedule (in this order) ---
 COMMON_GRAND_PRIX_NAMES = (
@@ -39,87 +41,69 @@ COMMON_GRAND_PRIX_NAMES = (
 DATA_SOURCES = ("prepared", "live", "demo")
 # --- end of fixed values ---
 
-TABLES = ("laps", "corners", "samples", "lap_index", "sessions")
-
-
-def table_path(root: str, name: str) -> str:
-    return f"{root.rstrip('/')}/{name}"
-
-
-def write_table(df: DataFrame, path: str, partition: bool, order: Sequence[str] = ()) -> None:
-    """Range-partition on (session_id, order...) so each task writes few session folders and a
-    large session still spreads over several tasks; rows come out clustered by the keys."""
-    cols = [c for c in ("session_id", *order) if c in df.columns]
-    if cols:
-        df = df.repartitionByRange(*cols)
-    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    if partition:
-        w = w.partitionBy("session_id")
-    w.parquet(path)
+TRACK_CHUNK = 10_000  # circuit-wide corners that travel to a session in one row
 
 
 def _corners_by_session(corners: DataFrame, lap_index: DataFrame) -> DataFrame:
-    """Corners keyed by session; circuit-wide ones (a few rows) are stored with each prepared session."""
+    """Corners keyed by session; circuit-wide ones are stored with each prepared session, gathered in rows of bounded size."""
     if "session_id" not in corners.columns:
-        track = corners.agg(F.collect_list(F.struct(*corners.columns)).alias("_c")).withColumn("_k", F.lit(1))
-        sessions = lap_index.select("session_id").distinct().withColumn("_k", F.lit(1))
-        corners = sessions.join(F.broadcast(track), "_k").select("session_id", F.explode("_c").alias("_c")).select("session_id", "_c.*")
+        n = max(1, -(-corners.count() // TRACK_CHUNK))
+        chunk = F.pmod(F.xxhash64(*corners.columns), F.lit(n)).cast("int").alias("_chunk")
+        track = corners.groupBy(chunk).agg(F.collect_list(F.struct(*corners.columns)).alias("_c"))
+        sessions = lap_index.select("session_id").distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        corners = sessions.join(track, "_chunk").select("session_id", F.explode("_c").alias("_c")).select("session_id", "_c.*")
     have = set(corners.columns)
     return corners.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CORNERS.fields])
 
 
 def save_lap_index(root: str, lap_index: DataFrame) -> str:
     """The lap index alone, which is all that driver look-ups and sector tables read."""
-    write_table(lap_index.select(*[f.name for f in LAP_INDEX.fields]), table_path(root, "lap_index"), True, ("position",))
+    index = materialize(lap_index.select(*[f.name for f in LAP_INDEX.fields]))
+    snapshots.save(index.sparkSession, root, {"lap_index": (index, ("position",))}, index)
+    return root
+
+
+def save_corners(root: str, corners: DataFrame) -> str:
+    """Corners keyed by session, alone."""
+    kept = materialize(corners.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CORNERS.fields]))
+    snapshots.save(kept.sparkSession, root, {"corners": (kept, ("Number", "Letter"))}, kept)
     return root
 
 
 def save_prepared(root: str, *, laps: DataFrame, samples: DataFrame, lap_index: DataFrame,
                   corners: DataFrame | None = None, sessions: DataFrame | None = None,
                   frequency_hz: int = 10) -> str:
-    """IO5: write a prepared dataset for every session present (dynamic partition overwrite).
+    """IO5: save a prepared dataset of every session that the laps, the lap index or ``sessions`` name.
 
-    ``samples`` are cleaned samples; only those of laps in ``lap_index`` are kept.
-    ``sessions`` optionally carries (session_id, year, grand_prix, session_type).
+    All tables change at once, and hold nothing older of these sessions. ``samples`` are cleaned samples; only those of
+    laps in ``lap_index`` are kept. ``sessions`` optionally carries (session_id, year, grand_prix, session_type).
     """
-    write_table(laps, table_path(root, "laps"), "session_id" in laps.columns, ("Driver", "LapNumber"))
-    lap_index = materialize(lap_index)  # four tables are written from it
-    if corners is not None:
-        write_table(_corners_by_session(corners, lap_index), table_path(root, "corners"), True)
-    keys = ["session_id", "driver", "lap_number"]
-    write_table(samples.join(lap_index.select(*keys), keys, "left_semi"), table_path(root, "samples"), True,
-           ("driver", "lap_number", "Distance"))
-    save_lap_index(root, lap_index)
+    spark = laps.sparkSession
+    lap_index = materialize(lap_index.select(*[f.name for f in LAP_INDEX.fields]))  # four tables are written from it
+    named = [laps.select("session_id"), lap_index.select("session_id")]
     if sessions is None:
         sessions = lap_index.select("session_id").distinct().select(
             "session_id", F.lit(None).cast("int").alias("year"),
             F.lit(None).cast("string").alias("grand_prix"), F.lit(None).cast("string").alias("session_type"))
+    else:
+        named.append(sessions.select("session_id"))
+    named = materialize(reduce(DataFrame.unionByName, named).distinct())
     meta = sessions.select(
         "session_id", F.lit(DATASET_VERSION).alias("dataset_version"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("generated_at"),
         "year", "grand_prix", "session_type", F.lit(int(frequency_hz)).alias("frequency_hz"))
-    write_table(meta, table_path(root, "sessions"), True)
+    keys = ["session_id", "driver", "lap_number"]
+    picked = samples.join(lap_index.select(*keys), keys, "left_semi")
+    tables = {"samples": (picked, ("driver", "lap_number", "Distance")), "laps": (laps, ("Driver", "LapNumber")),
+              "lap_index": (lap_index, ("position",)), "sessions": (meta, ())}
+    if corners is not None:
+        tables["corners"] = (_corners_by_session(corners, lap_index), ("Number", "Letter"))
+    snapshots.save(spark, root, tables, named)
     return root
 
 
-def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
-    """Read a session-partitioned table keeping session_id a string (no type inference)."""
-    inferred = spark.read.parquet(path).schema
-    fixed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "session_id" else f
-                          for f in inferred.fields])
-    return spark.read.schema(fixed).parquet(path)
-
-
-def _read(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    try:
-        r = spark.read
-        if schema is not None:
-            r = r.schema(schema)
-        return r.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def _snapshot(spark: SparkSession, root: str | Snapshot) -> Snapshot:
+    return root if isinstance(root, Snapshot) else snapshots.latest(spark, root)
 
 
 def _version_gate(message) -> F.Column:
@@ -129,48 +113,39 @@ def _version_gate(message) -> F.Column:
         F.raise_error(message).cast("boolean"))
 
 
-def _of_sessions(df: DataFrame, sessions: Sequence[str] | None) -> DataFrame:
-    """The given sessions' rows (partition pruning); None: all, an empty list: none."""
-    if sessions is None:
-        return df
-    return df.filter(F.col("session_id").isin(list(sessions)) if sessions else F.lit(False))
-
-
-def read_laps(spark: SparkSession, root: str, sessions: Sequence[str] | None = None) -> DataFrame:
-    """IO1: lap table of the given sessions (partition pruning on session_id)."""
-    df = spark.read.schema(LAPS).parquet(table_path(root, "laps"))
-    return _of_sessions(df, sessions).select(*[f.name for f in LAPS.fields])
+def read_laps(spark: SparkSession, root: str | Snapshot, sessions: Sequence[str] | None = None) -> DataFrame:
+    """IO1: lap table of all or the given sessions (only their buckets are opened)."""
+    return snapshots.read(spark, _snapshot(spark, root), "laps", LAPS, sessions)
 
 
-def read_corners(spark: SparkSession, root: str) -> DataFrame:
+def read_corners(spark: SparkSession, root: str | Snapshot, sessions: Sequence[str] | None = None) -> DataFrame:
     """IO2: corners, or an empty table when none were saved; the CORNERS schema either way."""
-    df = _read(spark, table_path(root, "corners"), CORNERS)
-    if df is None:
-        return spark.createDataFrame([], CORNERS)
-    return df.select(*[f.name for f in CORNERS.fields])
+    return snapshots.read(spark, _snapshot(spark, root), "corners", CORNERS, sessions)
 
 
-def read_lap_index(spark: SparkSession, root: str) -> DataFrame:
-    """Selected laps of every prepared session, with their request position."""
-    return spark.read.schema(LAP_INDEX).parquet(table_path(root, "lap_index")).select(
-        *[f.name for f in LAP_INDEX.fields])
+def read_lap_index(spark: SparkSession, root: str | Snapshot, sessions: Sequence[str] | None = None) -> DataFrame:
+    """Selected laps of the prepared sessions, with their request position."""
+    return snapshots.read(spark, _snapshot(spark, root), "lap_index", LAP_INDEX, sessions)
 
 
-def read_sessions(spark: SparkSession, root: str) -> DataFrame:
+def read_sessions(spark: SparkSession, root: str | Snapshot) -> DataFrame:
     """Session metadata rows; rows with an unsupported dataset version fail the job (IO4)."""
-    df = read_partitioned(spark, table_path(root, "sessions"))
+    df = snapshots.read(spark, _snapshot(spark, root), "sessions")
     return df.filter(_version_gate(F.concat(F.lit("Unsupported prepared dataset version for session "),
                                             F.col("session_id"))))
 
 
-def read_lap_samples(spark: SparkSession, root: str, lap_index: DataFrame | None = None,
+def read_lap_samples(spark: SparkSession, root: str | Snapshot, lap_index: DataFrame | None = None,
                      sessions: Sequence[str] | None = None) -> DataFrame:
-    """IO3: stored samples of the selected laps (left semi join on the lap keys), of all
-    sessions or (partition pruning) of the given ones."""
+    """IO3: stored samples of the selected laps, of all sessions or (opening their buckets only) of the given ones.
+
+    What a snapshot holds are the samples of its own lap index; only another index needs a semi-join on the lap keys.
+    """
+    stored = snapshots.read(spark, _snapshot(spark, root), "samples", None, sessions)
+    if lap_index is None:
+        return stored
     keys = ["session_id", "driver", "lap_number"]
-    idx = lap_index if lap_index is not None else read_lap_index(spark, root)
-    stored = _of_sessions(read_partitioned(spark, table_path(root, "samples")), sessions)
-    return stored.join(_of_sessions(idx, sessions).select(*keys), keys, "left_semi")
+    return stored.join(lap_index.select(*keys), keys, "left_semi")
 
 
 def lap_index_from_manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -291,6 +266,14 @@ def resolve_source(requests: DataFrame, prepared_index: DataFrame, live_laps: Da
     return (cand.groupBy("session_id").agg(F.min_by("data_source", "_p").alias("data_source")))
 
 
+def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
+    """Read a session-partitioned table keeping session_id a string (no type inference)."""
+    inferred = spark.read.parquet(path).schema
+    fixed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "session_id" else f
+                          for f in inferred.fields])
+    return spark.read.schema(fixed).parquet(path)
+
+
 def export_csv(df: DataFrame, path: str) -> str:
     """IO6 / IO7: CSV with a header row (one folder of part files)."""
     df.write.mode("overwrite").option("header", True).csv(path)
