@@ -85,6 +85,24 @@ def test_manifest_json_and_version_gate(spark, tmp_path):
         ST.lap_index_from_manifests(spark, str(bad)).collect()
 
 
+def test_manifests_that_cannot_be_read_contain_nothing(spark, tmp_path):
+    good = {"dataset_version": 1, "laps": [{"driver": "A", "lap_number": 3}, {"driver": "B"}], "more": {"x": [1]}}
+    text = json.dumps(good, indent=1)
+    files = {"s1": text, "s2": text[:-20], "s3": json.dumps({**good, "dataset_version": 2}), "s4": "not json", "s5": "",
+             "s6": json.dumps({"laps": good["laps"]}), "s7": json.dumps({"dataset_version": 1}), "s8": json.dumps({"dataset_version": 1, "laps": [{"driver": 44}]})}
+    for s, body in files.items():
+        (tmp_path / s).mkdir()
+        (tmp_path / s / "manifest.json").write_text(body)
+    found = ST.read_manifests(spark, str(tmp_path / "*" / "manifest.json"))
+    got = {r.session_id: (r.status, r.drivers) for r in found.collect()}
+    assert got == {"s1": ("ok", ["A", "B"]), "s2": ("unreadable", None), "s3": ("unsupported", None), "s4": ("unreadable", None),
+                   "s6": ("unsupported", None), "s7": ("ok", []), "s8": ("ok", ["44"])}
+    asked = [("s1", "A"), ("s1", "B"), ("s2", "A"), ("s3", "A"), ("s4", None), ("s5", "A"), ("s6", "A"), ("s7", None), ("s8", "44"), ("s9", "A")]
+    answer = lambda rows: {r.session_id: r.contains for r in ST.manifests_contain(found, spark.createDataFrame(rows, "session_id string, Driver string")).collect()}
+    assert answer(asked) == {f"s{i}": i in (1, 7, 8) for i in range(1, 10)}
+    assert answer([("s1", "C"), ("s7", "A")]) == {"s1": False, "s7": False}
+
+
 def test_season_events_fallback_and_resolve_source(spark):
     sched = spark.createDataFrame([(2024, 1, "Bahrain"), (2024, 2, " "), (2024, 3, None)],
                                   "year int, round int, event_name string")

@@ -1,15 +1,14 @@
 """Lap clustering and anomaly detection (ML1-ML4), one model per session, all sessions at once.
 
 * ML2 standardisation: per-session mean / population std as an aggregate joined back.
-* ML3 k-means: Lloyd iterations as DataFrame jobs. Each session's centroids travel as one
-  array row joined to its points (fan-out 1), the nearest centroid is picked with
-  higher-order functions (JVM side), new centroids are a partial aggregate. The small
-  centroid table is checkpointed every iteration, so lineage stays short and a lost
-  executor only costs the current step.
+* ML3 k-means: greedy k-means++ seeds by aggregates, then Lloyd steps. Groups of bounded size make all their steps in
+  one job, one task each. Larger groups make ``BLOCK_STEPS`` steps in a job: the centroids travel as one row joined to
+  their points (fan-out 1), a step's new centroids are one aggregate by group, and only the small centroid table is
+  checkpointed, once a block. Either way triangle-inequality bounds spare the distances of points that stay where they are.
 * ML4 isolation forest (Liu, Ting, Zhou 2008): per (session, tree) a sample of at most 256
   rows chosen by hash rank (deterministic under any partitioning, pre-filtered before the
-  shuffle), trees grown in ``applyInPandas`` on those bounded groups, rows scored in
-  bounded (session, chunk) groups co-grouped with a copy of the session's trees.
+  shuffle), trees grown in ``applyInPandas`` on those bounded groups. Rows are scored by the engine: bounded arrays of a
+  session's rows meet one array of its trees, and higher-order functions walk the trees' nodes.
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from tracekit.operators.clean import complete_cases
+from tracekit.operators.order import with_position
 from tracekit.schemas import ANOMALY_FEATURES, CLUSTER_FEATURES, present
 from tracekit.session import ensure_checkpoint_dir, materialize
 
@@ -120,6 +120,68 @@ def _kmeans_plus_plus(pts: DataFrame, feats: Sequence[str], *, k: int, by: Seque
     return cents
 
 
+BLOCK_STEPS = 5  # Lloyd steps of large groups in one job
+LOCAL_ROWS = 100_000  # groups of at most so many points are settled by one task each, all in one job
+
+
+MODEL_NUMBERS = 2_000_000  # centroid coordinates that are broadcast; larger models are joined
+
+
+def _wide(centroids: DataFrame, k: int, n: int, by: Sequence[str]) -> DataFrame:
+    """One row a group: coordinate i of centroid j as ``c<j>_<i>`` (null where a group has fewer centroids)."""
+    return centroids.groupBy(*by).agg(*[F.max(F.when(F.col("cluster") == j, F.col(f"f{i}"))).alias(f"c{j}_{i}") for j in range(k) for i in range(n)])
+
+
+def _square(feats: Sequence[str], j: int, model: str = "c") -> str:
+    return " + ".join(f"(`{c}` - {model}{j}_{i}) * (`{c}` - {model}{j}_{i})" for i, c in enumerate(feats))
+
+
+def _least(columns: Sequence[str]) -> str:
+    return f"least({', '.join(columns)})" if len(columns) > 1 else columns[0]
+
+
+def _nearest(k: int) -> str:
+    """Number of the least of the squares _q0, _q1, ... (ties: the lower)."""
+    least = _least([f"_q{j}" for j in range(k)])
+    return f"CASE {' '.join(f'WHEN _q{j} = {least} THEN {j}' for j in range(k))} END"
+
+
+def _near(points: DataFrame, model: DataFrame, feats: Sequence[str], k: int) -> DataFrame:
+    """Points with the number of their nearest centroid (_at), their distance to it (_d) and to the second nearest (_d2)."""
+    own = [f"`{c}`" for c in points.columns]
+    rows = points.join(model, [c for c in points.columns if c in model.columns])
+    rows = rows.selectExpr(*own, *[f"{_square(feats, j)} AS _q{j}" for j in range(k)]).selectExpr("*", f"{_nearest(k)} AS _at")
+    others = _least([f"CASE WHEN _at <> {j} THEN _q{j} END" for j in range(k)])
+    return rows.selectExpr(*own, "_at", f"sqrt({_least([f'_q{j}' for j in range(k)])}) AS _d", f"coalesce(sqrt({others}), double('Infinity')) AS _d2")
+
+
+def _steps(near: DataFrame, start: DataFrame, feats: Sequence[str], k: int, by: Sequence[str], steps: int, tol: float, sent) -> DataFrame:
+    """(by..., c<j>_<i>..., _done) after ``steps`` Lloyd steps from the centroids that ``near`` was made with, as one plan.
+
+    A group's centroids stay as they are from the step on whose total squared shift is at most ``tol``. Expressions are
+    SQL texts, which the engine takes in whole; as nested columns they would cost more time than the job.
+    """
+    n = len(feats)
+    names, keys = [f"{j}_{i}" for j in range(k) for i in range(n)], [f"`{c}`" for c in by]
+    move = lambda j: f"sqrt({' + '.join(f'(c{j}_{i} - b{j}_{i}) * (c{j}_{i} - b{j}_{i})' for i in range(n))}) AS _m{j}"
+    most = f"greatest({', '.join(f'_m{j}' for j in range(k))})" if k > 1 else "_m0"
+    own = f"CASE {' '.join(f'WHEN _at = {j} THEN _m{j}' for j in range(k))} END"
+    # a little below what the triangle inequality allows, for rounding
+    stays = f"_d + {own} < (_d2 - {most}) * (1 - 1e-9D) - 1e-12D AS _stays"
+    kept = [f"{x}{y}" for x in "cb" for y in names] + ["_done"]
+    means = [f"avg(CASE WHEN _now = {j} THEN `{c}` END) AS n{j}_{i}" for j in range(k) for i, c in enumerate(feats)]
+    shift = " + ".join(f"coalesce((n{x} - c{x}) * (n{x} - c{x}), 0D)" for x in names)
+    state = start.selectExpr(*keys, *[f"c{x}" for x in names], *[f"c{x} AS b{x}" for x in names], "false AS _done")
+    for _ in range(steps):
+        rows = near.join(sent(state.selectExpr("*", *map(move, range(k)))), list(by)).selectExpr("*", stays)
+        rows = rows.selectExpr("*", *[f"CASE WHEN NOT _stays THEN {_square(feats, j)} END AS _q{j}" for j in range(k)])
+        rows = rows.selectExpr("*", f"CASE WHEN _stays THEN _at ELSE {_nearest(k)} END AS _now")
+        new = rows.groupBy(*by).agg(*map(F.expr, means + [f"first({x}) AS {x}" for x in kept]))
+        new = new.selectExpr(*keys, *kept, *[f"CASE WHEN _done THEN c{x} ELSE coalesce(n{x}, c{x}) END AS n{x}" for x in names])
+        state = new.selectExpr(*keys, *[f"n{x} AS c{x}" for x in names], *[f"b{x}" for x in names], f"_done OR ({shift}) <= {tol!r}D AS _done")
+    return state.drop(*[f"b{x}" for x in names])
+
+
 def kmeans(points: DataFrame, features: Sequence[str], *, k: int = 3, by: Sequence[str] = ("session_id",),
            key: Sequence[str] = LAP_ID, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
     """Per-group Lloyd k-means. Returns the centroid table (by..., cluster, f0..).
@@ -131,26 +193,80 @@ def kmeans(points: DataFrame, features: Sequence[str], *, k: int = 3, by: Sequen
     ensure_checkpoint_dir(points.sparkSession)
     pts = points.select(*dict.fromkeys([*by, *key, *feats])).persist(StorageLevel.MEMORY_AND_DISK)
     cents = _kmeans_plus_plus(pts, feats, k=k, by=by, key=key, seed=seed)
-    closed = []
+    return lloyd(pts, cents, feats, k=k, by=by, max_iter=max_iter, tol=tol)
+
+
+def lloyd_group(x: np.ndarray, c: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, bool]:
+    """(centroids, converged) of one group: a point's distances are computed anew only if its bounds do not tell the nearest.
+
+    ``upper`` is at least the distance to the nearest centroid and ``lower`` at most that to any other; both
+    move with the centroids (triangle inequality).
+    """
+    at, upper, lower = np.zeros(len(x), int), np.full(len(x), np.inf), np.zeros(len(x))
     for _ in range(max_iter):
-        new = lloyd_step(pts, cents, feats, by=by)
-        old = cents.select(*by, "cluster", *[F.col(f"f{i}").alias(f"o{i}") for i in range(len(feats))])
-        kept = [F.coalesce(F.col(f"f{i}"), F.col(f"o{i}")) for i in range(len(feats))]
-        moved = old.join(new, [*by, "cluster"], "left").select(
-            *by, "cluster", *[c.alias(f"f{i}") for i, c in enumerate(kept)],
-            sum((c - F.col(f"o{i}")) ** 2 for i, c in enumerate(kept)).alias("_shift"))
-        # a group's shift is the sum over its few centroids
-        done = F.sum("_shift").over(Window.partitionBy(*by)) <= tol
-        moved = moved.withColumn("_done", done).drop("_shift").transform(materialize)
-        closed.append(moved.filter("_done").drop("_done"))
-        cents = moved.filter(~F.col("_done")).drop("_done")
-        if cents.isEmpty():
-            break
-    else:
-        warnings.warn(f"k-means: {cents.select(*by).distinct().count()} groups have not converged in {max_iter} steps", stacklevel=2)
-        closed.append(cents)
-    pts.unpersist()
-    return reduce(DataFrame.unionByName, closed, cents.limit(0)).transform(materialize)
+        due = np.flatnonzero(~(upper < lower * (1 - 1e-9) - 1e-12))
+        sq = ((x[due, None, :] - c[None]) ** 2).sum(axis=2)
+        at[due] = sq.argmin(axis=1)
+        two = np.sqrt(np.partition(np.column_stack([sq, np.full(len(due), np.inf)]), 1, axis=1)[:, :2])
+        upper[due], lower[due] = two[:, 0], two[:, 1]
+        n = np.bincount(at, minlength=len(c))
+        sums = np.column_stack([np.bincount(at, x[:, i], minlength=len(c)) for i in range(x.shape[1])])
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+        move = np.sqrt(((new - c) ** 2).sum(axis=1))
+        c = new
+        if (move ** 2).sum() <= tol:
+            return c, True
+        upper += move[at]
+        lower -= move.max()
+    return c, False
+
+
+def _settled_groups(points: DataFrame, centroids: DataFrame, feats: Sequence[str], by: Sequence[str], max_iter: int, tol: float) -> DataFrame:
+    """The centroids of groups of bounded size after all their Lloyd steps: one job for all of them."""
+    names = [f"f{i}" for i in range(len(feats))]
+
+    def settle(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or c.empty:
+            return c.iloc[:0]
+        c = c.sort_values("cluster")
+        new, done = lloyd_group(p[list(feats)].to_numpy(float), c[names].to_numpy(float), max_iter, tol)
+        if not done:
+            warnings.warn(f"k-means: a group has not converged in {max_iter} steps", stacklevel=1)
+        return c.assign(**{f: new[:, i] for i, f in enumerate(names)})
+
+    rows = points.select(*dict.fromkeys([*by, *feats]))
+    return rows.groupBy(*by).cogroup(centroids.groupBy(*by)).applyInPandas(settle, centroids.schema)
+
+
+def lloyd(points: DataFrame, centroids: DataFrame, features: Sequence[str], *, k: int, by: Sequence[str] = ("session_id",),
+          max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+    """Lloyd steps from the given centroids (by..., cluster below k, f0..) until every group has converged.
+
+    Releases the cache of ``points`` in the end.
+    """
+    feats, closed, left = list(features), [], max_iter
+    centroids = centroids.select(*[F.col(c).alias(c) for c in centroids.columns])  # columns of their own, apart from the points'
+    sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).transform(materialize)
+    large = sizes.where(F.col("_n") > LOCAL_ROWS).select(*by)
+    local = _settled_groups(points.join(large, list(by), "left_anti"), centroids, feats, by, max_iter, tol).transform(materialize)
+    start = _wide(centroids.join(large, list(by), "left_semi"), k, len(feats), by).transform(materialize)
+    groups = start.count()
+    sent = F.broadcast if groups * k * len(feats) <= MODEL_NUMBERS else (lambda model: model)
+    while groups and left > 0:
+        near = _near(points.select(*dict.fromkeys([*by, *feats])), sent(start), feats, k).persist(StorageLevel.MEMORY_AND_DISK)
+        state = _steps(near, start, feats, k, by, min(BLOCK_STEPS, left), tol, sent).transform(materialize)
+        near.unpersist()
+        left -= BLOCK_STEPS
+        closed.append(state.where("_done"))
+        start = state.where(~F.col("_done")).drop("_done")
+        groups = start.count()
+    if groups:
+        warnings.warn(f"k-means: {groups} groups have not converged in {max_iter} steps", stacklevel=3)
+    closed.append(start.withColumn("_done", F.lit(False)))
+    points.unpersist()
+    each = F.array(*[F.struct(F.lit(j).alias("cluster"), *[F.col(f"c{j}_{i}").alias(f"f{i}") for i in range(len(feats))]) for j in range(k)])
+    far = reduce(DataFrame.unionByName, closed).select(*by, F.explode(each).alias("_c")).where("_c.f0 is not null").select(*by, "_c.*")
+    return local.unionByName(far)
 
 
 def lloyd_step(points: DataFrame, centroids: DataFrame, features: Sequence[str], *,
@@ -196,14 +312,21 @@ def average_path_length(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int):
-    """Isolation tree as flat arrays (feature, threshold, left, right, size); leaves have feature -1."""
-    feat, thr, left, right, size = [], [], [], [], []
+def max_depth(rows: int) -> int:
+    return int(math.ceil(math.log2(max(rows, 2))))
+
+
+def grow_tree(x: np.ndarray, rng: np.random.Generator, deepest: int):
+    """Isolation tree as flat arrays (feature, threshold, left, right, length); leaves have feature -1.
+
+    ``length``: the depth of the node plus the expected rest of a path among the rows that ended there.
+    """
+    feat, thr, left, right, size, level = [], [], [], [], [], []
 
     def node(idx: np.ndarray, depth: int) -> int:
         me = len(feat)
-        feat.append(-1); thr.append(0.0); left.append(-1); right.append(-1); size.append(len(idx))
-        if depth >= max_depth or len(idx) <= 1:
+        feat.append(-1); thr.append(0.0); left.append(-1); right.append(-1); size.append(len(idx)); level.append(depth)
+        if depth >= deepest or len(idx) <= 1:
             return me
         sub = x[idx]
         lo, hi = sub.min(axis=0), sub.max(axis=0)
@@ -219,45 +342,70 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int):
         return me
 
     node(np.arange(len(x)), 0)
-    return feat, thr, left, right, size
-
-
-def path_lengths(x: np.ndarray, feat, thr, left, right, size) -> np.ndarray:
-    """Depth reached by each row plus c(leaf size), vectorised over rows."""
-    feat = np.asarray(feat); thr = np.asarray(thr); left = np.asarray(left)
-    right = np.asarray(right); size = np.asarray(size)
-    cur = np.zeros(len(x), dtype=int)
-    depth = np.zeros(len(x))
-    rows = np.arange(len(x))
-    while True:
-        f = feat[cur]
-        active = f >= 0
-        if not active.any():
-            break
-        fa = np.where(active, f, 0)
-        go_left = x[rows, fa] < thr[cur]
-        nxt = np.where(go_left, left[cur], right[cur])
-        cur = np.where(active, nxt, cur)
-        depth = depth + active
-    return depth + average_path_length(size[cur])
+    return feat, thr, left, right, (np.array(level) + average_path_length(np.array(size))).tolist()
 
 
 TREES_PER_GROUP = 10
 POOL = 32  # rows of a session from which trees draw, in samples of one tree
-TREE_FIELDS = "tree int, psi int, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<int>"
+TREE_FIELDS = "tree int, psi int, feat array<int>, thr array<double>, left array<int>, right array<int>, length array<double>"
+
+
+def forest_from_nodes(nodes: DataFrame, by: str = "session_id") -> DataFrame:
+    """A forest (``by`` and ``TREE_FIELDS``) from a table of nodes (by, tree, psi, node, feat, thr, left, right, length).
+
+    A tree's nodes are numbered 0, 1, ... from its root; inner nodes send a row to ``left`` if its feature number
+    ``feat`` is below ``thr``, leaves have feat -1, and their ``length`` is the path length of the rows that end there.
+    """
+    node = F.sort_array(F.collect_list(F.struct("node", "feat", "thr", "left", "right", "length")))
+    packed = nodes.groupBy(by, "tree").agg(F.max("psi").alias("psi"), node.alias("n"))
+    return packed.select(by, "tree", "psi", *[F.col(f"n.{c}").alias(c) for c in ("feat", "thr", "left", "right", "length")])
+
+
+def score_forest(points: DataFrame, forest: DataFrame, features: Sequence[str], *, by: str = "session_id", depth: int,
+                 chunk_rows: int = 20_000) -> DataFrame:
+    """Adds Score, 2 ** (-mean path length / c(psi)), to each row of a group that has trees; trees are ``depth`` deep at most.
+
+    A group's rows meet in arrays of about ``chunk_rows`` with one copy of the group's trees for each array; the walk down the
+    trees is a fold over ``depth`` steps within the engine.
+    """
+    feats = list(features)
+    n = points.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_rows)))).cast("int").alias("_chunks"))
+    trees = forest.groupBy(by).agg(F.max("psi").alias("_psi"), F.sort_array(F.collect_list(F.struct("tree", "feat", "thr", "left", "right", "length"))).alias("_trees"))
+    copies = trees.join(n, by).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+    row = F.struct(F.array(*[F.col(c).cast("double") for c in feats]).alias("x"), F.struct(*points.columns).alias("row"))
+    chunk = F.pmod(F.xxhash64(*[F.col(c) for c in points.columns]), F.col("_chunks")).cast("int")
+    held = points.join(n, by).withColumn("_chunk", chunk).groupBy(by, "_chunk").agg(F.collect_list(row).alias("_rows"))
+
+    def leaf(p: F.Column, t: F.Column) -> F.Column:
+        def down(at: F.Column, _: F.Column) -> F.Column:
+            f = F.get(t["feat"], at)
+            return F.when(f < 0, at).when(F.get(p["x"], f) < F.get(t["thr"], at), F.get(t["left"], at)).otherwise(F.get(t["right"], at))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down)
+
+    length = lambda p: F.aggregate("_trees", F.lit(0.0), lambda a, t: a + F.get(t["length"], leaf(p, t)))
+    psi = F.col("_psi").cast("double")
+    usual = F.when(psi > 2, 2 * (F.log(psi - 1) + EULER_GAMMA) - 2 * (psi - 1) / psi).otherwise(F.lit(1.0))
+    lengths = F.transform("_rows", lambda p: F.struct(p["row"].alias("row"), length(p).alias("total")))
+    scored = held.join(copies, [by, "_chunk"]).select(F.size("_trees").alias("_n"), usual.alias("_c"), F.explode(lengths).alias("_p"))
+    return scored.select("_p.row.*", F.pow(F.lit(2.0), -F.col("_p.total") / F.col("_n") / F.col("_c")).alias("Score"))
+
+
+def anomaly_labels(scored: DataFrame) -> DataFrame:
+    """Replaces Score by AnomalyScore (-1 anomaly, above 0.5, or 1 normal), IsAnomaly and Score."""
+    label = F.when(F.col("Score") > 0.5, F.lit(-1)).otherwise(F.lit(1))
+    return scored.select(*[c for c in scored.columns if c != "Score"], label.alias("AnomalyScore"), (label == -1).alias("IsAnomaly"), "Score")
 
 
 def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATURES,
                      by: str = "session_id", key: Sequence[str] = LAP_ID, trees: int = 100,
                      max_samples: int = 256, seed: int = 42, min_rows: int = 8,
-                     chunk_rows: int = 50000) -> DataFrame:
+                     chunk_rows: int = 20_000) -> DataFrame:
     """ML4: isolation-forest anomalies per session on complete cases (sessions with fewer than
     ``min_rows`` rows are left out). Adds AnomalyScore (-1 anomaly / 1 normal, as the
     reference labels), IsAnomaly and Score (2^(-E[h]/c(psi)); automatic cut at 0.5)."""
     feats = present(laps, features)
     ensure_checkpoint_dir(laps.sparkSession)
     data = complete_cases(laps, feats)
-    # small per-session table, used by three branches: materialise it once
     n = data.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows).transform(materialize)
     data = data.join(n, by)
 
@@ -280,10 +428,9 @@ def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATU
             sub = sub.sort_values(list(key))
             rng = np.random.default_rng([seed, int(tree), zlib.crc32(str(sid).encode())])
             size_ = len(sub)
-            depth = int(math.ceil(math.log2(max(size_, 2))))
-            f, th, le, ri, sz = grow_tree(sub[list(feats)].to_numpy(float), rng, depth)
-            out.append((sid, int(tree), size_, f, th, le, ri, sz))
-        return pd.DataFrame(out, columns=[by, "tree", "psi", "feat", "thr", "left", "right", "size"])
+            f, th, le, ri, length = grow_tree(sub[list(feats)].to_numpy(float), rng, max_depth(size_))
+            out.append((sid, int(tree), size_, f, th, le, ri, length))
+        return pd.DataFrame(out, columns=[by, "tree", "psi", "feat", "thr", "left", "right", "length"])
 
     # the model (trees x <= 2 psi nodes per session) is trained once and kept in the shared
     # checkpoint folder; scoring then makes a single pass over the rows
@@ -291,39 +438,16 @@ def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATU
               .withColumn("_block", (F.col("tree") / F.lit(TREES_PER_GROUP)).cast("int"))
               .groupBy(by, "_block").applyInPandas(train, f"`{by}` {data.schema[by].dataType.simpleString()}, {TREE_FIELDS}").transform(materialize))
 
-    # 2. score in bounded (session, chunk) groups, each with a copy of its session's trees
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(chunk_rows)))).cast("int")
-    row = [*dict.fromkeys([by, *key, *feats])]
-    pts = data.select(*row, "_n").withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(c) for c in key]), chunks).cast("int")).drop("_n")
-    tree_copies = forest.join(n.select(by, chunks.alias("_chunks")), by).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
-    ids = [*dict.fromkeys([by, *key])]
-    out_schema = T.StructType([*[data.schema[c] for c in ids], T.StructField("Score", T.DoubleType())])
-
-    def score(p: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
-        if p.empty:
-            return pd.DataFrame(columns=[*ids, "Score"])
-        x = p[list(feats)].to_numpy(float)
-        total = np.zeros(len(p))
-        for r in tr.itertuples(index=False):
-            total += path_lengths(x, r.feat, r.thr, r.left, r.right, r.size)
-        psi_ = int(tr["psi"].iloc[0]) if len(tr) else 1
-        mean = total / max(len(tr), 1)
-        cn = float(average_path_length(np.array([psi_]))[0]) or 1.0
-        out = p[ids].copy()
-        out["Score"] = np.power(2.0, -mean / cn)
-        return out
-
-    # only the key and the features go through Python; the score joins back to the row
-    scored = (pts.groupBy(by, "_chunk").cogroup(tree_copies.groupBy(by, "_chunk")).applyInPandas(score, out_schema)
-              .groupBy(*ids).agg(F.first("Score").alias("Score")))
-    same = reduce(lambda a, b: a & b, [data[c].eqNullSafe(scored[c]) for c in ids])
-    scored = data.join(scored, same).select(*[data[c] for c in data.columns], scored["Score"])
-    label = F.when(F.col("Score") > 0.5, F.lit(-1)).otherwise(F.lit(1))
-    return scored.select(*laps.columns, label.alias("AnomalyScore"), (label == -1).alias("IsAnomaly"),
-                         "Score")
+    # 2. the engine scores whole rows
+    rows = data.select(*laps.columns)
+    return anomaly_labels(score_forest(rows, forest, feats, by=by, depth=max_depth(max_samples), chunk_rows=chunk_rows))
 
 
 def order_anomalies(df: DataFrame) -> DataFrame:
     """SL3: anomalies first (a sink-side sort)."""
     return df.orderBy(F.col("IsAnomaly").desc(), *LAP_ID)
+
+
+def ranked_anomalies(df: DataFrame) -> DataFrame:
+    """SL3 as a column: each row's Position, anomalies first."""
+    return with_position(df, F.col("IsAnomaly").desc(), *[F.col(c) for c in LAP_ID])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tracekit.operators import align as AL
 from tracekit.operators import clean as CL
@@ -66,9 +66,10 @@ def q_align_many(spark, sf):
 
 # ---------------------------------------------------------------- lap level (CL5-CL8, SE1-SE10, AG1-AG3)
 
+from tracekit.operators import order as OD  # noqa: E402
 from tracekit.operators import pace as PA  # noqa: E402
 from tracekit.operators import select as SE  # noqa: E402
-from tracekit.schemas import CLUSTER_FEATURES, LAP_TABLE_COLUMNS  # noqa: E402
+from tracekit.schemas import ANOMALY_FEATURES, CLUSTER_FEATURES, LAP_TABLE_COLUMNS  # noqa: E402
 
 # --- fixed query parameters ---
 FILTER_DRIVER = "13"
@@ -237,6 +238,28 @@ def q_available_drivers(spark, sf):
     return SE.available_drivers(laps_df(spark, sf))
 
 
+CLASSIFIED_SQL = """
+results AS (select session_id, position, case when position % 7 = 0 then null else Driver end Abbreviation from (
+  select session_id, Driver, cast(row_number() over (partition by session_id order by count(*) desc, Driver) as int) position
+  from laps where cast(session_id as int) % 2 = 0 and Driver is not null group by 1, 2))"""
+
+
+@query("available_drivers_classified", O.with_blocks(["laps"], """
+select session_id, cast(row_number() over (partition by session_id order by position) as int) position, Abbreviation Driver
+from results where Abbreviation is not null
+union all
+select session_id, cast(row_number() over (partition by session_id order by Driver) as int), Driver from (
+  select distinct session_id, Driver from laps where Driver is not null and session_id not in (select session_id from results where Abbreviation is not null))""",
+                                                      [CLASSIFIED_SQL]))
+def q_available_drivers_classified(spark, sf):
+    """Every second session has a classification (by laps driven), with gaps; the others fall back on their laps."""
+    laps = laps_df(spark, sf)
+    n = laps.filter("cast(session_id as int) % 2 = 0 and Driver is not null").groupBy("session_id", "Driver").count()
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("count"), "Driver"))
+    results = n.select("session_id", place.alias("position"), F.when(place % 7 != 0, F.col("Driver")).alias("Abbreviation"))
+    return SE.available_drivers(laps, results)
+
+
 def _round(df, cols):
     return df.select(*[F.round(c, ROUND).alias(c) if c in cols else F.col(c) for c in df.columns])
 
@@ -255,6 +278,26 @@ def q_consistency(spark, sf):
     return _round(PA.consistency(laps_df(spark, sf)), {"MeanLap", "MedianLap", "StdDev", "ConsistencyScore"})
 
 
+@query("consistency_ranked", f"""
+select *, row_number() over (order by session_id, BestLap nulls last, StdDev nulls last, Driver) AS "Position"
+from ({_consistency_sql("laps")})""")
+def q_consistency_ranked(spark, sf):
+    summary = PA.consistency(laps_df(spark, sf))
+    return PA.ranked_consistency(_round(summary, {"MeanLap", "MedianLap", "StdDev", "ConsistencyScore"}))
+
+
+@query("median_by_team", O.with_blocks(["laps"], f"""
+select Team, round(median(LapTimeSeconds), {ROUND}) MedianLap, min(LapTimeSeconds) BestLap,
+  quantile_disc(LapTimeSeconds, 0.9) SlowLap from laps where LapTimeSeconds is not null group by 1"""))
+def q_median_by_team(spark, sf):
+    """A few large groups: their order statistics take histogram passes."""
+    laps = laps_df(spark, sf)
+    n = F.col("n")
+    ranks = {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "BestLap": F.lit(0), "SlowLap": F.greatest(F.lit(0), F.ceil(n * F.lit(0.9)) - 1)}
+    out = OD.order_statistics(laps, ["Team"], "LapTimeSeconds", ranks)
+    return out.select("Team", F.round(F.col("low") + (F.col("high") - F.col("low")) * 0.5, ROUND).alias("MedianLap"), "BestLap", "SlowLap")
+
+
 def _stint_sql(where: str, laps: str = "laps") -> str:
     return O.with_blocks([laps], f"""
 select session_id, Driver, Stint, Compound, cast(count(*) as int) Laps, min(LapTimeSeconds) BestLap,
@@ -786,6 +829,33 @@ def q_contains_drivers(spark, sf):
     return ST.contains_drivers(prepared_index(spark, sf), requests_df(spark, sf))
 
 
+MANIFEST_REQ_SQL = """
+mreq AS (select session_id, Driver from req union all select session_id, null from req where cast(session_id as int) % 5 = 0
+         union all select 'none', 'A')"""
+
+
+@query("contains_drivers_in_manifests", O.with_blocks(["sel"], """
+select r.session_id, coalesce(cast(r.session_id as int) % 3 = 0 and r.session_id in (select session_id from meta)
+  and not exists (select 1 from mreq q where q.session_id = r.session_id and q.Driver is not null
+    and not exists (select 1 from meta m where m.session_id = q.session_id and m.driver = q.Driver)), false) AS "contains"
+from (select distinct session_id from mreq where session_id <> 'none') r
+union all select 'none', false""", [REQ_SQL, META_SQL, MANIFEST_REQ_SQL]))
+def q_contains_drivers_in_manifests(spark, sf):
+    """JSON manifests of every prepared session: a third good, a third broken off, a third of another version."""
+    index = prepared_index(spark, sf)
+    kind = F.col("session_id").cast("int") % 3
+    lap = F.struct(*[c for c in index.columns if c not in ("session_id", "position")])
+    docs = index.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("position", lap.alias("lap")))).alias("l"))
+    text = F.to_json(F.struct(F.when(kind == 2, 2).otherwise(1).alias("dataset_version"), F.lit(10).alias("frequency_hz"), F.col("l.lap").alias("laps")))
+    root = _scratch(spark, "manifests")
+    cut = F.when(kind == 1, F.substr(text, F.lit(1), F.length(text) - 9)).otherwise(text)
+    docs.select("session_id", cut.alias("value")).repartition("session_id").write.partitionBy("session_id").text(root)
+    asked = requests_df(spark, sf).select("session_id", "Driver")
+    more = asked.where("cast(session_id as int) % 5 = 0").select("session_id", F.lit(None).cast("string").alias("Driver"))
+    asked = asked.unionByName(more).unionByName(spark.createDataFrame([("none", "A")], asked.schema))
+    return ST.manifests_contain(ST.read_manifests(spark, root), asked)
+
+
 @query("validate_sessions", O.with_blocks(["laps", "samples"], """
 select r.session_id, coalesce(l.n, 0) lap_count, coalesce(s.n, 0) sample_count,
   coalesce(l.n, 0) > 0 and coalesce(s.n, 0) > 0 is_valid,
@@ -981,3 +1051,74 @@ def q_feed_cluster(spark, sf):
 @query("detect_anomalies")
 def q_detect_anomalies(spark, sf):
     return ML.detect_anomalies(laps_df(spark, sf))
+
+
+FIXED_CENTRES = [f"""
+cen AS (select session_id, cast(Stint - 1 as int) cluster,
+          {', '.join(f'round(avg(z_{c}), {ROUND}) f{i}' for i, c in enumerate(CLUSTER_FEATURES))}
+        from z group by 1, 2)"""]
+
+
+@query("feed_cluster_fixed", O.with_blocks(["laps"], f"""
+select session_id, LapNumber, LapTimeSeconds, cluster Cluster, Driver, Compound, TyreLife from (
+  select z.*, c.cluster, row_number() over (partition by z.session_id, z.Driver, z.LapNumber order by
+      {' + '.join(f'(z.z_{c} - c.f{i}) * (z.z_{c} - c.f{i})' for i, c in enumerate(CLUSTER_FEATURES))}, c.cluster) rn
+  from z join cen c using (session_id)) where rn = 1""", [Z_SQL, *FIXED_CENTRES]))
+def q_feed_cluster_fixed(spark, sf):
+    """The cluster feed with the centroids of the stints, which no random stream decides."""
+    z = z_df(spark, sf)
+    cen = z.groupBy("session_id", (F.col("Stint") - 1).cast("int").alias("cluster")).agg(
+        *[F.round(F.avg(c), ROUND).alias(f"f{i}") for i, c in enumerate(ZCOLS)]).transform(materialize)
+    return FD.cluster_feed(ML.assign_clusters(z, cen, ZCOLS))
+
+
+# --- fixed query parameters: trees whose splits are a feature's session mean plus some of its deviations ---
+FOREST_TREES, FOREST_DEPTH, FOREST_PSI = 4, 3, 8
+# --- end of fixed query parameters ---
+NODES = 2 ** (FOREST_DEPTH + 1) - 1
+FOREST_SQL = [f"""
+fstats AS (select session_id, {', '.join(f'round(avg({c}), {ROUND}) m{i}, round(stddev_pop({c}), {ROUND}) s{i}' for i, c in enumerate(ANOMALY_FEATURES))}
+           from laps where {" and ".join(f"{c} is not null" for c in ANOMALY_FEATURES)} group by 1)""", f"""
+forest AS (select session_id, t.t tree, n.n node, case when n.n < {NODES // 2} then (t.t + n.n) % {len(ANOMALY_FEATURES)} else -1 end feat,
+    round([{', '.join(f'm{i}' for i in range(len(ANOMALY_FEATURES)))}][1 + (t.t + n.n) % {len(ANOMALY_FEATURES)}]
+      + (((t.t * 5 + n.n * 3) % 7) - 3) * 0.7::double * [{', '.join(f's{i}' for i in range(len(ANOMALY_FEATURES)))}][1 + (t.t + n.n) % {len(ANOMALY_FEATURES)}], {ROUND}) thr,
+    2 * n.n + 1 AS "left", 2 * n.n + 2 AS "right", {FOREST_DEPTH} + (n.n % 5) * 0.25::double length
+  from fstats, range({FOREST_TREES}) t(t), range({NODES}) n(n))""", f"""
+walk AS (select session_id, Driver, LapNumber, [{', '.join(ANOMALY_FEATURES)}] x, t.t tree, 0 node
+    from laps join (select distinct session_id from fstats) using (session_id), range({FOREST_TREES}) t(t) where {" and ".join(f"{c} is not null" for c in ANOMALY_FEATURES)}
+  union all
+  select w.session_id, w.Driver, w.LapNumber, w.x, w.tree, case when w.x[1 + f.feat] < f.thr then f."left" else f."right" end
+    from walk w join forest f on f.session_id = w.session_id and f.tree = w.tree and f.node = w.node where f.feat >= 0)""", f"""
+scored AS (select w.session_id, w.Driver, w.LapNumber, round(pow(2.0::double, -(sum(f.length) / {FOREST_TREES})
+    / (2 * (ln({FOREST_PSI} - 1.0::double) + 0.5772156649015329::double) - 2 * ({FOREST_PSI} - 1.0::double) / {FOREST_PSI})), {ROUND}) Score
+  from walk w join forest f on f.session_id = w.session_id and f.tree = w.tree and f.node = w.node where f.feat < 0 group by 1, 2, 3)"""]
+
+
+def fixed_forest(spark, sf):
+    """(laps with all features, forest): the nodes of ``FOREST_SQL``."""
+    laps = ML.lap_features(laps_df(spark, sf), ANOMALY_FEATURES).select("session_id", "Driver", "LapNumber", *ANOMALY_FEATURES)
+    stats = laps.groupBy("session_id").agg(*[f(c).alias(f"{x}{i}") for i, c in enumerate(ANOMALY_FEATURES) for x, f in
+                                             (("m", lambda c: F.round(F.avg(c), ROUND)), ("s", lambda c: F.round(F.stddev_pop(c), ROUND)))])
+    t, n, k = F.col("tree"), F.col("node"), len(ANOMALY_FEATURES)
+    at = ((t + n) % k).cast("int")
+    of = lambda x: F.get(F.array(*[F.col(f"{x}{i}") for i in range(k)]), at)
+    nodes = stats.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(FOREST_TREES - 1)))).withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(NODES - 1))))
+    thr = F.round(of("m") + ((t * 5 + n * 3) % 7 - 3) * F.lit(0.7) * of("s"), ROUND)
+    nodes = nodes.select("session_id", "tree", F.lit(FOREST_PSI).alias("psi"), "node", F.when(n < NODES // 2, at).otherwise(-1).alias("feat"), thr.alias("thr"),
+                         (2 * n + 1).alias("left"), (2 * n + 2).alias("right"), (FOREST_DEPTH + (n % 5) * F.lit(0.25)).alias("length"))
+    return laps, ML.forest_from_nodes(nodes)
+
+
+@query("score_forest", O.with_blocks(["laps"], "select * from scored", FOREST_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_score_forest(spark, sf):
+    scored = ML.score_forest(*fixed_forest(spark, sf), ANOMALY_FEATURES, depth=FOREST_DEPTH)
+    return scored.select("session_id", "Driver", "LapNumber", F.round("Score", ROUND).alias("Score"))
+
+
+@query("anomalies_ranked", O.with_blocks(["laps"], """
+select *, row_number() over (order by IsAnomaly desc, session_id, Driver, LapNumber) AS "Position" from (
+  select session_id, Driver, LapNumber, case when Score > 0.5 then -1 else 1 end AnomalyScore, Score > 0.5 IsAnomaly, Score from scored)""",
+                                         FOREST_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_anomalies_ranked(spark, sf):
+    scored = ML.anomaly_labels(q_score_forest(spark, sf))
+    return ML.ranked_anomalies(scored)

@@ -65,7 +65,7 @@ def save_lap_index(root: str, lap_index: DataFrame) -> str:
 
 def save_corners(root: str, corners: DataFrame) -> str:
     """Corners keyed by session, alone."""
-    kept = materialize(corners.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CORNERS.fields]))
+    kept = materialize(_corners_by_session(corners, corners))
     snapshots.save(kept.sparkSession, root, {"corners": (kept, ("Number", "Letter"))}, kept)
     return root
 
@@ -166,6 +166,41 @@ def lap_index_from_manifests(spark: SparkSession, path: str) -> DataFrame:
         F.col("lap.sector3").alias("sector3"))
 
 
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, status, drivers array<string>) of JSON manifests, one document in a folder for each session.
+
+    The folder's name is the session. ``status`` is ok, unsupported (another dataset version, or none) or unreadable
+    (not JSON); drivers are null unless it is ok. No manifest fails the job. An empty file has no row.
+    """
+    known = T.StructType([T.StructField("dataset_version", T.DoubleType()),
+                          T.StructField("laps", T.ArrayType(T.StructType([T.StructField("driver", T.StringType())]))),
+                          T.StructField("_corrupt", T.StringType())])
+    raw = (spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(known)
+           .json(path).select("*", F.col("_metadata.file_path").alias("_file")))
+    session = F.url_decode(F.regexp_extract("_file", r"([^/=]+)/[^/]+$", 1))
+    status = (F.when(F.col("_corrupt").isNotNull(), "unreadable")
+              .when(F.coalesce(F.col("dataset_version") == DATASET_VERSION, F.lit(False)), "ok").otherwise("unsupported"))
+    rows = raw.select(session.alias("session_id"), status.alias("status"), "laps")
+    drivers = F.coalesce(F.col("laps.driver"), F.array().cast("array<string>"))
+    return rows.select("session_id", "status", F.when(F.col("status") == "ok", drivers).alias("drivers"))
+
+
+def manifests_contain(manifests: DataFrame, requests: DataFrame) -> DataFrame:
+    """IO9 over JSON manifests: (session_id, contains) for each requested session.
+
+    False where the manifest is missing, unreadable or unsupported, or lacks a requested driver; a session requested with no
+    driver (null Driver) only needs a good manifest.
+    """
+    good = manifests.where("status = 'ok'").select("session_id", "drivers")
+    have = good.select("session_id", F.explode_outer("drivers").alias("driver")).distinct()
+    asked = requests.select("session_id", "Driver").distinct()
+    wanted = asked.where("Driver is not null")
+    on = (wanted.session_id == have.session_id) & (wanted.Driver == have.driver)
+    lacking = wanted.join(have, on, "left_anti").select("session_id").distinct()
+    ok = good.select("session_id").distinct().join(lacking, "session_id", "left_anti").withColumn("_ok", F.lit(True))
+    return asked.select("session_id").distinct().join(ok, "session_id", "left").select("session_id", F.coalesce("_ok", F.lit(False)).alias("contains"))
+
+
 def lap_index_from_selection(meta: DataFrame, sectors: DataFrame) -> DataFrame:
     """Lap index rows from selected-lap metadata and their sector table."""
     sec = sectors.select("session_id", F.col("Driver").alias("driver"), F.col("Lap").alias("lap_number"),
