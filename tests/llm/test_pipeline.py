@@ -87,7 +87,7 @@ def test_run_is_registered(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in __spark_entry__.oracle_sql()
-    assert {n.partition("_")[0] for n in Q} == {f"op{i}" for i in range(1, 11)}
+    assert {n.partition("_")[0] for n in Q} == {f"op{i}" for i in range(1, 14)}
     assert corpus_pipeline.run(spark, SF).count() > 100
 
 

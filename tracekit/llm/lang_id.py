@@ -17,7 +17,7 @@ send to each task. If there are more, each language has an equal share of it for
 does not need goes to the others), ties by entry, so that a frequent language does not displace a rare one's.
 
 Defined results: null text or text without a letter gives ``und`` and 0.0, as does every text when
-nothing was learned; null languages are not learned from; repeated rows count as often as they occur.
+nothing was learned; a text whose letters the model has never seen gets the language of most words and 0.0; null languages are not learned from; repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tracekit.llm.common import forget_worker_state, settle, ship, slices
+from tracekit.llm.common import forget_worker_state, release, settle, ship, slices
 
 ship(__name__)
 
@@ -46,9 +48,23 @@ COUNTED = 200_000  # distinct words a task holds before it hands on their counts
 
 @dataclass
 class Model:
+    """Log frequencies as Arrow and NumPy columns, which are small on the driver; tasks look entries up in dictionaries."""
+
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: list[dict[str, tuple[float, ...]]]  # by length, from 1
+    tables: list[tuple[pa.Array, np.ndarray]]  # entries and a row for each: of words, then of n-grams by length, from 1
+    common: str | None = None  # the language of most words
+
+    @cached_property
+    def words(self) -> dict[str, tuple[float, ...]]:
+        return _lookup(*self.tables[0])
+
+    @cached_property
+    def grams(self) -> list[dict[str, tuple[float, ...]]]:
+        return [_lookup(*t) for t in self.tables[1:]]
+
+
+def _lookup(entries: pa.Array, rows: np.ndarray) -> dict[str, tuple[float, ...]]:
+    return dict(zip(entries.to_pylist(), map(tuple, rows.tolist())))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +110,8 @@ def shares(sizes: dict[str, int], limit: int) -> dict[str, int]:
     return out
 
 
-def _most_frequent(counts: DataFrame, entry: str, limit: int) -> list:
-    """The most frequent entries of each language, at most ``limit`` together, with their counts by language.
+def _most_frequent(counts: DataFrame, entry: str, limit: int, languages: list[str]) -> pa.Table:
+    """(entry, counts by language) of the most frequent entries of each language, at most ``limit`` together.
 
     The order within a language is that of relative frequency; nothing beyond the limit reaches the driver.
     """
@@ -107,16 +123,17 @@ def _most_frequent(counts: DataFrame, entry: str, limit: int) -> list:
         # the constant bound lets each task drop what cannot be among the first
         kept = counts.withColumn("rank", rank).where((F.col("rank") <= limit) & (F.col("rank") <= share[F.col("lang")]))
         rows = rows.join(kept.select(entry).distinct(), entry)
-    return rows.select(F.col(entry).alias("entry"), "by").orderBy("entry").collect()
+    every = F.array(*map(F.lit, languages)).cast("array<string>")
+    return rows.select(F.col(entry).alias("entry"), F.transform(every, lambda x: F.coalesce(F.col("by")[x], F.lit(0))).alias("n")).orderBy("entry").toArrow()
 
 
-def _log_table(rows: list, languages: list[str], totals: dict[str, int]) -> dict[str, tuple[float, ...]]:
+def _log_table(rows: pa.Table, languages: list[str], totals: dict[str, int]) -> tuple[pa.Array, np.ndarray]:
     total = np.array([max(1, totals.get(x, 0)) for x in languages], np.float64)
-    counts = np.array([[r["by"].get(x, 0) for x in languages] for r in rows], np.float64).reshape(len(rows), len(languages))
+    counts = pc.list_flatten(rows["n"]).to_numpy().astype(np.float64).reshape(rows.num_rows, len(languages))
     with np.errstate(divide="ignore"):
         logs = np.log(counts / total)
     floor = logs[np.isfinite(logs)].min(initial=0.0) - PENALTY
-    return dict(zip((r["entry"] for r in rows), map(tuple, np.where(np.isfinite(logs), logs, floor).tolist())))
+    return rows["entry"].combine_chunks(), np.where(np.isfinite(logs), logs, floor)
 
 
 def train(docs: DataFrame, *, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, longest: int = LONGEST) -> Model:
@@ -124,13 +141,13 @@ def train(docs: DataFrame, *, max_words: int = MAX_WORDS, max_grams: int = MAX_G
     words = settle(word_counts(docs))
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals, key=lambda x: x.encode())
-    table = _log_table(_most_frequent(words, "word", max_words), languages, totals)
-    grams = []
+    tables = [_log_table(_most_frequent(words, "word", max_words, languages), languages, totals)]
     for length in range(1, longest + 1):
         counts = settle(gram_counts(words, length))
         sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        grams.append(_log_table(_most_frequent(counts, "gram", max_grams), languages, sums))
-    return Model(languages, table, grams)
+        tables.append(_log_table(_most_frequent(counts, "gram", max_grams, languages), languages, sums))
+    release(docs.sparkSession)
+    return Model(languages, tables, max(languages, key=totals.get, default=None))
 
 
 def score_word(model: Model, word: str) -> tuple[float, ...] | None:
@@ -172,7 +189,7 @@ class Scorer:
         rows = self.scores[at]
         rows = rows[~np.isnan(rows[:, 0])]
         if not len(rows):
-            return UNKNOWN, 0.0
+            return self.model.common, 0.0
         mean = rows.mean(0)
         best = int(mean.argmax())
         return self.model.languages[best], float(len(rows) / len(words) / np.exp(mean - mean[best]).sum())
@@ -194,12 +211,12 @@ def _identified(shared):
         forget_worker_state()
         score = Scorer(Model(*shared.value))
         for part in slices(batches):
-            yield part.filter(pa.array([score(t)[0] != UNKNOWN for t in part.column("text").to_pylist()], pa.bool_()))
+            yield part.filter(pa.array([score(t)[1] > 0 for t in part.column("text").to_pylist()], pa.bool_()))
     return run
 
 
 def _sent(docs: DataFrame, model: Model):
-    return docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))
+    return docs.sparkSession.sparkContext.broadcast((model.languages, model.tables, model.common))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
