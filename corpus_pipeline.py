@@ -22,30 +22,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near duplicates, and one row of repeated ones."""
+    """Keeps the document of the smallest id of each group of near duplicates, and one row of each repeated (doc_id, text).
+
+    Rows without an id are in no group and stay; different texts under one kept id stay; columns besides doc_id and text
+    only decide which of several repeated rows stays (the least).
+    """
     judged = near_dedup.near_duplicates(docs)
     gone = judged.where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     again = judged.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
     if again.isEmpty():
         return left.select(*docs.columns)
-    row = Window.partitionBy("doc_id").orderBy("text")
-    once = left.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(row)).where("_row = 1")
+    place = "_".join(["place", *docs.columns])  # no column has this name
+    row = Window.partitionBy("doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    once = left.join(again, "doc_id", "left_semi").withColumn(place, F.row_number().over(row)).where(F.col(place) == 1)
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
+    """Drops documents that contain a benchmark item (80 % of its five-word shingles); null and empty texts contain none."""
     return contamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix asks for: not at all, once or twice."""
+    """Takes each document as often as the mix asks for: not at all, once or twice.
+
+    Null sources are a source; blank documents have no words and get their source's certain copies; repeated rows are rows.
+    """
     return mix.mixed_documents(docs).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns each document's digest, read back from them."""
+    """Writes the token files and returns each document's digest, read back from them.
+
+    Null texts are empty; the order is that of doc_id (null first), then text; columns besides doc_id and text are not read.
+    """
     path = shared_dir(spark, f"tokens-{uuid.uuid4().hex}")
     token_files.write_token_files(docs, tokenizer_file(), path)
     return token_files.read_token_digests(spark, path)
