@@ -46,6 +46,9 @@ def test_round_trip(spark, tmp_path):
     delta = out["pairs"].orderBy("grid_index").collect()
     assert [r["DeltaSeconds"] for r in delta] == [0.0, 1.0, 2.0]
     assert [r["Driver"] for r in out["sectors"].orderBy("position").collect()] == ["VER", "LEC"]
+    ST.save_prepared(root, laps=laps, samples=samples, lap_index=idx, frequency_hz=10, segments=True)
+    again = CP.compare_prepared(back, ST.read_lap_samples(spark, root), req, points=3, segments=ST.read_segments(spark, root))
+    assert sorted(again["pairs"].select(*out["pairs"].columns).collect()) == sorted(out["pairs"].collect())
     assert ST.read_laps(spark, root, ["2024_italian_grand_prix_q"]).count() == 3
     assert ST.read_laps(spark, root, ["nope"]).count() == 0
     assert ST.read_sessions(spark, root).first()["dataset_version"] == 1

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tracekit.operators import align as AL
 from tracekit.operators import clean as CL
+from tracekit.operators import segments as SG
 from tracekit.plans import oracle as O
+from tracekit.schemas import DEFAULT_GRID_POINTS
 from tracekit.sources import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +66,20 @@ def q_align_many(spark, sf):
                          channels=MANY_CHANNELS, points=GRID_POINTS, lap_dom=dom)
 
 
+@query("align_pair_full", O.align_sql(mode="pairs", channels=PAIR_CHANNELS, points=DEFAULT_GRID_POINTS))
+def q_align_pair_full(spark, sf):
+    """All pairs at the default number of points and with all channels, over a segment index."""
+    s, dom = cleaned_with_domain(spark, sf)
+    return SG.align_pairs_indexed(SG.segment_index(s, channels=PAIR_CHANNELS), AL.pairs_by_reference(dom), channels=PAIR_CHANNELS, lap_dom=dom)
+
+
+@query("align_many_full", O.align_sql(mode="many", channels=PAIR_CHANNELS, points=DEFAULT_GRID_POINTS))
+def q_align_many_full(spark, sf):
+    s, dom = cleaned_with_domain(spark, sf)
+    return SG.align_indexed(SG.segment_index(s, channels=PAIR_CHANNELS), dom, group_keys=["session_id", "lap_number"], member_keys=["driver"],
+                            channels=PAIR_CHANNELS, lap_dom=dom)
+
+
 # ---------------------------------------------------------------- lap level (CL5-CL8, SE1-SE10, AG1-AG3)
 
 from tracekit.operators import order as OD  # noqa: E402
@@ -536,8 +552,8 @@ lpairs AS (select m.session_id, r.driver ref_driver, r.lap_number ref_lap, m.dri
   where m.position <> r.position)"""]
 
 
-def _cmp_sql(body: str, extra: list[str] | None = None) -> str:
-    ctes = CMP_SQL + O.align_ctes(mode="lappairs", channels=DELTA_CHANNELS, points=GRID_POINTS) + (extra or [])
+def _cmp_sql(body: str, extra: list[str] | None = None, *, channels=DELTA_CHANNELS, points: int = GRID_POINTS) -> str:
+    ctes = CMP_SQL + O.align_ctes(mode="lappairs", channels=channels, points=points) + (extra or [])
     return O.with_blocks(["sel", "clean"], body, ctes)
 
 
@@ -752,14 +768,14 @@ def prepared_laps(spark, sf):
     return sel, ST.lap_index_from_selection(SE.lap_metadata(fsel), SE.sector_table(fsel, sel))
 
 
-def prepared_store(spark, sf):
+def prepared_store(spark, sf, segments=False):
     """Prepare a dataset from the fastest requested laps (the CLI's prepare-session step)."""
     sel, idx = prepared_laps(spark, sf)
     idx = materialize(idx)
     picked = A.samples(spark, sf).join(idx.select("session_id", "driver", "lap_number"),
                                        ["session_id", "driver", "lap_number"], "left_semi")
     return ST.save_prepared(_scratch(spark, "prepared"), laps=sel, samples=CL.clean_samples(picked), lap_index=idx,
-                            corners=A.corners(spark, sf), frequency_hz=10)
+                            corners=A.corners(spark, sf), frequency_hz=10, segments=segments)
 
 
 def prepared_index(spark, sf):
@@ -933,6 +949,17 @@ def q_compare_prepared(spark, sf):
     return out["pairs"]
 
 
+@query("compare_prepared_full", _cmp_sql("select * from aligned", points=DEFAULT_GRID_POINTS, channels=PAIR_CHANNELS))
+def q_compare_prepared_full(spark, sf):
+    """Prepared laps compared at the default number of points, all channels, from the stored segment index."""
+    root = SN.latest(spark, prepared_store(spark, sf, segments=True))
+    idx = ST.read_lap_index(spark, root)
+    asked = requests_df(spark, sf).join(idx.select("session_id", F.col("driver").alias("Driver")), ["session_id", "Driver"], "left_semi")
+    enough = asked.groupBy("session_id").agg(F.count("*").alias("n")).filter("n >= 2")
+    return CP.compare_prepared(idx, ST.read_lap_samples(spark, root), asked.join(enough, "session_id", "left_semi"), channels=PAIR_CHANNELS,
+                               segments=ST.read_segments(spark, root))["pairs"]
+
+
 @query("read_sessions", O.with_blocks(["sel"], """
 select distinct session_id, 1 dataset_version, 10 frequency_hz from meta""", [REQ_SQL, META_SQL]))
 def q_read_sessions(spark, sf):

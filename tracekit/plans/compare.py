@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tracekit.operators import align as AL
 from tracekit.operators import insights as IN
+from tracekit.operators import segments as SG
 from tracekit.operators import select as SE
 from tracekit.operators.clean import clean_samples
 from tracekit.schemas import DEFAULT_COMPARISON_CHANNELS, DEFAULT_GRID_POINTS
@@ -32,7 +33,7 @@ def reference_pairs(meta: DataFrame) -> DataFrame:
 def compare_laps(meta: DataFrame, samples: DataFrame, *, laps: DataFrame | None = None,
                  sectors: DataFrame | None = None,
                  channels: Sequence[str] = DEFAULT_COMPARISON_CHANNELS,
-                 points: int = DEFAULT_GRID_POINTS, raw: bool = False) -> dict[str, DataFrame]:
+                 points: int = DEFAULT_GRID_POINTS, raw: bool = False, segments: DataFrame | None = None) -> dict[str, DataFrame]:
     """Align selected laps (``meta``: session_id, driver, lap_number, lap_time_seconds, team,
     compound, stint, position) per session and derive sectors and insights. ``raw`` samples
     are cleaned, of the selected laps only."""
@@ -40,10 +41,16 @@ def compare_laps(meta: DataFrame, samples: DataFrame, *, laps: DataFrame | None
     # selected first, then (for raw samples) cleaned, once for all that follows
     samples = samples.join(meta.select(*lap_keys), lap_keys, "left_semi")
     samples = materialize(clean_samples(samples) if raw else samples)
-    aligned = AL.align_many(samples, meta.select(*lap_keys), group_keys=["session_id"],
-                            member_keys=["driver"], channels=channels, points=points)
-    pairs = AL.align_pairs(samples, reference_pairs(meta), pair_keys=PAIR_BY_SESSION,
-                           channels=channels, points=points)
+    if segments is None:
+        aligned = AL.align_many(samples, meta.select(*lap_keys), group_keys=["session_id"],
+                                member_keys=["driver"], channels=channels, points=points)
+        pairs = AL.align_pairs(samples, reference_pairs(meta), pair_keys=PAIR_BY_SESSION,
+                               channels=channels, points=points)
+    else:
+        aligned = SG.align_indexed(segments, meta.select(*lap_keys), group_keys=["session_id"],
+                                   member_keys=["driver"], channels=channels, points=points)
+        pairs = SG.align_pairs_indexed(segments, reference_pairs(meta), pair_keys=PAIR_BY_SESSION,
+                                       channels=channels, points=points)
     two = meta.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 2")
     delta = (IN.final_delta(pairs, group_keys=PAIR_BY_SESSION).join(two, "session_id", "left_semi")
              if "DeltaSeconds" in pairs.columns else None)
@@ -76,10 +83,11 @@ def compare_fastest_laps(laps: DataFrame, samples: DataFrame, requests: DataFram
 
 def compare_prepared(lap_index: DataFrame, samples: DataFrame, requests: DataFrame, *,
                      channels: Sequence[str] = DEFAULT_COMPARISON_CHANNELS,
-                     points: int = DEFAULT_GRID_POINTS) -> dict[str, DataFrame]:
+                     points: int = DEFAULT_GRID_POINTS, segments: DataFrame | None = None) -> dict[str, DataFrame]:
     """AL7: comparison read back from a prepared dataset: requested drivers looked up in the
     lap index, their stored samples aligned, sectors from the index (SE8), insights.
 
+    With the stored ``segments`` the alignments read these instead of cutting the samples into cells for each comparison.
     Raises ValueError if a requested driver is not prepared or a session is asked for fewer than two.
     """
     missing = [f"{r.session_id}/{r.Driver}" for r in missing_drivers(lap_index, requests).limit(10).collect()]
@@ -95,7 +103,7 @@ def compare_prepared(lap_index: DataFrame, samples: DataFrame, requests: DataFra
     meta = idx.select("session_id", "driver", "lap_number", "lap_time_seconds", "team", "compound",
                       "stint", F.col("_req_pos").alias("position"))
     sectors = SE.sector_table_prepared(idx.drop("position").withColumnRenamed("_req_pos", "position"))
-    return compare_laps(meta, samples, sectors=sectors, channels=channels, points=points)
+    return compare_laps(meta, samples, sectors=sectors, channels=channels, points=points, segments=segments)
 
 
 def build_report(comparison: dict[str, DataFrame], lap_samples: DataFrame, laps: DataFrame,

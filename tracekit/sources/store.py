@@ -5,6 +5,7 @@ A prepared dataset is a folder of session tables (``sources/snapshots.py``: hash
     laps        lap table (LAPS schema)
     corners     corners of each session's circuit
     samples     cleaned samples of the selected laps
+    segments    their segment index (operators/segments.py), which comparisons read
     lap_index   one row per selected lap, in request order (replaces the JSON lap list)
     sessions    dataset_version, generated_at, request, frequency_hz
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from tracekit.functions import scalars as S
+from tracekit.operators.segments import segment_index
 from tracekit.schemas import CORNERS, DATASET_VERSION, LAP_INDEX, LAPS, MANIFEST
 from tracekit.session import materialize
 from tracekit.sources import snapshots
@@ -72,11 +74,11 @@ def save_corners(root: str, corners: DataFrame) -> str:
 
 def save_prepared(root: str, *, laps: DataFrame, samples: DataFrame, lap_index: DataFrame,
                   corners: DataFrame | None = None, sessions: DataFrame | None = None,
-                  frequency_hz: int = 10) -> str:
+                  frequency_hz: int = 10, segments: bool = False) -> str:
     """IO5: save a prepared dataset of every session that the laps, the lap index or ``sessions`` name.
 
     All tables change at once, and hold nothing older of these sessions. ``samples`` are cleaned samples; only those of
-    laps in ``lap_index`` are kept. ``sessions`` optionally carries (session_id, year, grand_prix, session_type).
+    laps in ``lap_index`` are kept, with ``segments`` also their segment index. ``sessions`` optionally carries (session_id, year, grand_prix, session_type).
     """
     spark = laps.sparkSession
     lap_index = materialize(lap_index.select(*[f.name for f in LAP_INDEX.fields]))  # four tables are written from it
@@ -96,6 +98,8 @@ def save_prepared(root: str, *, laps: DataFrame, samples: DataFrame, lap_index:
     picked = samples.join(lap_index.select(*keys), keys, "left_semi")
     tables = {"samples": (picked, ("driver", "lap_number", "Distance")), "laps": (laps, ("Driver", "LapNumber")),
               "lap_index": (lap_index, ("position",)), "sessions": (meta, ())}
+    if segments:
+        tables["segments"] = (segment_index(picked), ("driver", "lap_number", "x0"))
     if corners is not None:
         tables["corners"] = (_corners_by_session(corners, lap_index), ("Number", "Letter"))
     snapshots.save(spark, root, tables, named)
@@ -148,6 +152,11 @@ def read_lap_samples(spark: SparkSession, root: str | Snapshot, lap_index: DataF
     return stored.join(lap_index.select(*keys), keys, "left_semi")
 
 
+def read_segments(spark: SparkSession, root: str | Snapshot, sessions: Sequence[str] | None = None) -> DataFrame:
+    """The stored segment index of the selected laps, of all or the given sessions."""
+    return snapshots.read(spark, _snapshot(spark, root), "segments", None, sessions)
+
+
 def lap_index_from_manifests(spark: SparkSession, path: str) -> DataFrame:
     """IO4: read JSON manifests (one multi-line document per file) into lap index rows.
 
