@@ -79,6 +79,32 @@ def test_pareto_order(spark):
             i: math.floor(min(2.0, p._c * c[i])) + (i in extra) for i in c if "ab"[i % 2] == s}
 
 
+def test_unequal_odds_near_and_at_the_ceiling(spark):
+    """Sources that are taken whole twice, nearly so, and once; long documents are taken more often than short ones."""
+    rows = [(i, "w " * (150 if i % 3 else 20), s) for s, k in (("a", 40), ("b", 900), ("c", 300), ("d", 3)) for i in range(hash_start(s), hash_start(s) + k)]
+    rows += [(90_000, None, "blank"), (90_001, " ", "blank")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("odds", mix.length_odds())
+    got = mix.mixture(df, weight="odds").collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in got:
+        sizes[r.source] += r.size
+        taken[r.source] += r.copies * r.size
+        assert 0 <= r.copies <= 2
+    want = water(sizes)
+    assert any(want[s] == 2 * sizes[s] > 0 for s in sizes)
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 150
+        if want[s] == 2 * sizes[s] > 0:
+            assert taken[s] == want[s]
+    mean = lambda of: sum(r.copies for r in of) / len(of)
+    free = [r for r in got if want[r.source] < 1.5 * sizes[r.source]]
+    assert mean([r for r in free if r.size == 150]) > 1.3 * mean([r for r in free if r.size == 20])
+
+
+def hash_start(source):
+    return 1000 * ("abcd".index(source) + 1)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix.mixture(df).count() == 0 and mix.mixed_documents(df).count() == 0

@@ -31,6 +31,8 @@ WEIGHTS = (3, 1, 2)
 CELLS = 1024
 BROADCAST_SOURCES = 100_000
 MAX_ROUNDS = 1000
+WHOLE = 1e300
+LONG_WORDS, LONG_ODDS, SHORT_ODDS = 100, 1.25, 0.75
 
 
 def uniform(doc_id: str = "doc_id") -> Column:
@@ -86,6 +88,11 @@ def _ranked(rows: DataFrame, ceiling: int) -> DataFrame:
     return rows.withColumn("_v", F.when(p > 0, v))
 
 
+def length_odds(text: str = "text") -> Column:
+    """The query's relative inclusion odds: texts of ``LONG_WORDS`` words or more are favoured over shorter ones."""
+    return F.when(count_words(text) >= LONG_WORDS, F.lit(LONG_ODDS)).otherwise(F.lit(SHORT_ODDS))
+
+
 def _prepared(docs: DataFrame, weight: str | None) -> DataFrame:
     return docs.withColumns({"size": count_words("text"), "_u": uniform(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63)),
                              "_weight": F.col(weight).cast("double") if weight else F.lit(1.0)})
@@ -95,7 +102,8 @@ def _solve(base: DataFrame, plan: DataFrame, ceiling: int, weighted: bool) -> Da
     """Adds _c: sum of size * min(ceiling, c * weight) is the target, source by source."""
     if not weighted:
         return plan.withColumn("_c", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    plan = plan.withColumn("_c", F.lit(0.0))
+    # a source that is to be taken whole as often as allowed has no finite c
+    plan = plan.withColumn("_c", F.when((F.col("source_size") > 0) & (F.col("target") >= ceiling * F.col("source_size")), F.lit(WHOLE)).otherwise(0.0))
     last = None
     for _ in range(MAX_ROUNDS):  # each round fixes at least one more document's copies at the ceiling
         at = F.col("_c") * F.col("_weight") >= ceiling
@@ -103,7 +111,8 @@ def _solve(base: DataFrame, plan: DataFrame, ceiling: int, weighted: bool) -> Da
                 .agg(F.coalesce(F.sum(F.when(at, F.col("size"))), F.lit(0)).alias("_full"),
                      F.sum(F.when(~at, F.col("size") * F.col("_weight"))).alias("_open")))
         plan = settle(_by_source(plan.drop("_c", "_full"), sums)
-                      .withColumn("_c", F.when(F.col("_open") > 0, (F.col("target") - ceiling * F.col("_full")) / F.col("_open")).otherwise(0.0)).drop("_open"))
+                      .withColumn("_c", F.when(F.col("_open") > 0, (F.col("target") - ceiling * F.col("_full")) / F.col("_open"))
+                                  .otherwise(F.when(F.col("_full") > 0, F.lit(WHOLE)).otherwise(0.0))).drop("_open"))
         now = plan.agg(F.sum("_full")).first()[0]
         if now == last:
             return plan.drop("_full")

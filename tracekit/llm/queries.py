@@ -61,7 +61,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix.mixture(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = mix.mixture(docs.withColumn("odds", mix.length_odds()), weight="odds")
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -137,11 +138,16 @@ s3 AS (select *, 100 * cap * w_left <= (150 * total - 100 * cap_before) * w is_f
 s4 AS (select source, source_size, case when is_full then cast(cap as double) else
     w * (cast(150 * total - 100 * coalesce(sum(case when is_full then cap end) over (), 0) as double) / 100.0::double)
       / sum(case when not is_full then w end) over () end target from s3),
-s5 AS (select *, least(2.0::double, case when source_size > 0 then target / source_size else 0 end) e from s4),
-t AS (select base.*, source_size, target, e, cast(floor(e) as bigint) whole from base join s5 on base.source is not distinct from s5.source),
+w0 AS (select *, case when size >= 100 then 1.25::double else 0.75::double end w from base),
+open AS (select source, sum(size * w) open_w, coalesce(sum(size) filter (w = 1.25), 0) long_size, sum(size * w) filter (w = 0.75) short_w from w0 group by 1),
+s5 AS (select s4.*, case when source_size = 0 then 0 when target >= 2 * source_size then 1e300::double
+    when target / open_w * 1.25 >= 2 then (target - 2 * long_size) / short_w else target / open_w end c
+  from s4 join open on s4.source is not distinct from open.source),
+e AS (select w0.*, source_size, target, least(2.0::double, c * w) e from w0 join s5 on w0.source is not distinct from s5.source),
+t AS (select *, cast(floor(e) as bigint) whole, e - floor(e) p from e),
 r AS (select source, any_value(target) - sum(whole * size) rest from t group by 1),
-o AS (select t.doc_id, rest, coalesce(sum(size) over (partition by t.source order by u, doc_id rows between unbounded preceding and 1 preceding), 0) b, size
-  from t join r on t.source is not distinct from r.source where e > whole and size > 0)
+o AS (select t.doc_id, rest, coalesce(sum(size) over (partition by t.source order by u / (1 - u) * (1 - p) / p, doc_id rows between unbounded preceding and 1 preceding), 0) b, size
+  from t join r on t.source is not distinct from r.source where p > 0 and size > 0)
 select t.doc_id, t.size, source_size, target,
   (whole + case when t.doc_id in (select doc_id from o where 2 * (rest - b) > size) then 1 else 0 end) * t.size taken from t"""
 
