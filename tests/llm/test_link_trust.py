@@ -96,3 +96,15 @@ def test_whole_small_table(spark):
 def test_empty(spark):
     assert link_trust.judge_urls(spark.createDataFrame([], SCHEMA)).count() == 0
     check(spark, [(1, None, None), (2, "http://q.org/", None)])
+
+
+def test_hosts_that_a_text_names(spark):
+    rng = random.Random(8)
+    texts = ["see www.example.org. next", "WWW.Example.org.", "ab.cd.9x. q", "ab.cd9", "foo.bar.123", "a.b", "x.y.z9.", "-.ab", "a..bc.de", "1.2.3.4", "no host", "", "http://a.b.co.uk/x.html?y=z.com",
+             "a." * 200_000 + "com", "a" * 300_000 + ".com", "9" + "a" * 300_000 + ".9b"]
+    texts += ["".join(rng.choices("ab9-. /", k=30)) for _ in range(3000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", link_trust.named_hosts("t").alias("n")).collect()
+    for r in got:
+        t = texts[r.i]
+        want = {m.lower() for m in re.findall(r"(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}", t)} if len(t) < 1000 else {13: {t}, 14: {t}, 15: set()}[r.i]
+        assert set(r.n) == want, t[:80]

@@ -33,7 +33,8 @@ ROUNDS = 20
 DAMPING = 0.85
 DIGITS = 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NAMED = r"(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+"
+DOTTED = r"([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)"
+NAMED_BACKWARDS = r"(?<![A-Za-z])[A-Za-z]{2,}+\.[A-Za-z0-9.-]++$"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -55,10 +56,20 @@ def _rule(rules: Sequence[tuple[str, str, str]], result: int | None) -> Column:
     return out
 
 
+def named_hosts(html: str) -> Column:
+    """Lower-cased hosts that a text names: dotted labels up to the last one that starts with two letters, and these letters.
+
+    A full stop after a host is not part of it. Read from the end, so that no pattern goes back.
+    """
+    runs = F.regexp_extract_all(html, F.lit(DOTTED))
+    names = F.transform(runs, lambda x: F.translate(F.reverse(F.regexp_extract(F.reverse(x), NAMED_BACKWARDS, 0)), UPPER, LOWER))
+    return F.filter(F.array_distinct(names), lambda x: x != "")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n) between different hosts that have pages, from (host, html)."""
     hosts = pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
-    named = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(f"({NAMED})")), lambda x: F.translate(x, UPPER, LOWER)))
+    named = named_hosts("html")
     links = (pages.where("host <> '' and html is not null").select("host", F.explode(named).alias("dst"))
              .groupBy("host", "dst").agg(F.count("*").alias("n")))
     labels = F.split("host", r"\.")
