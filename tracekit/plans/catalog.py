@@ -985,12 +985,45 @@ def q_export_sectors(spark, sf):
 @query("report_delta", _cmp_sql("select session_id, ref_driver, cmp_driver, grid_index, Distance, DeltaSeconds from aligned"))
 def q_report_delta(spark, sf):
     """The delta feed of a written report bundle, read back."""
+    return ST.read_partitioned(spark, written_report(spark, sf)["delta"])
+
+
+def written_report(spark, sf):
+    """Feed -> path of the report bundle of the compared laps."""
     sel = sel_df(spark, sf)
     out = compare_df(spark, sf)
     laps = out["laps"].select("session_id", F.col("driver").alias("Driver"), F.col("lap_number").alias("LapNumber"))
     chosen = sel.join(laps, ["session_id", "Driver", "LapNumber"], "left_semi")
-    feeds = CP.build_report(out, SE.clean_selected_samples(A.samples(spark, sf), chosen), sel, _scratch(spark, "report"))
-    return ST.read_partitioned(spark, feeds["delta"])
+    return CP.build_report(out, SE.clean_selected_samples(A.samples(spark, sf), chosen), sel, _scratch(spark, "report"))
+
+
+# one row of (Item, Value) for each row of a feed
+FEED_ROWS = {"channel_overlay": ("concat(Label, '/', Channel)", "Value"), "track_speed": ("driver", "Speed"), "racing_line": ("Label", "X"),
+             "lap_evolution": ("Driver", "LapTimeSeconds"), "insights": ("Kind", "Value1"), "delta": ("concat(ref_driver, '/', cmp_driver)", "DeltaSeconds"),
+             "sector_bars": ("concat(Driver, '/', Sector)", "Seconds")}
+
+
+@query("report_feeds", _cmp_sql(f"""
+select 'channel_overlay' Feed, session_id, Label || '/' || Channel Item, Value from (
+  {' union all '.join(f"select session_id, {label_sql('driver', 'lap_number', 'lap_time_seconds')} Label, '{c}' Channel, cast({c} as double) Value from rls where {c} is not null" for c in FD.OVERLAY_CHANNELS)})
+union all select 'track_speed', session_id, driver, Speed from rls where X is not null and Y is not null
+union all select 'racing_line', session_id, {label_sql('driver', 'lap_number', 'lap_time_seconds')}, X from rls where X is not null and Y is not null
+union all select 'lap_evolution', session_id, Driver, LapTimeSeconds from sel where LapTimeSeconds is not null
+union all select 'insights', session_id, Kind, Value1 from ({ORACLE["insights"]})
+union all select 'delta', session_id, ref_driver || '/' || cmp_driver, DeltaSeconds from aligned
+union all select 'sector_bars', session_id, m.driver || '/' || v.n, case v.n when 'Sector1' then s.Sector1TimeSeconds when 'Sector2' then s.Sector2TimeSeconds else s.Sector3TimeSeconds end
+  from (select m.session_id, m.driver, m.lap_number from meta2 m) m join sel s using (session_id) cross join (values ('Sector1'), ('Sector2'), ('Sector3')) v(n)
+  where s.Driver = m.driver and s.LapNumber = m.lap_number""", ["""
+rls AS (select c.*, m.lap_time_seconds from clean c join (select session_id, driver, lap_number, lap_time_seconds from meta2) m using (session_id, driver, lap_number))"""]))
+def q_report_feeds(spark, sf):
+    """Every row of all seven feeds of a written report bundle, read back."""
+    paths = written_report(spark, sf)
+    parts = [ST.read_partitioned(spark, paths[feed]).select(F.lit(feed).alias("Feed"), "session_id", F.expr(item).alias("Item"), F.col(value).cast("double").alias("Value"))
+             for feed, (item, value) in FEED_ROWS.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 # ---------------------------------------------------------------- machine learning (ML1-ML4, CH8)
