@@ -2,6 +2,8 @@ import hashlib
 import re
 import tempfile
 
+import pytest
+
 from tracekit.llm import secrets
 
 KINDS = ["assign", "access", "hex", "pem"]
@@ -59,3 +61,20 @@ def test_only_unseen_pairs_are_scanned(spark):
     rows = secrets.read_ledger(spark, ledger).collect()
     assert len(rows) == 5 and sorted(r.rules for r in rows)[-2:] == [["hex@2"]] * 2
     assert secrets.scan_history(first.limit(0), ledger).count() == 0
+
+
+def test_a_run_with_nothing_new_scans_and_moves_no_text(spark, monkeypatch):
+    ledger = tempfile.mkdtemp() + "/l"
+    df = spark.createDataFrame([(f"p{i}", TEXTS[i % len(TEXTS)]) for i in range(40)], "path string, content string")
+    want = spans(secrets.scan_history(df, ledger).collect())
+    monkeypatch.setattr(secrets, "_scan", lambda rules: pytest.fail("scanned again"))
+    monkeypatch.setattr(secrets.Window, "partitionBy", lambda *a: pytest.fail("texts dealt by blob"))
+    assert spans(secrets.scan_history(df, ledger).collect()) == want
+    assert secrets.scan_history(df.limit(0), tempfile.mkdtemp() + "/none").count() == 0
+
+
+def test_many_new_blobs_are_found_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "FEW_BLOBS", 3)
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(TEXTS)], "path string, content string")
+    got = spans(secrets.scan_history(df, tempfile.mkdtemp() + "/l").collect())
+    assert got == {str(i): brute(t or "") for i, t in enumerate(TEXTS)}

@@ -52,6 +52,7 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),  # a run of 16 or more is a maximal run of that length
 )
 RULES = (*BASE, Rule("pem", r"-----BEGIN (?:[A-Z0-9]+ )?PRIVATE KEY-----"))
+FEW_BLOBS = 100_000  # hashes of 32 bytes that are broadcast to pick the texts before they are shuffled
 LEDGER = "blob binary, rules array<string>, spans array<struct<rule:string,start:int,end:int>>"
 
 
@@ -100,11 +101,15 @@ def scan_history(versions: DataFrame, ledger_path: str, *, rules: Sequence[Rule]
     text = F.coalesce(F.col(content), F.lit(""))
     blob = F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob")
     paths = settle(versions.select(F.col(path).alias("path"), blob))
-    due = unseen(paths, read_ledger(spark, ledger_path), rules)
-    one = Window.partitionBy("blob").orderBy(F.lit(0))
-    texts = versions.select(blob, text.alias("text")).withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
-    scanned = texts.join(due, "blob").select("blob", "rules", "text").mapInArrow(_scan(rules), LEDGER)
-    scanned.write.mode("append").parquet(ledger_path)
+    due = settle(unseen(paths, read_ledger(spark, ledger_path), rules))
+    if n := due.count():  # texts that have been seen are not moved
+        texts = versions.select(blob, text.alias("text"))
+        if n <= FEW_BLOBS:
+            texts = texts.join(F.broadcast(due.select("blob")), "blob", "left_semi")
+        one = Window.partitionBy("blob").orderBy(F.lit(0))
+        texts = texts.withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
+        scanned = texts.join(due, "blob").select("blob", "rules", "text").mapInArrow(_scan(rules), LEDGER)
+        scanned.write.mode("append").parquet(ledger_path)
 
     ids, order = [r.id for r in rules], F.array(*[F.lit(r.id) for r in rules])
     found = (read_ledger(spark, ledger_path).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("s")))
