@@ -222,20 +222,19 @@ def lloyd_group(x: np.ndarray, c: np.ndarray, max_iter: int, tol: float) -> tupl
 
 
 def _settled_groups(points: DataFrame, centroids: DataFrame, feats: Sequence[str], by: Sequence[str], max_iter: int, tol: float) -> DataFrame:
-    """The centroids of groups of bounded size after all their Lloyd steps: one job for all of them."""
+    """The centroids (and _done) of groups of bounded size after all their Lloyd steps: one job for all of them."""
     names = [f"f{i}" for i in range(len(feats))]
 
     def settle(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if p.empty or c.empty:
-            return c.iloc[:0]
+            return c.iloc[:0].assign(_done=True)
         c = c.sort_values("cluster")
         new, done = lloyd_group(p[list(feats)].to_numpy(float), c[names].to_numpy(float), max_iter, tol)
-        if not done:
-            warnings.warn(f"k-means: a group has not converged in {max_iter} steps", stacklevel=1)
-        return c.assign(**{f: new[:, i] for i, f in enumerate(names)})
+        return c.assign(**{f: new[:, i] for i, f in enumerate(names)}, _done=done)
 
     rows = points.select(*dict.fromkeys([*by, *feats]))
-    return rows.groupBy(*by).cogroup(centroids.groupBy(*by)).applyInPandas(settle, centroids.schema)
+    schema = T.StructType([*centroids.schema.fields, T.StructField("_done", T.BooleanType())])
+    return rows.groupBy(*by).cogroup(centroids.groupBy(*by)).applyInPandas(settle, schema)
 
 
 def lloyd(points: DataFrame, centroids: DataFrame, features: Sequence[str], *, k: int, by: Sequence[str] = ("session_id",),
@@ -260,13 +259,14 @@ def lloyd(points: DataFrame, centroids: DataFrame, features: Sequence[str], *, k
         closed.append(state.where("_done"))
         start = state.where(~F.col("_done")).drop("_done")
         groups = start.count()
+    groups += local.where(~F.col("_done")).select(*by).distinct().count()
     if groups:
         warnings.warn(f"k-means: {groups} groups have not converged in {max_iter} steps", stacklevel=3)
     closed.append(start.withColumn("_done", F.lit(False)))
     points.unpersist()
     each = F.array(*[F.struct(F.lit(j).alias("cluster"), *[F.col(f"c{j}_{i}").alias(f"f{i}") for i in range(len(feats))]) for j in range(k)])
     far = reduce(DataFrame.unionByName, closed).select(*by, F.explode(each).alias("_c")).where("_c.f0 is not null").select(*by, "_c.*")
-    return local.unionByName(far)
+    return local.drop("_done").unionByName(far)
 
 
 def lloyd_step(points: DataFrame, centroids: DataFrame, features: Sequence[str], *,
