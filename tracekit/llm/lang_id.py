@@ -55,16 +55,16 @@ class Model:
     common: str | None = None  # the language of most words
 
     @cached_property
-    def words(self) -> dict[str, tuple[float, ...]]:
+    def words(self) -> dict[str, list[float]]:
         return _lookup(*self.tables[0])
 
     @cached_property
-    def grams(self) -> list[dict[str, tuple[float, ...]]]:
+    def grams(self) -> list[dict[str, list[float]]]:
         return [_lookup(*t) for t in self.tables[1:]]
 
 
-def _lookup(entries: pa.Array, rows: np.ndarray) -> dict[str, tuple[float, ...]]:
-    return dict(zip(entries.to_pylist(), map(tuple, rows.tolist())))
+def _lookup(entries: pa.Array, rows: np.ndarray) -> dict[str, list[float]]:
+    return dict(zip(entries.to_pylist(), rows.tolist()))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def train(docs: DataFrame, *, max_words: int = MAX_WORDS, max_grams: int = MAX_G
     return Model(languages, tables, max(languages, key=totals.get, default=None))
 
 
-def score_word(model: Model, word: str) -> tuple[float, ...] | None:
+def score_word(model: Model, word: str) -> list[float] | None:
     """Log frequencies of one word by language; None if even its letters are unknown."""
     if (known := model.words.get(word)) is not None:
         return known
@@ -159,7 +159,7 @@ def score_word(model: Model, word: str) -> tuple[float, ...] | None:
         table = model.grams[length - 1]
         found = [v for i in range(len(padded) - length + 1) if (v := table.get(padded[i:i + length])) is not None]
         if found:
-            return tuple(sum(v) / len(found) for v in zip(*found))
+            return [sum(v) / len(found) for v in zip(*found)]
     return None
 
 
