@@ -7,8 +7,8 @@
   checkpointed, once a block. Either way triangle-inequality bounds spare the distances of points that stay where they are.
 * ML4 isolation forest (Liu, Ting, Zhou 2008): per (session, tree) a sample of at most 256
   rows chosen by hash rank (deterministic under any partitioning, pre-filtered before the
-  shuffle), trees grown in ``applyInPandas`` on those bounded groups. Rows are scored by the engine: bounded arrays of a
-  session's rows meet one array of its trees, and higher-order functions walk the trees' nodes.
+  shuffle), trees grown in ``applyInPandas`` on those bounded groups. Rows are scored in bounded chunks of a session: each
+  meets one array of the session's trees, and NumPy walks them.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from tracekit.operators.clean import complete_cases
 from tracekit.operators.order import with_position
 from tracekit.schemas import ANOMALY_FEATURES, CLUSTER_FEATURES, present
-from tracekit.session import ensure_checkpoint_dir, materialize
+from tracekit.session import ensure_checkpoint_dir, materialize, settle
 
 # The pandas functions below run in Python workers: ship this module by value so executors
 # need no copy of the package (no py-files, any working directory).
@@ -286,7 +287,7 @@ def cluster_laps(laps: DataFrame, *, clusters: int = 3, features: Sequence[str]
     so results do not depend on initialisation order.
     """
     feats = present(laps, features)
-    data = lap_features(laps, feats)
+    data = settle(lap_features(laps, feats), "laps")  # every step below reads them
     n = data.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max(2, clusters))
     data = data.join(n, list(by), "left_semi")
     z = standardize(data, feats, by=by)
@@ -361,33 +362,55 @@ def forest_from_nodes(nodes: DataFrame, by: str = "session_id") -> DataFrame:
     return packed.select(by, "tree", "psi", *[F.col(f"n.{c}").alias(c) for c in ("feat", "thr", "left", "right", "length")])
 
 
+def walk_forest(x: np.ndarray, trees: Sequence[Sequence[np.ndarray]], depth: int) -> np.ndarray:
+    """Sum of the path lengths of each row over the trees (feat, thr, left, right, length), in their order."""
+    total, row = np.zeros(len(x)), np.arange(len(x))
+    for feat, thr, left, right, length in trees:
+        at = np.zeros(len(x), int)
+        for _ in range(depth):
+            f = feat[at]
+            inner = f >= 0
+            if not inner.any():
+                break
+            at = np.where(inner, np.where(x[row, np.maximum(f, 0)] < thr[at], left[at], right[at]), at)
+        total += length[at]
+    return total
+
+
 def score_forest(points: DataFrame, forest: DataFrame, features: Sequence[str], *, by: str = "session_id", depth: int,
                  chunk_rows: int = 20_000) -> DataFrame:
     """Adds Score, 2 ** (-mean path length / c(psi)), to each row of a group that has trees; trees are ``depth`` deep at most.
 
-    A group's rows meet in arrays of about ``chunk_rows`` with one copy of the group's trees for each array; the walk down the
-    trees is a fold over ``depth`` steps within the engine.
+    A group's rows meet in chunks of about ``chunk_rows`` with one copy of the group's trees for each chunk; NumPy walks all
+    rows of a chunk down a tree at once.
     """
     feats = list(features)
     n = points.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_rows)))).cast("int").alias("_chunks"))
     trees = forest.groupBy(by).agg(F.max("psi").alias("_psi"), F.sort_array(F.collect_list(F.struct("tree", "feat", "thr", "left", "right", "length"))).alias("_trees"))
     copies = trees.join(n, by).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
-    row = F.struct(F.array(*[F.col(c).cast("double") for c in feats]).alias("x"), F.struct(*points.columns).alias("row"))
     chunk = F.pmod(F.xxhash64(*[F.col(c) for c in points.columns]), F.col("_chunks")).cast("int")
-    held = points.join(n, by).withColumn("_chunk", chunk).groupBy(by, "_chunk").agg(F.collect_list(row).alias("_rows"))
-
-    def leaf(p: F.Column, t: F.Column) -> F.Column:
-        def down(at: F.Column, _: F.Column) -> F.Column:
-            f = F.get(t["feat"], at)
-            return F.when(f < 0, at).when(F.get(p["x"], f) < F.get(t["thr"], at), F.get(t["left"], at)).otherwise(F.get(t["right"], at))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down)
-
-    length = lambda p: F.aggregate("_trees", F.lit(0.0), lambda a, t: a + F.get(t["length"], leaf(p, t)))
+    held = points.join(n, by).withColumn("_chunk", chunk).drop("_chunks")
+    schema = T.StructType([*points.schema.fields, T.StructField("_total", T.DoubleType()), T.StructField("_n", T.IntegerType()), T.StructField("_psi", T.IntegerType())])
+    columns = points.columns
+
+    def walk(rows: pa.Table, model: pa.Table) -> pa.Table:
+        own = rows.select(columns)
+        if not own.num_rows or not model.num_rows:
+            own, total, n_, psi_ = own.slice(0, 0), np.zeros(0), 0, 0
+        else:
+            forest_ = model["_trees"][0].values
+            of = dict(zip([f.name for f in forest_.type], forest_.flatten(), strict=True))
+            each = [[of[c][i].values.to_numpy(zero_copy_only=False) for c in ("feat", "thr", "left", "right", "length")] for i in range(len(forest_))]
+            x = np.column_stack([rows[c].cast("float64").to_numpy() for c in feats])
+            total, n_, psi_ = walk_forest(x, each, depth), len(each), model["_psi"][0].as_py()
+        k = own.num_rows
+        return (own.append_column("_total", pa.array(total, pa.float64())).append_column("_n", pa.array(np.full(k, n_), pa.int32()))
+                .append_column("_psi", pa.array(np.full(k, psi_), pa.int32())))
+
+    lengths = held.groupBy(by, "_chunk").cogroup(copies.groupBy(by, "_chunk")).applyInArrow(walk, schema)
     psi = F.col("_psi").cast("double")
     usual = F.when(psi > 2, 2 * (F.log(psi - 1) + EULER_GAMMA) - 2 * (psi - 1) / psi).otherwise(F.lit(1.0))
-    lengths = F.transform("_rows", lambda p: F.struct(p["row"].alias("row"), length(p).alias("total")))
-    scored = held.join(copies, [by, "_chunk"]).select(F.size("_trees").alias("_n"), usual.alias("_c"), F.explode(lengths).alias("_p"))
-    return scored.select("_p.row.*", F.pow(F.lit(2.0), -F.col("_p.total") / F.col("_n") / F.col("_c")).alias("Score"))
+    return lengths.select(*columns, F.pow(F.lit(2.0), -F.col("_total") / F.col("_n") / usual).alias("Score"))
 
 
 def anomaly_labels(scored: DataFrame) -> DataFrame:
@@ -405,7 +428,7 @@ def detect_anomalies(laps: DataFrame, *, features: Sequence[str] = ANOMALY_FEATU
     reference labels), IsAnomaly and Score (2^(-E[h]/c(psi)); automatic cut at 0.5)."""
     feats = present(laps, features)
     ensure_checkpoint_dir(laps.sparkSession)
-    data = complete_cases(laps, feats)
+    data = settle(complete_cases(laps, feats), "laps")  # counted, drawn from and scored
     n = data.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows).transform(materialize)
     data = data.join(n, by)
 
