@@ -4,6 +4,7 @@ report bundle (CH9). Each returns a dict of DataFrames sharing the session key."
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -126,10 +127,13 @@ def build_report(comparison: dict[str, DataFrame], lap_samples: DataFrame, laps:
         tables["delta"] = comparison["pairs"].select(*PAIR_BY_SESSION, "grid_index", "Distance", "DeltaSeconds")
     if "sectors" in comparison:
         tables["sector_bars"] = FD.sector_bars(comparison["sectors"])
-    out = {}
-    for name, df in tables.items():
-        target = f"{path.rstrip('/')}/{name}"
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "session_id").parquet(target)
-        out[name] = target
+    out = {name: f"{path.rstrip('/')}/{name}" for name in tables}
+
+    def write(name: str) -> None:
+        # a session's rows in few tasks: the number of files grows with the sessions, not with sessions times tasks
+        (tables[name].hint("rebalance", F.col("session_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("session_id").parquet(out[name]))
+
+    with ThreadPoolExecutor(len(tables)) as pool:  # the feeds' jobs run side by side; the first failure ends the report
+        list(pool.map(write, tables))
     return out
