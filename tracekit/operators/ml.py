@@ -388,6 +388,7 @@ def score_forest(points: DataFrame, forest: DataFrame, features: Sequence[str],
     n = points.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_rows)))).cast("int").alias("_chunks"))
     trees = forest.groupBy(by).agg(F.max("psi").alias("_psi"), F.sort_array(F.collect_list(F.struct("tree", "feat", "thr", "left", "right", "length"))).alias("_trees"))
     copies = trees.join(n, by).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
+    copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])  # columns of their own, also where the forest comes from the points
     chunk = F.pmod(F.xxhash64(*[F.col(c) for c in points.columns]), F.col("_chunks")).cast("int")
     held = points.join(n, by).withColumn("_chunk", chunk).drop("_chunks")
     schema = T.StructType([*points.schema.fields, T.StructField("_total", T.DoubleType()), T.StructField("_n", T.IntegerType()), T.StructField("_psi", T.IntegerType())])
