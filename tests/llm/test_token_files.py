@@ -88,3 +88,25 @@ def test_empty(spark):
     path = tempfile.mkdtemp() + "/t"
     token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), tokenizer_file(), path)
     assert token_files.read_token_digests(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 4000])
+def test_slices_change_nothing(spark, tmp_path, monkeypatch, size):
+    docs = spark.createDataFrame([(i, f"piece{i % 7} wörter " * (i % 50) + "one") for i in range(300)] + [(None, None)], "doc_id long, text string")
+    out = []
+    for name, limit in (("whole", 1 << 23), ("cut", size)):
+        monkeypatch.setattr(token_files, "SLICE", limit)
+        token_files.write_token_files(docs, tokenizer_file(), str(tmp_path / name))
+        out.append(sorted(map(repr, token_files.read_token_digests(spark, str(tmp_path / name)).collect())))
+    assert out[0] == out[1] and len(out[0]) == 301
+
+
+def test_a_worker_forgets_other_operators_only():
+    from tracekit.llm.common import forget_worker_state, worker_state
+
+    mine = worker_state("mine", list)
+    forget_worker_state(keep="mine")
+    assert worker_state("mine", list) is mine
+    forget_worker_state(keep="other")
+    assert worker_state("mine", list) is not mine
+    forget_worker_state()

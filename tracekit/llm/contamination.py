@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracekit.llm.common import ship, slices, text_shingles
+from tracekit.llm.common import forget_worker_state, ship, slices, text_shingles
 
 ship(__name__)
 
@@ -94,6 +94,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _scan(shared, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_worker_state()
         sketches = Sketches(*shared.value)
         for part in slices(batches):
             rows = []
@@ -158,6 +159,7 @@ def _joined(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
 def _drop(shared, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_worker_state()
         sketches = Sketches(*shared.value)
         for part in slices(batches):
             clean = []

@@ -27,12 +27,13 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tracekit.llm.common import ship, slices, words_of, worker_state
+from tracekit.llm.common import forget_worker_state, ship, slices, words_of, worker_state
 from tracekit.llm.simple8b import Coded, decode, encode
 
 ship(__name__)
 
 SEGMENT = 1 << 18
+SLICE = 2 << 20  # text encoded at once: its lists of pieces and ids take up to ten times as much
 MAX_PARTS = 500_000  # distinct parts a worker process remembers, the first ones it meets
 MAX_PIECES = 200_000  # likewise of pieces
 SEGMENTS = ("shard int, seq long, first long, n long, words binary, offsets binary, escapes binary, "
@@ -126,7 +127,9 @@ def _encoder(shared, end: int | None, spaced: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = shared.value
         if spaced:
-            to_ids = worker_state(f"pieces_{zlib.crc32(source.encode())}", lambda: PieceEncoder(source)).batch
+            name = f"pieces_{zlib.crc32(source.encode())}"
+            forget_worker_state(keep=name)
+            to_ids = worker_state(name, lambda: PieceEncoder(source)).batch
         else:
             from tokenizers import Tokenizer
 
@@ -134,7 +137,7 @@ def _encoder(shared, end: int | None, spaced: bool):
             to_ids = lambda texts: _encode_batch(whole, texts)
         shard, seq, first, held = TaskContext.get().partitionId(), 0, 0, 0
         ids, doc_ids, lengths = [], [], []
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             i, n = _with_end(*to_ids(part.column("text")), end)
             ids.append(i)
             doc_ids += part.column("doc_id").to_pylist()
@@ -158,6 +161,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, *, end: int |
 
 
 def _decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_worker_state()
     for batch in batches:
         for r in batch.to_pylist():
             ids = decode(Coded(r["n"], np.frombuffer(r["words"], "<u8"), np.frombuffer(r["offsets"], "<u4"),
