@@ -64,6 +64,22 @@ def test_pieces_equal_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == want
 
 
+def test_words_are_cut_once_for_all_closing_signs(monkeypatch):
+    import pyarrow as pa
+
+    cut, was = [], token_files.PieceEncoder._cut
+    monkeypatch.setattr(token_files.PieceEncoder, "_cut", lambda self, piece: cut.append(piece) or was(self, piece))
+    source, words = open(tokenizer_file()).read(), [f"wört{chr(97 + i)}" for i in range(20)]
+    texts = [" ".join(w + sign for w in words) for sign in (",", ".", "...", "?!", ";", '"', ")", "'", "'s,", "|>", "<|endoftext|>,", "\u0301.")] + [None]
+    encoder = token_files.PieceEncoder(source)
+    for _ in range(2):
+        ids, n = encoder.batch(pa.array(texts, pa.string()))
+    whole = Tokenizer.from_str(source)
+    assert np.split(ids, np.cumsum(n))[-1].size == n[-1] == 0
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len([p for p in cut if p in words]) == 20 and len(cut) <= 20 * 5 + 9  # one time each, and those with signs that may belong to them
+
+
 @pytest.mark.parametrize("segment", [50, 1 << 18])
 def test_files(spark, segment, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT", segment)

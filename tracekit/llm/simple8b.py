@@ -36,17 +36,26 @@ class Coded:
 def _selectors(ids: np.ndarray) -> np.ndarray:
     """For each place, the selector that packs most ids from there on within the block."""
     n = len(ids)
-    end = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
-    best = np.where(ids >> PAYLOAD == 0, 15, 0).astype(np.int8)
-    at, top = np.flatnonzero(best), ids.max(initial=0)
+    rows, top = -(-n // BLOCK), ids.max(initial=0)
+    least = np.zeros((rows, BLOCK + int(COUNTS[1])), np.uint8)  # narrowest selector of each id; none is asked for beyond a block
+    narrowest = np.ones(n, np.uint8)
+    for s in range(1, 16):
+        if top < (limit := np.uint64(1) << np.uint64(WIDTHS[s])):
+            break
+        narrowest += ids >= limit
+    whole = n - n % BLOCK
+    least[:n // BLOCK, :BLOCK] = narrowest[:whole].reshape(-1, BLOCK)
+    least[n // BLOCK:, :n - whole] = narrowest[whole:]
+    best = np.where(least[:, :BLOCK] <= 15, np.uint8(15), np.uint8(0))
+    widest, taken = least[:, :BLOCK].copy(), 1
     for s in range(14, 0, -1):  # a selector fits only where the next wider one does
-        limit = np.uint64(1) << np.uint64(WIDTHS[s])
-        if top >= limit:
-            over = np.zeros(n + 1, np.int64)
-            np.cumsum(ids >= limit, out=over[1:])
-            at = at[over[np.minimum(at + COUNTS[s], end[at])] == over[at]]
-        best[at] = s
-    return best
+        for j in range(taken, int(COUNTS[s])):
+            np.maximum(widest, least[:, j:j + BLOCK], out=widest)
+        taken, fits = int(COUNTS[s]), widest <= s
+        if not fits.any():
+            break
+        best[fits] = s
+    return best.reshape(-1)[:n].astype(np.int8)
 
 
 def encode(ids: np.ndarray) -> Coded:

@@ -6,7 +6,8 @@ words before each block, the escaped ids, and the ids and lengths of its documen
 
 Encoding: where a tokenizer drops white space (``spaced=True``), ASCII white space always ends a token, so a text's ids
 are those of its space-separated pieces joined. Each distinct piece of a batch is then encoded once.
-A piece of plain Latin letters, digits and signs is cut by the tokenizer's own pre-tokenizer pattern, and each part is given to the
+Signs that close a word are pieces of their own where the tokenizer's own pre-tokenizer pattern always cuts there.
+A piece of plain Latin letters, digits and signs is cut by that pattern, and each part is given to the
 tokenizer's model once for each worker process; every other piece goes through the whole tokenizer.
 
 Defined results: a null text has no ids but the end id; rows repeating a doc_id follow each other, by text;
@@ -16,6 +17,7 @@ a null doc_id comes first; an empty table gives no segments.
 from __future__ import annotations
 
 import json
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,6 +25,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -34,12 +37,12 @@ ship(__name__)
 
 SEGMENT = 1 << 18
 SLICE = 2 << 20  # text encoded at once: its lists of pieces and ids take up to ten times as much
-MAX_PARTS = 500_000  # distinct parts a worker process remembers, the first ones it meets
-MAX_PIECES = 200_000  # likewise of pieces
+MAX_KNOWN = 700_000  # distinct pieces and parts a worker process remembers, the first ones it meets
 SEGMENTS = ("shard int, seq long, first long, n long, words binary, offsets binary, escapes binary, "
             "doc_ids array<long>, lengths array<long>")
 # Letters, digits and signs whose lower case and composition are the same in every Unicode version.
 PLAIN = regex.compile("[!-~¡-¬®-į]+")
+LETTERS = "0-9A-Za-zÀ-ÖØ-öø-į"  # of these, the letters and digits
 
 
 def byte_letters() -> list[str]:
@@ -61,15 +64,21 @@ class PieceEncoder:
         self.added = [t["content"] for t in json.loads(source)["added_tokens"]]
         self.added_starts = sorted({a[0] for a in self.added})
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.parts: dict[str, bytes] = {}   # ids as uint32
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}   # ids of pieces and parts as uint32; a part alone is a piece of one part
+        signs = [c for c in string.punctuation if c not in "".join(self.added)
+                 and all(self.pattern.findall(x + c) == [x, c] and self.pattern.findall(c + x) == [c, x] for x in ("a", "à", "0"))]
+        signs = "".join(rf"\x{ord(c):02x}" for c in signs)
+        self.closing = rf"([{LETTERS}])([{signs}]+)([\x09-\x0D\x20]|$)" if signs else None
 
     def part(self, part: str) -> bytes:
-        if (ids := self.parts.get(part)) is None:
+        if (ids := self.known.get(part)) is None:
             shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.whole.model.tokenize(shown)]).tobytes()
-            if len(self.parts) < MAX_PARTS:
-                self.parts[part] = ids
+            ids = self._keep(part, array("I", [t.id for t in self.whole.model.tokenize(shown)]).tobytes())
+        return ids
+
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if len(self.known) < MAX_KNOWN:
+            self.known[piece] = ids
         return ids
 
     def _all(self, piece: str) -> bytes:
@@ -86,22 +95,23 @@ class PieceEncoder:
         return b"".join(map(self.part, self.pattern.findall(piece.lower())))
 
     def piece(self, piece: str) -> bytes:
-        if (ids := self.pieces.get(piece)) is None:
-            ids = self._cut(piece)
-            if len(self.pieces) < MAX_PIECES:
-                self.pieces[piece] = ids
-        return ids
+        return self._keep(piece, self._cut(piece))
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
+        if self.closing:  # signs that end a word are pieces of their own: a word is then known with any of them
+            texts = pc.replace_substring_regex(texts, self.closing, r"\1 \2\3")
         offsets, codes, distinct = words_of(texts)
-        known = list(map(self.piece, distinct.to_pylist()))
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        first, each = (np.cumsum(size) - size)[codes], size[codes]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(first - upto[:-1], each) + np.arange(upto[-1])
-        return flat[at], np.diff(upto[offsets])
+        pieces = distinct.to_pylist()
+        known = list(map(self.known.get, pieces))
+        for i in [i for i, ids in enumerate(known) if ids is None]:
+            known[i] = self.piece(pieces[i])
+        if not len(codes):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        each = pa.array(known, pa.large_binary()).take(pa.array(codes))
+        _, ends, ids = each.buffers()
+        upto = np.frombuffer(ends, np.int64, len(codes) + 1)[offsets] // 4
+        return np.frombuffer(ids or b"", np.uint32, upto[-1]), np.diff(upto)
 
 
 def _encode_batch(tokenizer, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
